@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galley.functions.bind import let
+
 SITE_OFFSET = "+08:00"
 
 _FIELDS = (
@@ -15,31 +17,32 @@ _FIELDS = (
 def parse_pubdate(raw: Column) -> Column:
     """Instant of a written date, NULL when it is none. The day-half mark may stand on either side."""
     text = F.replace(F.replace(raw, F.lit("上午"), F.lit("AM")), F.lit("下午"), F.lit("PM"))
-    text = F.regexp_replace(text, "[^0-9:/APM ]", " ")
-    text = F.regexp_replace(F.replace(text, F.lit("/"), F.lit(" ")), "(AM|PM)", " $1 ")
-    text = F.btrim(F.regexp_replace(text, " +", " "))
-
-    def field(i: int) -> Column:
-        return F.regexp_extract(text, _FIELDS, i)
-
-    half = F.concat(field(4), field(8))
-    hour = field(5).try_cast("int")
-    hour = (
-        F.when(half == "", hour)
-        .when(half.isin("AM", "PM") & hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    )
-    second = F.when(field(7) == "", F.lit("0")).otherwise(field(7))
-    stamp = F.concat_ws(
-        " ",
-        F.concat_ws("-", field(1), F.lpad(field(2), 2, "0"), F.lpad(field(3), 2, "0")),
-        F.concat_ws(
-            ":", F.lpad(hour.cast("string"), 2, "0"), F.lpad(field(6), 2, "0"), F.lpad(second, 2, "0")
-        ),
-        F.lit(SITE_OFFSET),
-    )
-    return F.when(
-        text.rlike(_FIELDS) & hour.isNotNull(),
-        F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss XXX")),
+    text = F.translate(F.regexp_replace(text, "[^0-9:/APM ]", " "), "/", " ")
+    text = F.btrim(F.regexp_replace(F.regexp_replace(text, "(AM|PM)", " $1 "), " +", " "))
+
+    def field(t: Column, i: int) -> Column:
+        return F.regexp_extract(t, _FIELDS, i)
+
+    def two(c: Column) -> Column:
+        return F.lpad(c, 2, "0")
+
+    def stamp(t: Column) -> Column:
+        hour = let(
+            F.struct(field(t, 5).try_cast("int").alias("h"), F.concat(field(t, 4), field(t, 8)).alias("half")),
+            lambda x: F.when(x["half"] == "", x["h"]).when(
+                x["half"].isin("AM", "PM") & x["h"].between(1, 12),
+                x["h"] % 12 + F.when(x["half"] == "PM", 12).otherwise(0)),
+        )
+        second = F.coalesce(F.nullif(field(t, 7), F.lit("")), F.lit("0"))
+        # NULL in any part makes the whole NULL
+        return F.concat(
+            field(t, 1), F.lit("-"), two(field(t, 2)), F.lit("-"), two(field(t, 3)), F.lit(" "),
+            two(hour.cast("string")), F.lit(":"), two(field(t, 6)), F.lit(":"), two(second),
+            F.lit(" " + SITE_OFFSET),
+        )
+
+    return F.try_to_timestamp(
+        let(text, lambda t: F.when(t.rlike(_FIELDS), stamp(t))), F.lit("yyyy-MM-dd HH:mm:ss XXX")
     )
 
 

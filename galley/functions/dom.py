@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galley.functions.bind import let
 from galley.functions.text import LEADIN, strip
 
 VOID_TAGS = [
@@ -119,7 +120,12 @@ def _step_matches(nodes: Column, node: Column, step: Column) -> Column:
 
 
 def select(nodes: Column, selector: Column | str, within: Column | None = None) -> Column:
-    """``pre`` of every match in document order, optionally only inside one subtree.
+    """``pre`` of every match in document order, optionally only inside one subtree."""
+    return select_steps(nodes, selector_steps(selector), within)
+
+
+def select_steps(nodes: Column, alternatives: Column, within: Column | None = None) -> Column:
+    """``select`` for a selector that is already split.
 
     Steps run set at a time: the nodes reached so far open their subtree slices, and the next step
     filters those. That is linear in the page for each step, not all pairs of its nodes.
@@ -138,13 +144,13 @@ def select(nodes: Column, selector: Column | str, within: Column | None = None)
         return F.array_distinct(F.flatten(F.transform(opened, inside)))
 
     matched = F.transform(
-        selector_steps(selector),
+        alternatives,
         lambda steps: F.aggregate(steps, F.array(F.lit(-1)), reach),
     )
     matched = F.sort_array(F.array_distinct(F.flatten(matched)))
     if within is not None:
         matched = F.filter(matched, lambda p: (p > within) & (p <= _post(nodes, within)))
-    return F.when(F.size(nodes) > 0, matched).otherwise(_ints())
+    return F.when((F.size(nodes) > 0) & alternatives.isNotNull(), matched).otherwise(_ints())
 
 
 def select_one(nodes: Column, selector: Column | str, within: Column | None = None) -> Column:
@@ -152,10 +158,19 @@ def select_one(nodes: Column, selector: Column | str, within: Column | None = No
     return F.try_element_at(select(nodes, selector, within), F.lit(1))
 
 
+def first_step_match(nodes: Column, alternatives: Column) -> Column:
+    return F.try_element_at(select_steps(nodes, alternatives), F.lit(1))
+
+
 def attribute_of(nodes: Column, pre: Column, name: str) -> Column:
     return F.try_element_at(F.get(nodes, pre)["attrs"], F.lit(name))
 
 
+def attributes(nodes: Column, found: Column, name: str) -> Column:
+    """An attribute's values over the matches that have it, in document order."""
+    return F.filter(F.transform(found, lambda p: attribute_of(nodes, p, name)), lambda v: v.isNotNull())
+
+
 def node_text(nodes: Column, pre: Column) -> Column:
     """Text of a subtree in document order; a script's or style's own text only for itself."""
     raw = F.get(nodes, pre)["tag"].isin(RAW_TAGS)
@@ -194,21 +209,28 @@ def plain_paragraphs(nodes: Column, within: Column) -> Column:
 # --- edits ----------------------------------------------------------------------------------------
 
 
-def _remove(nodes: Column, gone: Column) -> Column:
-    return F.transform(
-        nodes,
-        lambda n: F.when(F.array_contains(gone, n["pre"]), n.withField("kind", F.lit("gone"))).otherwise(n),
-    )
+def selector_list_steps(selectors: Column) -> Column:
+    """Alternatives of all selectors of an array; empty ones add none."""
+    return F.flatten(F.transform(F.filter(selectors, lambda s: s.isNotNull()), selector_steps))
 
 
-def drop_matches(nodes: Column, selectors: Column, within: Column) -> Column:
-    """Remove the subtrees matched by any selector of the array; empty selectors match nothing."""
-    roots = F.flatten(F.transform(
-        F.filter(F.coalesce(selectors, F.array().cast("array<string>")), lambda s: F.coalesce(s != "", F.lit(False))),
-        lambda s: select(nodes, s, within),
-    ))
-    gone = F.array_distinct(F.flatten(F.transform(roots, lambda p: F.sequence(p, _post(nodes, p)))))
-    return F.when(F.size(gone) > 0, _remove(nodes, gone)).otherwise(nodes)
+def drop_matches(nodes: Column, alternatives: Column, within: Column) -> Column:
+    """Remove the subtrees that the split selectors match."""
+    roots = select_steps(nodes, alternatives, within)
+    spans = F.transform(roots, lambda p: F.struct(p.alias("pre"), _post(nodes, p).alias("post")))
+    return let(
+        spans,
+        lambda found: F.when(
+            F.size(found) > 0,
+            F.transform(
+                nodes,
+                lambda n: F.when(
+                    F.exists(found, lambda s: (s["pre"] <= n["pre"]) & (n["pre"] <= s["post"])),
+                    n.withField("kind", F.lit("gone")),
+                ).otherwise(n),
+            ),
+        ).otherwise(nodes),
+    )
 
 
 def drop_text_matching(nodes: Column, pattern: Column, within: Column) -> Column:
@@ -219,7 +241,7 @@ def drop_text_matching(nodes: Column, pattern: Column, within: Column) -> Column
             nodes,
             lambda n: F.when(
                 n["kind"].isin("text", "comment", "raw") & (n["pre"] > within)
-                & (n["pre"] <= _post(nodes, within)) & n["text"].rlike(pattern),
+                & (n["pre"] <= _post(nodes, within)) & F.rlike(n["text"], pattern),
                 n.withField("kind", F.lit("gone")),
             ).otherwise(n),
         ),
@@ -238,17 +260,19 @@ def unwrap_pictures(nodes: Column, within: Column) -> Column:
 
     pictures = F.filter(F.transform(select(nodes, "picture", within), plan), lambda x: x["image"].isNotNull())
 
-    def edit(n: Column) -> Column:
+    def edit(n: Column, found: Column) -> Column:
         owner = F.try_element_at(
-            F.filter(pictures, lambda x: (x["pre"] <= n["pre"]) & (n["pre"] <= x["post"])), F.lit(1)
+            F.filter(found, lambda x: (x["pre"] <= n["pre"]) & (n["pre"] <= x["post"])), F.lit(1)
         )
-        return (
-            F.when(owner.isNull(), n)
-            .when(owner["image"] == n["pre"], n.withField("parent", owner["parent"]))
-            .otherwise(n.withField("kind", F.lit("gone")))
+        return let(
+            owner,
+            lambda o: F.when(o.isNull(), n)
+            .when(o["image"] == n["pre"], n.withField("parent", o["parent"]))
+            .otherwise(n.withField("kind", F.lit("gone"))),
         )
 
-    return F.when(F.exists(nodes, lambda n: n["tag"] == "picture"), F.transform(nodes, edit)).otherwise(nodes)
+    edited = let(pictures, lambda found: F.transform(nodes, lambda n: edit(n, found)))
+    return F.when(F.exists(nodes, lambda n: n["tag"] == "picture"), edited).otherwise(nodes)
 
 
 def strip_leadin_block(nodes: Column, within: Column) -> Column:
@@ -257,27 +281,33 @@ def strip_leadin_block(nodes: Column, within: Column) -> Column:
         F.sequence(within, _post(nodes, within)),
         lambda i: (F.get(nodes, i)["kind"] == "elem") & node_text(nodes, i).rlike(LEADIN),
     )
-    target = F.try_element_at(
-        F.filter(holders, lambda h: ~F.exists(holders, lambda o: (o > h) & (o <= _post(nodes, h)))), F.lit(1)
+    innermost = let(
+        holders,
+        lambda hs: F.try_element_at(
+            F.filter(hs, lambda h: ~F.exists(hs, lambda o: (o > h) & (o <= _post(nodes, h)))), F.lit(1)),
     )
 
-    def edit(n: Column) -> Column:
-        first_text = F.try_element_at(
-            F.filter(F.sequence(target, _post(nodes, target)), lambda i: F.get(nodes, i)["kind"] == "text"), F.lit(1)
+    def about(pre: Column) -> Column:
+        first = F.try_element_at(
+            F.filter(F.sequence(pre, _post(nodes, pre)), lambda i: F.get(nodes, i)["kind"] == "text"), F.lit(1)
         )
-        inside = (n["pre"] > target) & (n["pre"] <= _post(nodes, target))
+        return F.struct(
+            pre.alias("pre"), _post(nodes, pre).alias("post"), first.alias("first"),
+            F.regexp_replace(node_text(nodes, pre), LEADIN, "").alias("text"),
+        )
+
+    def edit(n: Column, target: Column) -> Column:
         return (
             F.when(
-                n["pre"] == first_text,
-                n.withField("parent", target).withField(
-                    "text", F.regexp_replace(node_text(nodes, target), LEADIN, "")
-                ),
+                n["pre"] == target["first"],
+                n.withField("parent", target["pre"]).withField("text", target["text"]),
             )
-            .when(inside, n.withField("kind", F.lit("gone")))
+            .when((n["pre"] > target["pre"]) & (n["pre"] <= target["post"]), n.withField("kind", F.lit("gone")))
             .otherwise(n)
         )
 
-    return F.when(node_text(nodes, within).rlike(LEADIN), F.transform(nodes, edit)).otherwise(nodes)
+    edited = let(let(innermost, about), lambda t: F.transform(nodes, lambda n: edit(n, t)))
+    return F.when(node_text(nodes, within).rlike(LEADIN), edited).otherwise(nodes)
 
 
 def rewrite_images(nodes: Column, images: Column, title: Column) -> Column:
@@ -286,8 +316,7 @@ def rewrite_images(nodes: Column, images: Column, title: Column) -> Column:
     ``images`` is an array of structs ``(pre, new_src)``.
     """
 
-    def edit(n: Column) -> Column:
-        image = F.try_element_at(F.filter(images, lambda i: i["pre"] == n["pre"]), F.lit(1))
+    def relabel(n: Column, image: Column) -> Column:
         target = F.when(F.map_contains_key(n["attrs"], "data-original"), F.lit("data-original")).otherwise(F.lit("src"))
         replaced = F.transform_values(
             n["attrs"],
@@ -297,10 +326,11 @@ def rewrite_images(nodes: Column, images: Column, title: Column) -> Column:
             F.array(F.lit("alt"), F.lit("title")), lambda k: ~F.map_contains_key(n["attrs"], k)
         )
         extra = F.map_from_entries(F.transform(missing, lambda k: F.struct(k, title)))
-        return F.when(
-            (n["kind"] == "elem") & (n["tag"] == "img") & image.isNotNull(),
-            n.withField("attrs", F.map_concat(replaced, extra)),
-        ).otherwise(n)
+        return F.when(image.isNull(), n).otherwise(n.withField("attrs", F.map_concat(replaced, extra)))
+
+    def edit(n: Column) -> Column:
+        image = F.try_element_at(F.filter(images, lambda i: i["pre"] == n["pre"]), F.lit(1))
+        return F.when(n["tag"] == "img", let(image, lambda i: relabel(n, i))).otherwise(n)
 
     return F.when(F.size(images) > 0, F.transform(nodes, edit)).otherwise(nodes)
 
@@ -308,9 +338,9 @@ def rewrite_images(nodes: Column, images: Column, title: Column) -> Column:
 # --- rendering ------------------------------------------------------------------------------------
 
 
-def _ordered(opens: Column, closes: Column) -> Column:
+def _ordered(*events: Column) -> Column:
     """Join pieces by position; what closes at one place does so from the inside out."""
-    return F.array_join(F.transform(F.sort_array(F.concat(opens, closes)), lambda e: e["piece"]), "")
+    return F.array_join(F.transform(F.sort_array(F.concat(*events)), lambda e: e["piece"]), "")
 
 
 def _event(pos: Column, phase: int, tie: Column, piece: Column) -> Column:
@@ -324,15 +354,28 @@ def _escape(text: Column) -> Column:
     return out
 
 
-def to_html(nodes: Column, pre: Column) -> Column:
-    """Markup of a subtree."""
+def _after_last_child(nodes: Column, pre: Column, piece: Column | None) -> Column:
+    """Event that puts a piece behind the last child element; none for an empty piece."""
+    none = F.array().cast("array<struct<pos:int,phase:int,tie:int,piece:string>>")
+    if piece is None:
+        return none
+    last = F.try_element_at(
+        F.filter(subtree(nodes, pre), lambda n: (n["kind"] == "elem") & (n["parent"] == pre)), F.lit(-1)
+    )
+    event = F.struct(last["post"].alias("pos"), F.lit(1).alias("phase"), (-2 * last["pre"] + 1).alias("tie"),
+                     piece.alias("piece"))
+    return F.when((piece != "") & last.isNotNull(), F.array(event)).otherwise(none)
+
+
+def to_html(nodes: Column, pre: Column, mark: Column | None = None) -> Column:
+    """Markup of a subtree, optionally with a text behind its last child element."""
 
     def attribute(e: Column) -> Column:
-        value = _escape(e["value"])
-        quoted = (
-            F.when(~value.contains('"'), F.concat(F.lit('"'), value, F.lit('"')))
-            .when(~value.contains("'"), F.concat(F.lit("'"), value, F.lit("'")))
-            .otherwise(F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit("&quot;")), F.lit('"')))
+        quoted = let(
+            _escape(e["value"]),
+            lambda v: F.when(~v.contains('"'), F.concat(F.lit('"'), v, F.lit('"')))
+            .when(~v.contains("'"), F.concat(F.lit("'"), v, F.lit("'")))
+            .otherwise(F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit("&quot;")), F.lit('"'))),
         )
         return F.concat(F.lit(" "), e["key"], F.lit("="), quoted)
 
@@ -348,13 +391,15 @@ def to_html(nodes: Column, pre: Column) -> Column:
             )
         )
 
-    part = F.filter(subtree(nodes, pre), lambda n: n["kind"] != "gone")
-    opens = F.transform(part, lambda n: _event(n["pre"], 0, n["pre"], opening(n)))
-    closes = F.transform(
-        F.filter(part, lambda n: (n["kind"] == "elem") & ~n["tag"].isin(VOID_TAGS)),
-        lambda n: _event(n["post"], 1, -n["pre"], F.concat(F.lit("</"), n["tag"], F.lit(">"))),
-    )
-    return _ordered(opens, closes)
+    def render(part: Column) -> Column:
+        opens = F.transform(part, lambda n: _event(n["pre"], 0, n["pre"], opening(n)))
+        closes = F.transform(
+            F.filter(part, lambda n: (n["kind"] == "elem") & ~n["tag"].isin(VOID_TAGS)),
+            lambda n: _event(n["post"], 1, -2 * n["pre"], F.concat(F.lit("</"), n["tag"], F.lit(">"))),
+        )
+        return _ordered(opens, closes, _after_last_child(nodes, pre, mark))
+
+    return let(F.filter(subtree(nodes, pre), lambda n: n["kind"] != "gone"), render)
 
 
 # Marks used while Markdown is put together; all are private-use characters and none is left over.
@@ -372,18 +417,36 @@ _PARAGRAPH_TAGS = ["p", "div", "article", "section", "ul", "ol", "dl", "dt", "dd
 _HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
-def to_markdown(nodes: Column, pre: Column) -> Column:
-    """Markdown of a subtree.
+def to_markdown(nodes: Column, pre: Column, mark: Column | None = None) -> Column:
+    """Markdown of a subtree, optionally with a text behind its last child element.
 
     Every node yields an opening and a closing piece; block pieces hold break marks with the line
     prefix (quote or list indent) that holds from there on. Runs of marks then collapse by pattern.
     """
     part = F.filter(subtree(nodes, pre), lambda n: n["kind"].isin("elem", "text"))
-    has_frames = F.exists(part, lambda n: n["tag"].isin("blockquote", "li"))
-    frames = F.filter(part, lambda n: (n["kind"] == "elem") & n["tag"].isin("blockquote", "li"))
-    pres = F.filter(part, lambda n: (n["kind"] == "elem") & n["tag"].isin("pre", "code", "kbd", "samp"))
-    headings = F.filter(part, lambda n: (n["kind"] == "elem") & n["tag"].isin(*_HEADINGS, "td", "th"))
-    lists = F.filter(part, lambda n: (n["kind"] == "elem") & n["tag"].isin("ul", "ol"))
+
+    def spans(nodes_: Column, *tags: str) -> Column:
+        owners = F.filter(nodes_, lambda n: (n["kind"] == "elem") & n["tag"].isin(*tags))
+        return F.transform(
+            owners,
+            lambda n: F.struct(
+                n["pre"].alias("pre"), n["post"].alias("post"), n["parent"].alias("parent"),
+                n["tag"].alias("tag"), n["kind"].alias("kind"),
+            ),
+        )
+
+    def gather(p: Column) -> Column:
+        return F.struct(
+            p.alias("part"), spans(p, "blockquote", "li").alias("frames"),
+            spans(p, "pre", "code", "kbd", "samp").alias("pres"),
+            spans(p, *_HEADINGS, "td", "th").alias("headings"), spans(p, "ul", "ol").alias("lists"),
+        )
+
+    return _settle_bound(let(let(part, gather), lambda g: _markdown_pieces(nodes, pre, mark, g)))
+
+
+def _markdown_pieces(nodes: Column, pre: Column, mark: Column | None, g: Column) -> Column:
+    part, frames, pres, headings, lists = (g[n] for n in ("part", "frames", "pres", "headings", "lists"))
 
     def inside(n: Column, owners: Column, *tags: str) -> Column:
         return F.exists(
@@ -412,7 +475,7 @@ def to_markdown(nodes: Column, pre: Column) -> Column:
             around,
             lambda o: F.when(o["tag"] == "blockquote", F.lit("> ")).otherwise(F.repeat(F.lit(" "), F.length(bullet(o)))),
         )
-        return F.when(has_frames, F.array_join(drawn, "")).otherwise("")
+        return F.when(F.size(frames) > 0, F.array_join(drawn, "")).otherwise("")
 
     def set_prefix(mark: str, prefix: Column) -> Column:
         return F.concat(F.lit(mark + _SET), prefix, F.lit(_SET_END))
@@ -484,9 +547,13 @@ def to_markdown(nodes: Column, pre: Column) -> Column:
     opens = F.transform(part, lambda n: _event(n["pre"], 0, n["pre"], opening(n)))
     closes = F.transform(
         F.filter(part, lambda n: (n["kind"] == "elem") & ~n["tag"].isin(VOID_TAGS)),
-        lambda n: _event(n["post"], 1, -n["pre"], closing(n)),
+        lambda n: _event(n["post"], 1, -2 * n["pre"], closing(n)),
     )
-    return _settle(_ordered(opens, closes))
+    return _ordered(opens, closes, _after_last_child(nodes, pre, mark))
+
+
+def _settle_bound(text: Column) -> Column:
+    return let(let(text, _settle), _draw_rules)
 
 
 def _settle(text: Column) -> Column:
@@ -521,17 +588,24 @@ def _settle(text: Column) -> Column:
     rules = "".join(_UNDERLINE.values())
     text = F.regexp_replace(text, f"[ \\t]*\\n(?=[{rules}])", "\n")
     text = F.regexp_replace(text, r"^\s+|\s+$", "")
-    # a heading's rule is as long as the line above it
-    lines = F.split(text, "\n")
-    ruled = F.transform(
-        lines,
-        lambda line, i: F.when(
-            line.rlike(f"^[{rules}]"),
-            F.repeat(
-                F.when(line.startswith(_UNDERLINE["h1"]), "=").otherwise("-"),
-                F.length(F.coalesce(F.get(lines, i - 1), F.lit(""))),
-            ),
-        ).otherwise(line),
+    return text
+
+
+def _draw_rules(text: Column) -> Column:
+    """A heading's rule is as long as the line above it."""
+    rules = "".join(_UNDERLINE.values())
+    ruled = let(
+        F.split(text, "\n"),
+        lambda lines: F.transform(
+            lines,
+            lambda line, i: F.when(
+                line.rlike(f"^[{rules}]"),
+                F.repeat(
+                    F.when(line.startswith(_UNDERLINE["h1"]), "=").otherwise("-"),
+                    F.length(F.coalesce(F.get(lines, i - 1), F.lit(""))),
+                ),
+            ).otherwise(line),
+        ),
     )
-    text = F.when(text.rlike(f"[{rules}]"), F.array_join(ruled, "\n")).otherwise(text)
-    return F.translate(text, _KEPT_NEWLINE + _KEPT_BLANK, "\n ")
+    whole = F.when(text.rlike(f"[{rules}]"), F.array_join(ruled, "\n")).otherwise(text)
+    return F.translate(whole, _KEPT_NEWLINE + _KEPT_BLANK, "\n ")

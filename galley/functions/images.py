@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galley.functions.bind import let
 from galley.functions.urls import site_key, url_join
 
 # Path names and parameters of image proxies, and hosts that refuse foreign pages.
@@ -33,19 +34,25 @@ def unwrap_image_url(url: Column) -> Column:
     Of the proxy prefixes the first in list order wins, wherever it stands in the URL; the result
     is what follows it up to its next occurrence.
     """
-    result = url
-    for name, param in reversed([(n, p) for n in PROXY_NAMES for p in PROXY_PARAMS]):
-        prefix = f"/{name}.php?{param}="
-        result = F.when(url.contains(prefix), F.split_part(url, F.lit(prefix), F.lit(2))).otherwise(result)
-    return F.when(url.contains(".php?"), result).otherwise(url)
+
+    def unwrap(u: Column) -> Column:
+        result = u
+        for name, param in reversed([(n, p) for n in PROXY_NAMES for p in PROXY_PARAMS]):
+            prefix = f"/{name}.php?{param}="
+            result = F.when(u.contains(prefix), F.split_part(u, F.lit(prefix), F.lit(2))).otherwise(result)
+        return F.when(u.contains(".php?"), result).otherwise(u)
+
+    return let(url, unwrap)
 
 
 def is_hotlink_host(url: Column) -> Column:
-    host = site_key(url)
-    found = F.lit(False)
-    for suffix in HOTLINK_HOSTS:
-        found = found | host.endswith(suffix)
-    return found
+    def listed(host: Column) -> Column:
+        found = F.lit(False)
+        for suffix in HOTLINK_HOSTS:
+            found = found | host.endswith(suffix)
+        return found
+
+    return let(site_key(url), listed)
 
 
 def real_url(page_url: Column, src: Column, data_original: Column) -> Column:

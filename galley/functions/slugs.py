@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galley.functions.bind import let
+
 # Letters whose ASCII form is not their decomposition.
 SPECIAL_LETTERS = {
     "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D",
@@ -59,7 +61,13 @@ def slugify(
     if not isinstance(stopwords, Column):
         stopwords = F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")
     stop = F.transform(F.coalesce(stopwords, F.array().cast("array<string>")), F.lower)
-    kept = F.array_join(F.filter(F.split(dashed, "-"), lambda w: ~F.array_contains(stop, w)), "-")
+    kept = let(
+        F.struct(dashed.alias("text"), stop.alias("stop")),
+        lambda x: F.when(
+            F.size(x["stop"]) > 0,
+            F.array_join(F.filter(F.split(x["text"], "-"), lambda w: ~F.array_contains(x["stop"], w)), "-"),
+        ).otherwise(x["text"]),
+    )
     sep = separator if isinstance(separator, Column) else F.lit(separator)
     sep = F.when(F.coalesce(sep, F.lit("")) == "", F.lit("-")).otherwise(sep)
-    return F.replace(_replace_pairs(F.when(F.size(stop) > 0, kept).otherwise(dashed), replacements), F.lit("-"), sep)
+    return F.replace(_replace_pairs(kept, replacements), F.lit("-"), sep)

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galley.functions.bind import let
+
 # Code point ranges that count as CJK.
 CJK_CLASS = r"\x{4e00}-\x{9fa5}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}"
 
@@ -69,11 +71,14 @@ def ngrams(terms: Column, low: int = 1, high: int = 6) -> Column:
 
 def sentences(text: Column, cjk: Column | None = None) -> Column:
     """Sentence array; the rule follows the CJK flag, which is taken from the text by default."""
-    cjk = has_cjk(text) if cjk is None else cjk
-    latin = F.split(
-        F.regexp_replace(text, r"([.!?]+[\"')\]]*)\s+", "$1" + _SENTENCE_MARK), _SENTENCE_MARK
-    )
-    parts = F.when(cjk, F.split(text, CJK_SENTENCE_END)).otherwise(latin)
+
+    def split(t: Column) -> Column:
+        latin = F.split(
+            F.regexp_replace(t, r"([.!?]+[\"')\]]*)\s+", "$1" + _SENTENCE_MARK), _SENTENCE_MARK
+        )
+        return F.when(has_cjk(t) if cjk is None else cjk, F.split(t, CJK_SENTENCE_END)).otherwise(latin)
+
+    parts = let(text, split) if cjk is None else split(text)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -101,12 +106,17 @@ LEADIN = r"(?s)^.*?【?(?:本文|文章|本篇|全文|前言)\s*[，,]?\s*(?:简
 
 def split_tags(tags: Column) -> Column:
     """When any tag holds a bracket, split all tags at brackets and drop label and punctuation."""
-    pieces = F.flatten(F.transform(tags, lambda t: F.filter(F.split(t, "[()]"), lambda x: x != "")))
-    cleaned = F.transform(
-        pieces,
-        lambda x: strip(F.regexp_replace(F.replace(x, F.lit("标签："), F.lit("")), r"(?U)[^\w\s]", "")),
-    )
-    return F.when(F.exists(tags, lambda t: t.contains("(")), cleaned).otherwise(tags)
+
+
+    def split(all_tags: Column) -> Column:
+        pieces = F.flatten(F.transform(all_tags, lambda t: F.filter(F.split(t, "[()]"), lambda x: x != "")))
+        cleaned = F.transform(
+            pieces,
+            lambda x: strip(F.regexp_replace(F.replace(x, F.lit("标签："), F.lit("")), r"(?U)[^\w\s]", "")),
+        )
+        return F.when(F.exists(all_tags, lambda t: t.contains("(")), cleaned).otherwise(all_tags)
+
+    return let(tags, split)
 
 
 def tags_need_keywords(tags: Column) -> Column:

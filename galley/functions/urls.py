@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galley.functions.bind import let
+
 # Media types by file extension.
 MEDIA_TYPES = {
     "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript",
@@ -31,51 +33,55 @@ def site_key(url: Column) -> Column:
 
 def _remove_dots(path: Column) -> Column:
     """Resolve '.' and '..' segments; a trailing one leaves a trailing slash."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
     walked = F.aggregate(
-        segments,
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda kept, seg: F.when(seg == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
         .when(seg == ".", kept)
         .otherwise(F.concat(kept, F.array(seg))),
     )
-    joined = F.array_join(
-        F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"
-    )
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(path)
+    tail = F.when(path.rlike(r"(^|/)\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.concat(walked, tail), "/")).otherwise(path)
+
+
+def _resolve(base: Column, ref: Column) -> Column:
+    site = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+
+    def with_path(path: Column) -> Column:
+        folder = F.regexp_replace(_part(base, 3), r"[^/]*$", "")
+        # repeated slashes inside the merged path collapse
+        merged = F.regexp_replace(
+            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/{2,}", "/")
+        start = F.when(path.startswith("/"), F.regexp_replace(path, "(?<=.)/{2,}", "/")).otherwise(merged)
+        rooted = let(
+            let(start, _remove_dots),
+            lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)),
+        )
+        return F.concat(site, rooted, F.regexp_extract(ref, r"(?s)([?#].*)$", 1))
 
+    def without_path() -> Column:
+        query = F.when(_part(ref, 4) != "", F.concat(F.lit("?"), _part(ref, 4))).when(
+            base.contains("?"), F.concat(F.lit("?"), _part(base, 4))).otherwise("")
+        return F.concat(site, _part(base, 3), query, F.regexp_extract(ref, r"(?s)(#.*)$", 1))
 
-def url_join(base: Column, href: Column) -> Column:
-    """Resolve a link against the URL of the page it stands on."""
-    ref = F.regexp_replace(F.regexp_replace(href, r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    scheme, authority, path = _part(base, 1), _part(base, 2), _part(base, 3)
-    ref_path, ref_query, ref_tail = _part(ref, 3), _part(ref, 4), F.regexp_extract(ref, r"(?s)([?#].*)$", 1)
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    # repeated slashes inside the merged path collapse
-    merged = F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path), "/{2,}", "/")
-    target = _remove_dots(F.when(ref_path.startswith("/"), F.regexp_replace(ref_path, "(?<=.)/{2,}", "/")).otherwise(merged))
-    rooted = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
-    site = F.concat(scheme, F.lit("://"), authority)
-    base_query = F.when(base.contains("?"), F.concat(F.lit("?"), _part(base, 4))).otherwise("")
-    ref_fragment = F.regexp_extract(ref, r"(?s)(#.*)$", 1)
     return (
         F.when(ref == "", base)
         .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(
-            ref_path == "",
-            F.concat(site, path, F.when(ref_query == "", base_query).otherwise(F.concat(F.lit("?"), ref_query)),
-                     ref_fragment),
-        )
-        .otherwise(F.concat(site, rooted, ref_tail))
+        .when(ref.startswith("//"), F.concat(_part(base, 1), F.lit(":"), ref))
+        .otherwise(let(_part(ref, 3), lambda p: F.when(p == "", without_path()).otherwise(with_path(p))))
     )
 
 
+def url_join(base: Column, href: Column) -> Column:
+    """Resolve a link against the URL of the page it stands on."""
+    ref = F.regexp_replace(F.regexp_replace(href, r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return let(F.struct(base.alias("base"), ref.alias("ref")), lambda x: _resolve(x["base"], x["ref"]))
+
+
 def url_basename(url: Column) -> Column:
     """Last path segment, percent-decoded."""
     name = F.regexp_extract(_part(url, 3), r"([^/]*)/*$", 1)
-    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    return let(name, lambda n: F.coalesce(F.try_url_decode(F.replace(n, F.lit("+"), F.lit("%2B"))), n))
 
 
 def guess_media_type(url: Column) -> Column:
