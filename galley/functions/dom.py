@@ -36,8 +36,14 @@ def _post(nodes: Column, pre: Column) -> Column:
     return F.when(pre < 0, F.size(nodes) - 1).otherwise(F.get(nodes, pre)["post"])
 
 
+def _between(nodes: Column, first: Column, last: Column) -> Column:
+    """Nodes by place. Read one by one: a slice copies the whole array before it cuts."""
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(_ints())
+    return F.transform(places, lambda i: F.get(nodes, i))
+
+
 def subtree(nodes: Column, pre: Column) -> Column:
-    return F.when(pre < 0, nodes).otherwise(F.slice(nodes, pre + 1, _post(nodes, pre) - pre + 1))
+    return _between(nodes, F.greatest(pre, F.lit(0)), _post(nodes, pre))
 
 
 # --- selectors ------------------------------------------------------------------------------------
@@ -88,9 +94,9 @@ def selector_steps(selector: Column | str) -> Column:
 def _sibling_elements(nodes: Column, node: Column, before: bool) -> Column:
     parent = node["parent"]
     if before:
-        window = F.slice(nodes, parent + 2, node["pre"] - parent - 1)
+        window = _between(nodes, parent + 1, node["pre"] - 1)
     else:
-        window = F.slice(nodes, node["post"] + 2, _post(nodes, parent) - node["post"])
+        window = _between(nodes, node["post"] + 1, _post(nodes, parent))
     return F.exists(window, lambda s: (s["kind"] == "elem") & (s["parent"] == parent))
 
 
@@ -458,7 +464,7 @@ def _markdown_pieces(nodes: Column, pre: Column, mark: Column | None, g: Column)
         parent = F.get(nodes, li["parent"])
         place = F.size(
             F.filter(
-                F.slice(nodes, li["parent"] + 2, li["pre"] - li["parent"] - 1),
+                _between(nodes, li["parent"] + 1, li["pre"] - 1),
                 lambda s: (s["kind"] == "elem") & (s["tag"] == "li") & (s["parent"] == li["parent"]),
             )
         )

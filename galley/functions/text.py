@@ -57,16 +57,19 @@ def drop_terms(terms: Column, stop: Iterable[str], required: Column | None = Non
 
 def ngrams(terms: Column, low: int = 1, high: int = 6) -> Column:
     """All n-grams of a token array, shortest first."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(terms)
-            continue
-        starts = F.when(F.size(terms) >= n, F.sequence(F.lit(1), F.size(terms) - (n - 1))).otherwise(
+
+    def of_length(words: Column, n: int) -> Column:
+        # a guard, as counting up to less than the start would count down; elements are read one by
+        # one, as a slice would copy the whole array for each n-gram
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(
             F.array().cast("array<int>")
         )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(terms, i, n), " ")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+        return words if n == 1 else F.transform(
+            starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
+
+    if low == high == 1:
+        return terms
+    return let(terms, lambda words: F.concat(*[of_length(words, n) for n in range(low, high + 1)]))
 
 
 def sentences(text: Column, cjk: Column | None = None) -> Column:

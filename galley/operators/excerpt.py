@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
+from galley.operators.joins import spread
 
 # The usual BM25 constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -29,7 +30,7 @@ def bm25_sentences(
     """
     terms = T.drop_terms(T.tokens(F.col("sentence"), 1), stop) if terms is None else terms
     split = (
-        docs.repartition(F.col(key))
+        spread(docs, key)
         .select(key, T.sentences(F.col(text)).alias("_sents"))
         .select(key, F.size("_sents").alias("n_sents"), F.posexplode("_sents").alias("sent_no", "sentence"))
         .select(key, "n_sents", "sent_no", terms.alias("_terms"))

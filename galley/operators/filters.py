@@ -44,15 +44,9 @@ def blocked_ids(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase:
     widths = [r[0] for r in anchors.select("_width").distinct().collect()]  # at most ANCHOR_CHARS values
     if not widths:
         return df.select(key).limit(0)
-    windows = [
-        F.transform(
-            F.when(F.length(text) >= w, F.sequence(F.lit(1), F.length(text) - (w - 1))).otherwise(
-                F.array().cast("array<int>")),
-            lambda i, w=w: F.substring(F.col(text), i, F.lit(w)),
-        )
-        for w in widths
-    ]
-    spread = df.select(key, F.explode(F.array_distinct(F.concat(*windows))).alias("_window"))
+    # a look-ahead matches at every place, so one pass over the text yields all its windows
+    windows = [F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{%d}))" % w), F.lit(1)) for w in widths]
+    spread = df.select(key, F.explode(F.array_distinct(F.concat(*windows) if len(windows) > 1 else windows[0])).alias("_window"))
     pairs = spread.join(small_broadcast(anchors), "_window").select(key, "_phrase").distinct()
     return df.select(key, text).join(pairs, key).filter(F.col(text).contains(F.col("_phrase"))).select(key).distinct()
 

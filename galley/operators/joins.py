@@ -11,6 +11,15 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 10_000
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash by key into the session's number of shuffle partitions, for rows about to be taken apart.
+
+    The number is given outright: rows grow some twenty-fold after this shuffle, and a merge of small
+    partitions by their size before it would leave few, huge tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table has at most that many rows; stops counting beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
-from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, small_broadcast
+from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, small_broadcast, spread
 from galley.session import cut_lineage
 
 
@@ -39,7 +39,7 @@ def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, required: DataFram
 
 def gram_counts(docs: DataFrame, terms: Column, key: str = "doc_id", low: int = 1, high: int = 6) -> DataFrame:
     """``(key, gram, n, tf)`` of the token arrays that ``terms`` yields on each row."""
-    rows = docs.repartition(F.col(key)).select(key, F.explode(T.ngrams(terms, low, high)).alias("gram"))
+    rows = spread(docs, key).select(key, F.explode(T.ngrams(terms, low, high)).alias("gram"))
     counts = rows.groupBy(key, "gram").agg(F.count("*").alias("tf"))
     words = F.length(F.regexp_replace("gram", "[^ ]", "")) + 1
     return counts.select(key, "gram", words.cast("int").alias("n"), "tf")
@@ -123,7 +123,7 @@ def boost_required(scores: DataFrame, required: DataFrame, key: str = "doc_id")
                         F.lit(True).alias("wanted"))
     )
     folded = (
-        rows.repartition(F.col(key)).groupBy(key, "term")
+        spread(rows, key).groupBy(key, "term")
         .agg(F.max("score").alias("score"), F.bool_or("wanted").alias("wanted"))
     )
     top = F.coalesce(F.max("score").over(W.partitionBy(key)), F.lit(0.0))

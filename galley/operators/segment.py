@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions.text import CJK_CLASS
-from galley.operators.joins import lookup_join, small_broadcast
+from galley.operators.joins import lookup_join, small_broadcast, spread
 
 # Words up to which the dictionary becomes one pattern.
 PATTERN_WORDS = 5_000
@@ -34,7 +34,7 @@ def segment_cjk(
     if len(head) <= pattern_words:
         return df.select(key, segment_by_pattern(F.col(column), head).alias("terms"))
     longest = words.agg(F.max(F.length("term"))).first()[0]
-    runs = df.repartition(F.col(key)).select(
+    runs = spread(df, key).select(
         key,
         F.posexplode_outer(F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("run_no", "run"),
     )
@@ -90,7 +90,7 @@ def transliterate(df: DataFrame, column: str, syllables: DataFrame, key: str) ->
     ``syllables`` is ``(ch, syllable)``. Characters it lacks stay.
     """
     parts = F.regexp_extract_all(F.col(column), F.lit(f"([{CJK_CLASS}]|[^{CJK_CLASS}]+)"), F.lit(1))
-    rows = df.repartition(F.col(key)).select(key, F.posexplode(parts).alias("pos", "ch"))
+    rows = spread(df, key).select(key, F.posexplode(parts).alias("pos", "ch"))
     named = rows.join(small_broadcast(syllables.select("ch", "syllable")), "ch", "left")
     return named.groupBy(key).agg(
         F.array_join(
