@@ -1 +1,80 @@
-"""Placeholder."""
+"""Whole jobs over the pages: batch and incremental."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from galley.checks.links import scratch
+from galley.checks.registry import ARTICLE_HTML, H1, check, decode_sql, table
+from galley.functions.urls import site_key
+from galley.plans.run import run
+from galley.schemas import ARTICLES, SITE_FILE
+from galley.sources import read_articles, read_pages
+from galley.sources.readers import with_removal_pattern
+from galley.streaming import ingest
+
+AS_OF = "2024-01-01 00:00:00+00:00"
+
+
+def site_rules(spark, folder, extract: bool = False):
+    """One rule per host of the pages."""
+    hosts = table(spark, folder, "pages").select(site_key(F.col("url")).alias("site")).distinct()
+    empty = F.array().cast("array<string>")
+    article = F.struct(
+        F.lit("h1").alias("title"), F.lit("nav li > a").alias("tags"), F.lit("").alias("excerpt"), F.lit("article").alias("content"),
+        F.lit("").alias("date"), F.create_map(F.lit("first"), F.lit("nav a")).alias("extras"))
+    selectors = F.struct(
+        F.struct(F.lit("nav a").alias("article"), F.lit("").alias("next")).alias("list"), article.alias("article"),
+        F.struct(F.array(F.lit("div.ad"), F.lit("")).alias("tags"), F.array(F.lit("<script(.*?)>"), F.lit("(")).alias("regex")).alias("remove"),
+        F.struct(F.array(F.lit("there")).alias("titles"), F.array(F.lit("###")).alias("words")).alias("filter"))
+    rows = hosts.select(
+        F.col("site"), F.col("site").alias("name"), F.array(F.concat(F.lit("http://"), "site", F.lit("/"))).alias("start_urls"),
+        selectors.alias("selectors"), F.when(F.length("site") % 2 == 0, F.lit("hexo")).otherwise(F.lit("hugo")).alias("cms"),
+        F.array(F.lit("")).alias("categories"), F.lit("").alias("author"), F.lit("/images").alias("imgprefix"), F.lit(extract).alias("extract"),
+        F.struct(F.lit("a").alias("text"), F.lit("").alias("password")).alias("watermark"),
+        F.struct(empty.alias("stopwords"), F.array().cast("array<array<string>>").alias("replacements"), F.lit("-").alias("separator")).alias("slugify"),
+        F.struct(empty.alias("filter"), F.array(F.lit("The")).alias("require")).alias("tokenizer"))
+    typed = spark.createDataFrame([], SITE_FILE).withColumn("site", F.lit("")).filter("false")
+    return with_removal_pattern(typed.unionByName(rows))
+
+
+def _state(spark, folder):
+    pages = table(spark, folder, "pages").select("url", site_key(F.col("url")).alias("site"), F.lit(False).alias("publish"))
+    return spark.createDataFrame([], ARTICLES).unionByName(pages, allowMissingColumns=True)
+
+
+EXPECTED = rf"""
+  p AS (SELECT page_id, url, {H1} AS title, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="/([^"]*)"', 1) AS w,
+      list_transform(regexp_extract_all({ARTICLE_HTML}, '(?s)<p>(.*?)(?:</p>|<br>)', 1), lambda x: {decode_sql("regexp_replace(x, '<[^>]*>', '', 'g')")}) AS ps,
+      {decode_sql(ARTICLE_HTML)} AS body FROM pages),
+  k AS (SELECT *, contains(title, 'there') OR contains(body, '###') AS dropped FROM p),
+  x AS (SELECT url, CASE WHEN NOT dropped THEN regexp_replace(title, '^\s+|\s+$', '', 'g') END AS title, CASE WHEN NOT dropped THEN CASE WHEN length(coalesce(nullif(ps[1], ''), ps[2])) > 60
+      THEN coalesce(nullif(ps[1], ''), ps[2]) ELSE '' END END AS excerpt, CASE WHEN NOT dropped THEN w[1] END AS first,
+      CASE WHEN NOT dropped THEN array_to_string(list_filter(w, lambda t: regexp_matches(t, '[a-zA-Z]')), '|') END AS tags, NOT dropped AS publish FROM k)
+"""
+
+
+@check(f"WITH {EXPECTED} SELECT url, title, excerpt, first, tags, publish FROM x")
+def article_job(spark, folder):
+    pages = read_pages(spark, f"{folder}/pages.parquet")
+    result = run(spark, site_rules(spark, folder), pages, _state(spark, folder), F.to_timestamp(F.lit(AS_OF)), discover=False)
+    return result.articles.select("url", "title", "excerpt", F.col("extras")["first"].alias("first"),
+                                  F.array_join("tags", "|").alias("tags"), "publish")
+
+
+@check()
+def keyword_job(spark, folder):
+    pages = read_pages(spark, f"{folder}/pages.parquet")
+    result = run(spark, site_rules(spark, folder, True), pages, _state(spark, folder), F.to_timestamp(F.lit(AS_OF)), discover=False)
+    return result.documents.select("site", "doc_name", "n_bytes")
+
+
+@check(f"WITH {EXPECTED} SELECT url, title, publish FROM x")
+def incremental_job(spark, folder):
+    out, source = scratch(spark, "incremental"), scratch(spark, "incoming")
+    pages = table(spark, folder, "pages")
+    for part in range(2):  # files arrive in two lots, the second with every third page again
+        lot = pages.filter(f"page_id % 2 = {part} OR (page_id % 3 = 0 AND {part} = 1)")
+        lot.coalesce(1).write.mode("append").parquet(source)
+        ingest(spark, source, out, site_rules(spark, folder), F.to_timestamp(F.lit(AS_OF))).awaitTermination()
+    return read_articles(spark, f"{out}/articles", ["title", "publish"])

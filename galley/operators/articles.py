@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import dates, dom, images
 from galley.functions import text as T
+from galley.functions.bind import compute_once
 from galley.functions.frontmatter import watermark
 from galley.operators.filters import filter_titles, filter_words, require_fields
 from galley.operators.joins import small_broadcast
@@ -36,13 +37,13 @@ def with_rules(tree: DataFrame, sites: DataFrame) -> DataFrame:
 
 def with_title(tree: DataFrame) -> DataFrame:
     title = T.clean_title(dom.node_text(_nodes(), dom.first_step_match(_nodes(), F.col("steps.title"))))
-    return require_fields(tree.withColumn("title", title), "title")
+    return require_fields(compute_once(tree, title=title), "title")
 
 
 def with_content(tree: DataFrame) -> DataFrame:
     """``root`` is the content element; articles without one are dropped."""
-    found = tree.withColumn("root", dom.first_step_match(_nodes(), F.col("steps.content")))
-    found = require_fields(found, "root").withColumn("_raw_text", dom.node_text(_nodes(), F.col("root")))
+    found = require_fields(compute_once(tree, root=dom.first_step_match(_nodes(), F.col("steps.content"))), "root")
+    found = compute_once(found, _raw_text=dom.node_text(_nodes(), F.col("root")))
     return filter_words(found, "_raw_text").drop("_raw_text")
 
 
@@ -188,6 +189,8 @@ def parse_articles(tree: DataFrame, as_of: Column) -> DataFrame:
 
 def image_manifest(parsed: DataFrame) -> DataFrame:
     """One row per kept image, for a downstream fetcher."""
-    return parsed.select("site", "page_id", F.explode("images").alias("i")).select(
+    # the outer form: a plain explode would first filter by size and copy the images' whole expression
+    rows = parsed.select("site", "page_id", F.explode_outer("images").alias("i")).filter("i IS NOT NULL")
+    return rows.select(
         "site", "page_id", "i.pos", "i.real_url", "i.filename", "i.new_src"
     )

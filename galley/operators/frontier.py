@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import dom
+from galley.functions.bind import compute_once
 from galley.functions.urls import url_join
 from galley.operators.joins import lookup_join
 from galley.schemas import PARSED_FIELDS
@@ -16,7 +17,7 @@ def extract_links(tree: DataFrame, selector: Column | str) -> DataFrame:
     """One row per matched link: ``(…, pos, href, link)``, resolved against the page's URL."""
     hrefs = dom.attributes(F.col("nodes"), dom.select(F.col("nodes"), selector), "href")
     kept = [c for c in tree.columns if c != "nodes"]
-    rows = tree.select(*kept, F.posexplode(hrefs).alias("pos", "href"))
+    rows = tree.select(*kept, F.posexplode_outer(hrefs).alias("pos", "href")).filter("href IS NOT NULL")
     return rows.withColumn("link", url_join(F.col("url"), F.col("href")))
 
 
@@ -24,7 +25,8 @@ def next_edges(tree: DataFrame, selector: Column | str) -> DataFrame:
     """``(url, next_url)`` by the first next link of each listing."""
     nodes = F.col("nodes")
     href = dom.attribute_of(nodes, dom.select_one(nodes, selector), "href")
-    return tree.select("url", url_join(F.col("url"), href).alias("next_url")).filter("next_url IS NOT NULL")
+    found = compute_once(tree.select("url", "nodes"), href=href).filter("href IS NOT NULL")
+    return found.select("url", url_join(F.col("url"), F.col("href")).alias("next_url"))
 
 
 def reachable_listings(
