@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 
+from galley.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +21,11 @@ def check(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its oracle if there is one."""
 
     def register(query: Query) -> Query:
-        QUERIES[query.__name__] = query
+        @wraps(query)
+        def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            return query(prepare(spark), folder)
+
+        QUERIES[query.__name__] = prepared
         if sql is not None:
             ORACLES[query.__name__] = sql
         return query
