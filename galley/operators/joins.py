@@ -20,6 +20,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
 
 
+def widen(df: DataFrame, bound: int = 1 << 30) -> DataFrame:
+    """Deal a table below ``bound`` bytes out to all cores; a larger one comes in enough parts.
+
+    A small table sits in few files, and costly work on its rows would get as few tasks.
+    """
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size < bound else df
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table has at most that many rows; stops counting beyond."""
     return df.limit(rows + 1).count() <= rows

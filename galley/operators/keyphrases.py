@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from galley.functions.bind import compute_once, let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
@@ -13,9 +15,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vec: Column) -> Column:
     """Vector of length one, as doubles."""
-    vec = vec.cast("array<double>")
-    norm = F.sqrt(dot(vec, vec))
-    return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
+    sized = let(vec.cast("array<double>"), lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm")))
+    return let(
+        sized, lambda s: F.when(s["norm"] > 0, F.transform(s["v"], lambda x: x / s["norm"])).otherwise(s["v"])
+    )
 
 
 def keyphrases_mmr(
@@ -29,8 +32,8 @@ def keyphrases_mmr(
     """
     doc = W.partitionBy(key)
     rows = (
-        candidates.select(key, "term", unit(F.col("vec")).alias("vec"))
-        .join(doc_vectors.select(key, unit(F.col("vec")).alias("_doc")), key)
+        compute_once(candidates.select(key, "term", "vec"), vec=unit(F.col("vec")))
+        .join(compute_once(doc_vectors.select(key, "vec"), _doc=unit(F.col("vec"))).drop("vec"), key)
         .select(key, "term", "vec", dot(F.col("vec"), F.col("_doc")).alias("score"))
         .withColumn("rank", F.lit(None).cast("int"))
         .withColumn("_near", F.lit(None).cast("double"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,20 @@ _LATIN = r"[\p{L}\p{N}_&&[^%s]]+" % CJK_CLASS
 
 def segment_by_pattern(text: Column, words: list[str]) -> Column:
     """Token array by forward maximum matching with a short dictionary; one character where none fits."""
-    quoted = ["\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in sorted(set(words), key=lambda w: (-len(w), w)) if w]
-    return F.regexp_extract_all(F.lower(text), F.lit("(" + "|".join([*quoted, f"[{CJK_CLASS}]", _LATIN]) + ")"), F.lit(1))
+    parts = [longest_of(words), f"[{CJK_CLASS}]", _LATIN]
+    return F.regexp_extract_all(F.lower(text), F.lit("(" + "|".join(p for p in parts if p) + ")"), F.lit(1))
+
+
+def longest_of(words: list[str]) -> str:
+    """Pattern for the longest of the words that fits, with their common beginnings shared."""
+    by_first: dict[str, list[str]] = {}
+    for word in sorted(set(words) - {""}):
+        by_first.setdefault(word[0], []).append(word[1:])
+    branches = []
+    for first, rests in by_first.items():
+        rest = longest_of(rests)
+        branches.append(re.escape(first) + (f"(?:{rest}){'?' if '' in rests else ''}" if rest else ""))
+    return "|".join(branches)
 
 
 def segment_cjk(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galley.functions.dom import RAW_TAGS, VOID_TAGS
+from galley.operators.joins import widen
 from galley.schemas import NODE
 
 # Which start tags end an open paragraph, item, cell or option, and where that stops.
@@ -186,7 +187,7 @@ def _node_array(pages: list[str | None]) -> pa.Array:
 
 
 def shred(pages: DataFrame) -> DataFrame:
-    """Replace ``html`` by ``nodes``. Row-local: no shuffle, and the markup travels no further."""
+    """Replace ``html`` by ``nodes``. Row-local: large inputs are not shuffled, and the markup ends here."""
     kept = [c for c in pages.columns if c != "html"]
     schema = pages.select(*kept).schema.add("nodes", T._parse_datatype_string(f"ARRAY<{NODE}>"))
 
@@ -199,7 +200,7 @@ def shred(pages: DataFrame) -> DataFrame:
                     [piece.column(c) for c in kept] + [nodes], names=[*kept, "nodes"]
                 )
 
-    return pages.select(*kept, "html").mapInArrow(run, schema)
+    return widen(pages.select(*kept, "html")).mapInArrow(run, schema)
 
 
 def node_rows(tree: DataFrame) -> DataFrame:
