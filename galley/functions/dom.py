@@ -502,60 +502,55 @@ def _markdown_pieces(nodes: Column, pre: Column, mark: Column | None, g: Column)
     def attr(n: Column, name: str) -> Column:
         return F.coalesce(F.try_element_at(n["attrs"], F.lit(name)), F.lit(""))
 
-    def opening(n: Column) -> Column:
+    def inline_mark(n: Column, side: int) -> Column:
+        table = F.create_map(*[F.lit(x) for tag, marks in _INLINE.items() for x in (tag, marks[side])])
+        code = n["tag"].isin("code", "kbd", "samp") & inside(n, pres, "pre")
+        return F.when(code, "").otherwise(F.try_element_at(table, n["tag"]))
+
+    def opening(n: Column, prefix: Column) -> Column:
         tag = n["tag"]
-        piece = F.when(n["kind"] == "text", text_piece(n))
-        for name, (mark, _, _) in _INLINE.items():
-            literal = mark if name not in ("code", "kbd", "samp") else None
-            piece = piece.when(
-                tag == name,
-                F.lit(literal) if literal else F.when(inside(n, pres, "pre"), "").otherwise(F.lit(mark)),
-            )
+        paragraph = set_prefix(_PARAGRAPH, prefix)
         return (
-            piece.when(tag == "br", F.when(inside(n, headings), F.lit(" ")).otherwise(
-                set_prefix(_HARD, frame_prefix(n))))
-            .when(tag == "hr", F.concat(set_prefix(_PARAGRAPH, frame_prefix(n)), F.lit("---"),
-                                        set_prefix(_PARAGRAPH, frame_prefix(n))))
+            F.when(n["kind"] == "text", text_piece(n))
+            .when(tag.isin(*_INLINE), inline_mark(n, 0))
+            .when(tag == "br", F.when(inside(n, headings), F.lit(" ")).otherwise(set_prefix(_HARD, prefix)))
+            .when(tag == "hr", F.concat(paragraph, F.lit("---"), paragraph))
             .when(tag == "img", F.when(inside(n, headings), attr(n, "alt")).otherwise(
                 F.concat(F.lit("!["), attr(n, "alt"), F.lit("]("), attr(n, "src"), title_part(n), F.lit(")"))))
             .when((tag == "a") & (attr(n, "href") != ""), F.lit("\ue018["))
-            .when(tag == "li", F.concat(set_prefix(_BREAK, frame_prefix(n)), bullet(n), F.lit(_BULLET)))
-            .when(tag == "blockquote", set_prefix(_PARAGRAPH, F.concat(frame_prefix(n), F.lit("> "))))
-            .when(tag == "pre", F.concat(set_prefix(_PARAGRAPH, frame_prefix(n)), F.lit("```" + _KEPT_NEWLINE)))
-            .when(tag.isin("ul", "ol") & inside(n, frames, "li"), set_prefix(_BREAK, frame_prefix(n)))
-            .when(tag.isin("h1", "h2") | (tag.isin(_PARAGRAPH_TAGS) & ~inside(n, headings)),
-                  set_prefix(_PARAGRAPH, frame_prefix(n)))
+            .when(tag == "li", F.concat(set_prefix(_BREAK, prefix), bullet(n), F.lit(_BULLET)))
+            .when(tag == "blockquote", set_prefix(_PARAGRAPH, F.concat(prefix, F.lit("> "))))
+            .when(tag == "pre", F.concat(paragraph, F.lit("```" + _KEPT_NEWLINE)))
+            .when(tag.isin("ul", "ol") & inside(n, frames, "li"), set_prefix(_BREAK, prefix))
+            .when(tag.isin("h1", "h2") | (tag.isin(_PARAGRAPH_TAGS) & ~inside(n, headings)), paragraph)
             .when(tag.isin(_HEADINGS), F.concat(
-                set_prefix(_PARAGRAPH, frame_prefix(n)),
-                F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" ")))
+                paragraph, F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" ")))
             .otherwise("")
         )
 
-    def closing(n: Column) -> Column:
+    def closing(n: Column, prefix: Column) -> Column:
         tag = n["tag"]
-        piece = None
-        for name, (_, mark, _) in _INLINE.items():
-            value = F.lit(mark) if name not in ("code", "kbd", "samp") else F.when(
-                inside(n, pres, "pre"), "").otherwise(F.lit(mark))
-            piece = F.when(tag == name, value) if piece is None else piece.when(tag == name, value)
+        paragraph = set_prefix(_PARAGRAPH, prefix)
         return (
-            piece.when((tag == "a") & (attr(n, "href") != ""),
-                       F.concat(F.lit("]\ue019("), attr(n, "href"), title_part(n), F.lit(")")))
-            .when(tag == "h1", F.concat(F.lit("\n" + _UNDERLINE["h1"]), set_prefix(_PARAGRAPH, frame_prefix(n))))
-            .when(tag == "h2", F.concat(F.lit("\n" + _UNDERLINE["h2"]), set_prefix(_PARAGRAPH, frame_prefix(n))))
-            .when(tag == "pre", F.concat(F.lit(_KEPT_NEWLINE + "```"), set_prefix(_PARAGRAPH, frame_prefix(n))))
-            .when((tag == "li") | (tag.isin("ul", "ol") & inside(n, frames, "li")), set_prefix(_BREAK, frame_prefix(n)))
-            .when(tag.isin(*_HEADINGS, "blockquote") | (tag.isin(_PARAGRAPH_TAGS) & ~inside(n, headings)),
-                  set_prefix(_PARAGRAPH, frame_prefix(n)))
+            F.when(tag.isin(*_INLINE), inline_mark(n, 1))
+            .when((tag == "a") & (attr(n, "href") != ""),
+                  F.concat(F.lit("]\ue019("), attr(n, "href"), title_part(n), F.lit(")")))
+            .when(tag == "h1", F.concat(F.lit("\n" + _UNDERLINE["h1"]), paragraph))
+            .when(tag == "h2", F.concat(F.lit("\n" + _UNDERLINE["h2"]), paragraph))
+            .when(tag == "pre", F.concat(F.lit(_KEPT_NEWLINE + "```"), paragraph))
+            .when((tag == "li") | (tag.isin("ul", "ol") & inside(n, frames, "li")), set_prefix(_BREAK, prefix))
+            .when(tag.isin(*_HEADINGS, "blockquote") | (tag.isin(_PARAGRAPH_TAGS) & ~inside(n, headings)), paragraph)
             .otherwise("")
         )
 
-    opens = F.transform(part, lambda n: _event(n["pre"], 0, n["pre"], opening(n)))
-    closes = F.transform(
-        F.filter(part, lambda n: (n["kind"] == "elem") & ~n["tag"].isin(VOID_TAGS)),
-        lambda n: _event(n["post"], 1, -2 * n["pre"], closing(n)),
-    )
-    return _ordered(opens, closes, _after_last_child(nodes, pre, mark))
+    def events(n: Column, prefix: Column) -> Column:
+        opened = _event(n["pre"], 0, n["pre"], opening(n, prefix))
+        closed = _event(n["post"], 1, -2 * n["pre"], closing(n, prefix))
+        paired = (n["kind"] == "elem") & ~n["tag"].isin(VOID_TAGS)
+        return F.when(paired, F.array(opened, closed)).otherwise(F.array(opened))
+
+    pieces = F.flatten(F.transform(part, lambda n: let(frame_prefix(n), lambda p: events(n, p))))
+    return _ordered(pieces, _after_last_child(nodes, pre, mark))
 
 
 def _settle_bound(text: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from galley.functions.urls import site_key
-from galley.operators.documents import build_documents  # noqa: F401  (part of a batch's result)
 from galley.plans.run import process_pages
 from galley.schemas import ARTICLES, PAGES
 from galley.sources.readers import read_articles
