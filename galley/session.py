@@ -8,12 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Settings that change speed only and may be set on a running session: building large expressions
-# skips the record of each call's place in the source.
-SPEED = {
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
-}
-
 
 def build_session(app_name: str = "galley", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -26,21 +20,14 @@ def build_session(app_name: str = "galley", master: str | None = None, **conf: s
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # pages are large rows: keep the batches that cross to Python small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-        **SPEED,
+        # large expressions are built faster without a record of each call's place in the source
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the speed settings to a session that was made elsewhere."""
-    for key, value in SPEED.items():
-        if spark.conf.isModifiable(key) or spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
-    return spark
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder for checkpoints, as the cluster names it.
 
