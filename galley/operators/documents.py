@@ -9,6 +9,9 @@ from galley.functions import frontmatter as fm
 from galley.functions.dates import date_digits, fmt_pubdate
 from galley.functions.slugs import slugify
 
+# Fixed value: the author of sites that name none.
+DEFAULT_AUTHOR = "lopins"
+
 
 def or_default(value: Column, default: str) -> Column:
     """Value, or the default when it is missing or empty."""
@@ -26,7 +29,7 @@ def base_fields(
         "title": fm.toml_string(title), "date": fm.toml_string(date), "tags": top, "keywords": top,
         "description": fm.toml_string(F.coalesce(excerpt, F.lit(""))),
         "categories": fm.toml_array(categories),
-        "author": fm.toml_string(or_default(author, "lopins")), "cover": fm.toml_string(F.lit("")),
+        "author": fm.toml_string(or_default(author, DEFAULT_AUTHOR)), "cover": fm.toml_string(F.lit("")),
         "pictures": fm.toml_array(pictures), "hiddenFromHomePage": no, "readingTime": yes,
         "hideComments": yes, "isCJKLanguage": yes, "slug": fm.toml_string(slug),
     }
