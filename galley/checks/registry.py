@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Callable
-from functools import lru_cache
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,15 +27,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@lru_cache
-def packaged_stopwords(name: str) -> tuple[str, ...]:
-    """Spark's own list, read from its jar so that no session is needed."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as files:
-        text = files.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode()
-    return tuple(sorted({w.strip().lower() for w in text.splitlines() if w.strip()}))
-
-
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

@@ -6,20 +6,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.checks.registry import (
-    ARTICLE, ARTICLE_HTML, GRAMS, H1, check, packaged_stopwords, sql_list, sql_text, table, tokens_sql,
+    ARTICLE, ARTICLE_HTML, GRAMS, H1, check, sql_list, sql_text, table, tokens_sql,
 )
+from galley.checks.stopwords import STOPWORDS
 from galley.functions import text as T
 from galley.functions.bind import let
 from galley.operators import excerpt, filters, keyphrases, scoring, segment
 from galley.operators.articles import choose_excerpt, choose_tags
-from galley.sources import default_stopwords, stopword_table
 
-LANGS = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 DOC_TOKENS = tokens_sql("text")
 STOP_SQL = "(VALUES " + ", ".join(
-    f"('{lang}', {sql_text(w)})" for lang, name in LANGS.items() for w in packaged_stopwords(name)
+    f"('{lang}', {sql_text(w)})" for lang, words in STOPWORDS.items() for w in words
 ) + ") s(lang, term)"
-ENGLISH_SQL = sql_list(packaged_stopwords("english"))
+ENGLISH_SQL = sql_list(STOPWORDS["en"])
 
 
 def page_fields(spark, folder):
@@ -50,7 +49,7 @@ FROM p LEFT JOIN r ON p.page_id = r.page_id AND r.rank <= 5 GROUP BY p.page_id,
 """)
 def keywords_top5(spark, folder):
     fields = page_fields(spark, folder)
-    terms = T.drop_terms(T.tokens(F.col("body")), default_stopwords("en"))
+    terms = T.drop_terms(T.tokens(F.col("body")), list(STOPWORDS["en"]))
     grams = scoring.gram_counts(fields.select("page_id", "body"), terms, "page_id", 1, 1)
     scores = scoring.tf_l2(grams, "page_id").select("page_id", F.col("gram").alias("term"), F.col("weight").alias("score"))
     top = scoring.rank_keywords(scores, "page_id").filter("rank <= 5")
@@ -129,12 +128,11 @@ SELECT a.doc_id, n_tokens, coalesce(n_kept, 0) AS n_kept FROM a LEFT JOIN k USIN
 """)
 def stopword_ratio(spark, folder):
     docs = table(spark, folder, "documents")
-    tokens = docs.select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("term"))
-    kept = scoring.remove_stopwords(tokens, stopword_table(spark, list(LANGS)))
-    # both counts fold before the shuffle; the rows that meet are one per document
-    total = tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
-    return total.join(kept.groupBy("doc_id").agg(F.count("*").alias("n_kept")), "doc_id", "left").select(
-        "doc_id", "n_tokens", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+    kept = F.col("w")
+    for lang, words in STOPWORDS.items():
+        kept = F.when(F.col("lang") == lang, T.drop_terms(F.col("w"), list(words))).otherwise(kept)
+    rows = docs.select("doc_id", "lang", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    return rows.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.size(kept).cast("bigint").alias("n_kept"))
 
 
 @check(f"""
@@ -144,7 +142,7 @@ SELECT term, count(*) AS n FROM t WHERE term NOT IN ({ENGLISH_SQL}) OR term IN (
 def stopwords_keep_required(spark, folder):
     tokens = scoring.tokenize(table(spark, folder, "documents"), "text")
     required = spark.createDataFrame([("the",), ("and",), ("of",)], "term STRING")
-    kept = scoring.remove_stopwords(tokens, stopword_table(spark, ["en"]).select("term"), required)
+    kept = scoring.remove_stopwords(tokens, spark.createDataFrame([(w,) for w in STOPWORDS["en"]], "term STRING"), required)
     return kept.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -301,7 +299,7 @@ SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, round(score, 6) AS score FRO
 """)
 def bm25_sentences(spark, folder):
     turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return excerpt.bm25_sentences(turns, "text", stop=default_stopwords("en")).withColumn("score", F.round("score", 6))
+    return excerpt.bm25_sentences(turns, "text", stop=list(STOPWORDS["en"])).withColumn("score", F.round("score", 6))
 
 
 @check(f"""
@@ -311,7 +309,7 @@ SELECT doc_id, string_agg(sentence, ' ' ORDER BY sent_no) AS excerpt FROM r GROU
 """)
 def bm25_excerpt(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return excerpt.excerpt_bm25(docs, "text", 5, stop=default_stopwords("en"))
+    return excerpt.excerpt_bm25(docs, "text", 5, stop=list(STOPWORDS["en"]))
 
 
 @check(rf"""
