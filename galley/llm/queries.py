@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe
+from galley.llm import bpe, simhash, token_files
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -22,6 +22,20 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op4_simhash_near_duplicates(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op5_simple8b_token_files(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    tokens = token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokens.select("doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"),
+                         token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
+
+
 @query()
 def op8_bpe_round_trip(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
