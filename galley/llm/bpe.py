@@ -18,16 +18,18 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 SHORT_WORD = 512
 CACHED_WORDS = 300_000
 # The public word pattern of byte-level vocabularies.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_MERGE = 1 << 60
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 CUT = "\ud800"  # no valid text holds a lone surrogate
 
 
@@ -70,6 +72,7 @@ class ByteBPE:
         self.table = _PairTable(self.ranks)
         self.letters = np.array(self.letter_ids)
         self.made = np.array(self.merged or [0])
+        self.marks = {m: self.ids[m.encode()].to_bytes(4, "little") for m in ".,;:!?" if m.encode() in self.ids}
         self.known: dict[str, bytes | None] = {}  # ids of chunks; None where a chunk leaves the next cut open
 
     # one word -----------------------------------------------------------------------------------
@@ -147,8 +150,9 @@ class ByteBPE:
             least = np.minimum.reduceat(ranks, starts)
             opened = least != NO_MERGE
             if not opened.all():
-                for w, a, b in zip(place[~opened].tolist(), starts[~opened].tolist(), ends[~opened].tolist()):
-                    closed[w] = ids[a:b].astype("<i4").tobytes()
+                data = ids.astype("<i4").tobytes()
+                for w, a, b in zip(place[~opened].tolist(), (4 * starts[~opened]).tolist(), (4 * ends[~opened]).tolist()):
+                    closed[w] = data[a:b]
                 stay = np.repeat(opened, sizes)
                 ids, ranks, sizes, place, least = ids[stay], ranks[stay], sizes[opened], place[opened], least[opened]
                 ends = np.cumsum(sizes)
@@ -178,32 +182,42 @@ class ByteBPE:
         known = self.known
         if len(known) + len(chunks) > CACHED_WORDS:
             known.clear()
-        chunks = {c for c in chunks if c not in known}
-        cut: dict[str, list[str]] = {}
-        for chunk in chunks:
-            if not chunk:
-                known[chunk] = b""
-            elif chunk[-1].isspace():
-                known[chunk] = None
+        words, marked, others = [], [], []
+        for chunk in chunks.difference(known):
+            if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+                words.append(chunk)
+            elif not chunk or chunk[-1].isspace():
+                known[chunk] = None if chunk else b""
+            elif chunk[-1] in self.marks and chunk[-2:-1].isalpha() and (
+                    chunk[1:-1] if chunk[0] == " " else chunk[:-1]).isalpha():
+                marked.append(chunk)
             else:
-                body = chunk[1:] if chunk[0] == " " else chunk
-                cut[chunk] = [chunk] if body.isalpha() else self.words.findall(chunk)
-        words = {w for ws in cut.values() for w in ws if known.get(w) is None}
+                others.append((chunk, self.words.findall(chunk)))
+        words += {c[:-1] for c in marked}.difference(known, words)
+        words += {w for _, ws in others for w in ws if known.get(w) is None}.difference(words)
         found = self.merge_words(words)
-        for chunk, ws in cut.items():
+        for chunk, ws in others:
             known[chunk] = b"".join([found[w] if w in found else known[w] for w in ws])
-        for word, ids in found.items():
-            if not word[-1].isspace():
-                known[word] = ids
+        for word in [w for w in found if w[-1].isspace()]:
+            del found[word]  # as a chunk it leaves the next cut open
+        known.update(found)
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + self.marks[chunk[-1]]
 
     def merge_words(self, words) -> dict[str, bytes]:
         short = [w for w in words if len(w) * 4 <= SHORT_WORD]
         found = dict(zip(short, self.merge_many([w.encode() for w in short]))) if short else {}
-        for word in words:
-            if word not in found:
-                found[word] = array("i", self.merge(word.encode())).tobytes()
+        if len(short) < len(words):
+            for word in words:
+                if word not in found:
+                    found[word] = array("i", self.merge(word.encode())).tobytes()
         return found
 
+    def _by_pattern(self, text: str) -> list[bytes]:
+        words = self.words.findall(text)
+        found = self.merge_words({*words})
+        return [found[w] for w in words]
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of several texts, whose chunks are looked up together.
 
@@ -215,7 +229,7 @@ class ByteBPE:
             parts = self.control.split(text) if self.control is not None and self.control.search(text) else [text]
             pieces.append([self.added[p].to_bytes(4, "little") if p in self.added else (
                 p, p.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT)) for p in parts])
-        self.learn({c for parts in pieces for p in parts if type(p) is tuple for c in p[1]})
+        self.learn(set().union(*[p[1] for parts in pieces for p in parts if type(p) is tuple]))
         known, out = self.known, []
         for parts in pieces:
             ids: list[bytes] = []
@@ -225,14 +239,9 @@ class ByteBPE:
                     continue
                 text, chunks = part
                 found = [*map(known.__getitem__, chunks)]
-                if None in found[:-1]:
-                    words = self.words.findall(text)
-                    table = self.merge_words(set(words))
-                    found = [table[w] for w in words]
-                elif found[-1] is None:
-                    words = self.words.findall(chunks[-1])
-                    table = self.merge_words(set(words))
-                    found[-1:] = [table[w] for w in words]
+                if None in found:
+                    at = found.index(None)
+                    found = self._by_pattern(text) if at < len(found) - 1 else found[:-1] + self._by_pattern(chunks[-1])
                 ids += found
             out.append(np.frombuffer(b"".join(ids), "<i4"))
         return out
@@ -280,10 +289,11 @@ class _PairTable:
         return out
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS):
+def slices(texts, chars: int = SLICE_CHARS):
     """Runs of texts of about so many characters; a longer text stands alone."""
     run, size = [], 0
     for text in texts:
+        text = text.as_py() if isinstance(text, pa.Scalar) else text
         if run and size + len(text) > chars:
             yield run
             run, size = [], 0
@@ -299,21 +309,34 @@ def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of a text column as ``array<int>``; a null text has none, as the empty text.
+def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+                 decoded: str | None = None) -> DataFrame:
+    """The kept columns and ``ids``, the token ids of a text column as ``array<int>``.
 
-    Control strings of the vocabulary inside a text become their own ids, as in the public library's
-    default. All other columns pass through; a column already named ``ids`` is replaced.
+    A null text has no ids, as the empty text. Control strings of the vocabulary inside a text become their
+    own ids, as in the public library's default. With ``decoded`` the ids are also decoded again, into a
+    column of that name. Texts cross to Python once, in slices that bound a worker's memory.
     """
+    given = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("TEXT"))
+    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, StringType())
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts):
-        import pandas as pd
-
+    def run(batches):
         bpe = vocabulary(path)
-        return pd.Series([ids for run in slices([t or "" for t in texts]) for ids in bpe.encode_many(run)], dtype=object)
-
-    return docs.withColumn(ids, encoded(F.col(text).cast("string")))
+        for batch in batches:
+            texts, at = batch.column(len(keep)), 0
+            for some in slices(texts):
+                ids = bpe.encode_many(some)
+                columns = [c.slice(at, len(some)) for c in batch.columns[:-1]]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return given.mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

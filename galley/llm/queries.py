@@ -38,10 +38,8 @@ def op5_simple8b_token_files(spark, folder):
 
 @query()
 def op8_bpe_round_trip(spark, folder):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = table(spark, folder, "documents").select("doc_id", whole_text().alias("text"))
-    ids = bpe.encode_texts(docs, path).select("doc_id", "ids")
-    back = bpe.decode_ids(ids, path)
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    both = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -58,7 +58,10 @@ def test_query(spark, library, tmp_path):
     assert got == sorted(want, key=str)
 
 
-def test_empty_table(spark):
-    docs = spark.createDataFrame([], "doc_id BIGINT, text STRING, decoded INT")
-    assert bpe.decode_ids(bpe.encode_texts(docs, PATH), PATH).columns == ["doc_id", "text", "decoded", "ids"]
+def test_empty_table_and_kept_columns(spark):
+    docs = spark.createDataFrame([], "doc_id BIGINT, text STRING, ids INT")
     assert bpe.encode_texts(docs, PATH).count() == 0
+    rows = spark.createDataFrame([(1, "one two", "x"), (2, None, None)], "doc_id BIGINT, text STRING, lang STRING")
+    got = bpe.decode_ids(bpe.encode_texts(rows, PATH, keep=("lang", "doc_id")), PATH)
+    assert got.columns == ["lang", "doc_id", "ids", "decoded"]
+    assert sorted(r.decoded for r in got.collect()) == ["", "one two"]
