@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, simhash, token_files
+from galley.llm import bpe, chat, secrets, simhash, token_files
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -22,6 +22,45 @@ def query(sql: str | None = None):
     return register
 
 
+SHOWN = r"length(regexp_replace(replace({0}, '\', '\\'), '([<\[])', '\1\\', 'g'))"
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  s AS (SELECT *, sum({SHOWN.format("role")} + {SHOWN.format("text")} + 23)
+          OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS n,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id
+""")
+def op1_prefix_targets(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    examples = chat.prefix_targets(turns.unionByName(extra))
+    loss = chat.read_loss(F.col("text"), F.col("loss_start"), F.col("loss_end"))
+    whole = examples.select("conv_id", "n_turns", "text", loss.alias("loss")).groupBy("conv_id").agg(
+        chat.read_turns(F.max_by("text", "n_turns")).alias("turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_turns", "loss"))), lambda e: e["loss"]), "").alias("loss"),
+        F.sum(F.length("text")).alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return whole.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query()
+def op3_secret_spans(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.samples(docs))).select("doc_id", "base", "spans")
+    counts = [secrets.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
 @query()
 def op4_simhash_near_duplicates(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
