@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, secrets, simhash, token_files
+from galley.llm import bpe, chat, line_dedup, secrets, simhash, token_files
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -75,6 +75,11 @@ def op5_simple8b_token_files(spark, folder):
                          token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
 
 
+@query()
+def op7_line_hash_dedup(spark, folder):
+    return line_dedup.repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op8_bpe_round_trip(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
