@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, line_dedup, secrets, simhash, token_files
+from galley.llm import bpe, chat, line_dedup, secrets, simhash, token_files, warc
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -75,6 +75,12 @@ def op5_simple8b_token_files(spark, folder):
                          token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
 
 
+@query()
+def op6_zstd_warc(spark, folder):
+    found = warc.archive(table(spark, folder, "pages").select("page_id", "url", "html"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op7_line_hash_dedup(spark, folder):
     return line_dedup.repeats(table(spark, folder, "documents").select("doc_id", "text"))

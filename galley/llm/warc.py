@@ -26,11 +26,13 @@ from galley.llm.common import shared_path, stored
 #: Fixed values of the format: a skippable frame of this number holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 65_536, 65_536
-PART_BYTES = 4 << 20
+PART_BYTES, CHUNK = 4 << 20, 8192
 DATE = "1970-01-01T00:00:00Z"
 ARCHIVES = "archive STRING, part INT, data BINARY"
 RECORDS = ("page_id BIGINT, payload_bytes BIGINT, payload_digest STRING, record_type STRING, refers_to BIGINT, "
            "url STRING, payload BINARY, archive STRING, offset BIGINT")
+KINDS = {"BIGINT": pa.int64(), "STRING": pa.string(), "BINARY": pa.binary()}
+ARROW_RECORDS = pa.schema([(name, KINDS[kind]) for name, kind in (field.split() for field in RECORDS.split(", "))])
 LINE = b"\r\n"
 
 
@@ -113,13 +115,12 @@ def _write_archives(dictionary: bytes):
         name = f"pages-{TaskContext.get().partitionId():06d}"
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor = zstandard.ZstdCompressor(level=3, dict_data=shared, write_checksum=True)
-        part, data, started = 0, [skippable_frame(dictionary)] if dictionary else [], False
+        part, data, size, started = 0, [skippable_frame(dictionary)] if dictionary else [], 0, False
 
         def flush():
             return pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([part], pa.int32()), pa.array([b"".join(data)], pa.binary())], ["archive", "part", "data"])
 
-        size = 0
         for batch in batches:
             for page_id, url, html, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
                                                  batch.column(3).to_pylist()):
@@ -145,17 +146,16 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0) -> None:
     dictionary = build_dictionary(pages)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digest = F.sha1(F.encode("html", "UTF-8"))
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     rank = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.col("url").isNull().alias("none"), "url")
-    firsts = rows.filter(F.octet_length("html") >= least_bytes).groupBy(digest.alias("digest")).agg(
-        F.min(rank).alias("first"), F.count("*").alias("n"))
-    firsts = stored(firsts.filter("n > 1").select("digest", "first"), "payloads")
-    met = rows.withColumn("digest", digest).join(firsts, "digest", "left")
+    narrow = stored(rows.filter(F.octet_length("html") >= least_bytes).select("digest", "page_id", "url"), "digests")
+    same = narrow.groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    firsts = same.groupBy("digest").agg(F.min(rank).alias("first"), F.sum("n").alias("n"), F.max("n").alias("equal"))
+    firsts = stored(firsts.filter("n > 1").select("digest", "first", "equal"), "payloads")
+    met = rows.join(firsts, "digest", "left")
     is_first = rank.eqNullSafe(F.col("first"))
-    repeated = rows.groupBy("page_id", "url", digest.alias("digest")).agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeated.isEmpty():
-        met = _one_response(met, is_first)
-        is_first = F.col("chosen")
+    if not firsts.filter("equal > 1").isEmpty():
+        met, is_first = _one_response(met, is_first), F.col("chosen")
     plain = F.col("first").isNull() | is_first
     target = F.when(~plain, F.struct(F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url")))
     met.select("page_id", "url", "html", target.alias("first")).mapInArrow(
@@ -175,55 +175,48 @@ def _one_response(met: DataFrame, is_first) -> DataFrame:
     return joined.withColumn("chosen", F.col("place").eqNullSafe(F.col("chosen_place")))
 
 
-def _read_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(RECORDS))
-    for batch in batches:
-        for archive, data, dictionary in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-            decompressor = zstandard.ZstdDecompressor(dict_data=shared)
-            at, rows, size = 0, [], 0
-            while at < len(data):
-                if data[at:at + 4] == DICTIONARY_FRAME.to_bytes(4, "little"):
-                    at += 8 + int.from_bytes(data[at + 4:at + 8], "little")
-                    continue
-                frame = decompressor.decompressobj()
-                raw = frame.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
-                row = read_record(raw) | {"archive": archive, "offset": at}
-                at = len(data) - len(frame.unused_data)
-                rows.append(row)
-                size += len(raw)
-                if size > PART_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+def _read_archives(dictionary: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        decompressor = zstandard.ZstdDecompressor(dict_data=shared)
+        for batch in batches:
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at, rows, size, view = leading_frame(data)[1], [], 0, memoryview(data)
+                while at < len(data):
+                    frame, pieces, end = decompressor.decompressobj(), [], at
+                    while not frame.eof:
+                        pieces.append(frame.decompress(view[end:end + CHUNK]))
+                        end = min(end + CHUNK, len(data))
+                    raw = b"".join(pieces)
+                    rows.append(read_record(raw) | {"archive": archive, "offset": at})
+                    at, size = end - len(frame.unused_data), size + len(raw)
+                    if size > PART_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, ARROW_RECORDS)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, ARROW_RECORDS)
+
+    return run
+
+
+def leading_frame(data: bytes) -> tuple[bytes, int]:
+    """The dictionary at the begin of an archive, if there is one, and the place of the first record."""
+    if data[:4] != DICTIONARY_FRAME.to_bytes(4, "little"):
+        return b"", 0
+    end = 8 + int.from_bytes(data[4:8], "little")
+    return bytes(data[8:end]), end
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record: page, payload size and digest, type, the response it refers to, and its place.
 
-    ``offset`` counts from the begin of the archive's part. The dictionary is read from the first frame of
-    each archive; it has a fixed size, so only one row per archive is sent to the parts.
+    ``offset`` counts from the begin of the archive's part. The archives of a folder are written together and
+    share the dictionary in their first frames, of at most ``DICTIONARY_BYTES``, which is read from one of them.
     """
     parts = spark.read.schema(ARCHIVES).parquet(path)
-    frame = F.substring("data", 1, 8 + DICTIONARY_BYTES)
-    size = F.conv(F.hex(F.reverse(F.substring(frame, 5, 4).cast("string"))), 16, 10)
-    del size  # the frame's length is taken where the bytes are read
-    heads = parts.filter("part = 0").select(F.col("archive").alias("of"), frame.alias("frame"))
-
-    @F.pandas_udf("binary")
-    def dictionary(frames):
-        def content(data):
-            named = data[:4] == DICTIONARY_FRAME.to_bytes(4, "little")
-            return data[8:8 + int.from_bytes(data[4:8], "little")] if named else b""
-
-        return frames.map(content)
-
-    met = parts.join(heads.select("of", dictionary("frame").alias("dictionary")), F.col("archive") == F.col("of"))
-    return met.select("archive", "data", "dictionary").mapInArrow(_read_archives, RECORDS)
+    head = parts.filter("part = 0").select(F.substring("data", 1, 8 + DICTIONARY_BYTES)).first()
+    dictionary = leading_frame(bytes(head[0]))[0] if head else b""
+    return parts.select("archive", "data").mapInArrow(_read_archives(dictionary), RECORDS)
 
 
 def archive(pages: DataFrame, out: str | None = None, least_bytes: int = 0) -> DataFrame:
