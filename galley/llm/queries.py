@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, line_dedup, secrets, simhash, token_files, warc
+from galley.llm import bpe, chat, cotraining, decontaminate, line_dedup, maxscore, secrets, simhash, token_files, warc
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -52,6 +52,19 @@ def op1_prefix_targets(spark, folder):
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER o <= 20 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+""")
+def op2_maxscore_top_k(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return maxscore.top_k(vectors, F.col("id") % 20 == 0, 20)
+
+
 @query()
 def op3_secret_spans(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -93,3 +106,16 @@ def op8_bpe_round_trip(spark, folder):
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op9_benchmark_decontamination(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op10_cotraining_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = cotraining.features(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    model = cotraining.fit(found, labels)
+    return cotraining.score(found, model).select("doc_id", "text_score", "meta_score", "score", "keep")
