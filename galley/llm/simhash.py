@@ -195,5 +195,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return prints.join(by_print, "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **near) -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component the row of least key stays, a null key last.
+
+    Of rows that share a component's least key the one of least text hash stays, and of rows with equal keys and
+    texts one. ``near`` goes to the fingerprints (``size``, ``features``) and the links (``radius``, ``blocks``,
+    ``chunk``). Rows are named by 96 bits of hashes of key and text while texts stay behind.
+    """
+    links = {k: near[k] for k in ("radius", "blocks", "chunk") if k in near}
+    shape = {k: near[k] for k in ("size", "features") if k in near}
+    named = docs.withColumns({"ROW1": F.xxhash64(key, text), "ROW2": F.hash(text, key)})
+    prints = fingerprints(named.select(key, text, "ROW1", "ROW2"), text, out="fp", **shape)
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "ROW1", "ROW2")
+    distinct = stored(prints.groupBy("fp").agg(F.min(rank).alias("first")), "distinct")
+    roots = connected(near_edges(distinct.select("fp"), **links))
+    reps = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = reps.groupBy("root").agg(F.min("first").alias("first"))
+    kept = stored(kept.select(F.col("first.ROW1").alias("ROW1"), F.col("first.ROW2").alias("ROW2")), "kept")
+    met = named.join(kept, ["ROW1", "ROW2"], "left_semi").dropDuplicates(["ROW1", "ROW2"])
+    return met.select(*docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
