@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.common import stored
+from galley.llm.common import least_hashed, stored
 
 SAMPLE, POOL = 10_000, 10_000
 ROUNDS, GROW, CONFIDENT = 5, 200, 0.95
@@ -177,13 +177,10 @@ def fit(found: DataFrame, labels: DataFrame, target: str = "quality", sample: in
     """
     given = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(
         F.col("doc_id").cast("bigint").alias("labelled")).agg(F.max(F.col(target).cast("double")).alias("label"))
-    order = F.xxhash64("doc_id", "text_view")
-    met = found.join(given, F.col("doc_id") == F.col("labelled"), "left").select("doc_id", "text_view", "meta_view", "label", order.alias("h"))
-
-    def least(rows: DataFrame, limit: int) -> list:
-        return rows.orderBy("h", "doc_id").limit(limit).collect()
-
-    known, others = least(met.filter("label IS NOT NULL"), sample), least(met.filter("label IS NULL"), pool)
+    met = found.join(given, F.col("doc_id") == F.col("labelled"), "left")
+    met = stored(met.select("doc_id", "text_view", "meta_view", "label"), "labelled")
+    known, others = (least_hashed(met.filter(part), limit, "doc_id", "text_view").collect() for part, limit in (
+        ("label IS NOT NULL", sample), ("label IS NULL", pool)))
     y = np.array([min(1.0, max(0.0, float(r["label"]))) for r in known])
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in known], bool)
     if len(y) < 10 or any(len({*part.tolist()}) < 2 for part in (y[held], y[~held])):

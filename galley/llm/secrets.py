@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.llm.common import least_hashed
+
 #: Kinds and their patterns, with the least size of the match (of its second group for ``assign``).
 BASE = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
@@ -85,13 +87,13 @@ def letter_class(letter: Column) -> Column:
     return F.instr(F.lit(ALPHABET), letter)
 
 
-def samples(docs: DataFrame, text: str = "text", limit: int = SAMPLE_DOCS) -> DataFrame:
+def samples(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled strings ``(sample, random)`` of at most ``limit`` documents, those of the least hashes.
 
     Values the patterns find are random strings; what else looks like an identifier is ordinary.
     """
-    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    some = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(limit)
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    some = least_hashed(rows, limit, "k", "t")
     assign, access, hexes = [pattern for _, pattern, _ in BASE]
     values = F.transform(F.regexp_extract_all("t", F.lit(assign), F.lit(2)), lambda v: v)
     found = F.concat(F.filter(values, lambda v: F.length(v) >= BASE[0][2]),

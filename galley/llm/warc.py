@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import shared_path, stored
+from galley.llm.common import least_hashed, shared_path, stored
 
 #: Fixed values of the format: a skippable frame of this number holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -94,7 +94,7 @@ def build_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, most_bytes
 
     Samples too few or too small for training become the dictionary as they are; without any it is empty.
     """
-    some = pages.filter(F.octet_length("html") <= most_bytes).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(records)
+    some = least_hashed(pages.filter(F.octet_length("html") <= most_bytes), records, "page_id", "html")
     samples = [record(r["page_id"], r["url"], r["html"].encode(), None) for r in some.select("page_id", "url", "html").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
