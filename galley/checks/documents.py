@@ -22,7 +22,7 @@ FIELDS = f"""
 """
 TOML = f"""
 'title = ' || {QUOTED.format("title")} || chr(10) || 'date = ' || d || chr(10) || 'tags = ' || tl || chr(10) || 'keywords = ' || tl || chr(10) ||
-'description = ""' || chr(10) || 'categories = ["news", "a b"]' || chr(10) || 'author = ' || CASE WHEN page_id % 2 = 0 THEN '"lopins"' ELSE {QUOTED.format("site")} END || chr(10) ||
+'description = ""' || chr(10) || 'categories = ["news", "a b"]' || chr(10) || 'author = ' || CASE WHEN page_id % 2 = 0 THEN '""' ELSE {QUOTED.format("site")} END || chr(10) ||
 'cover = "override"' || chr(10) || 'pictures = []' || chr(10) || 'hiddenFromHomePage = false' || chr(10) || 'readingTime = true' || chr(10) ||
 'hideComments = true' || chr(10) || 'isCJKLanguage = true' || chr(10) || 'slug = "' || slug || '"' || chr(10) ||
 'views = ' || page_id || chr(10) || '"浏 览" = "x\\\\\\"y"' || chr(10) || 'draft = false'

@@ -9,27 +9,18 @@ from galley.functions import frontmatter as fm
 from galley.functions.dates import date_digits, fmt_pubdate
 from galley.functions.slugs import slugify
 
-# Fixed value: the author of sites that name none.
-DEFAULT_AUTHOR = "lopins"
-
-
-def or_default(value: Column, default: str) -> Column:
-    """Value, or the default when it is missing or empty."""
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
-
-
 def base_fields(
     title: Column, date: Column, tags: Column, excerpt: Column, categories: Column, author: Column,
     pictures: Column, slug: Column,
 ) -> dict[str, Column]:
-    """The front matter's fixed fields in output order, as TOML values."""
+    """The front matter's fields, fixed names in fixed order, as TOML values. A site without an author has an empty one."""
     top = fm.toml_array(F.slice(F.coalesce(tags, F.array().cast("array<string>")), 1, 5))
     yes, no = F.lit("true"), F.lit("false")
     return {
         "title": fm.toml_string(title), "date": fm.toml_string(date), "tags": top, "keywords": top,
         "description": fm.toml_string(F.coalesce(excerpt, F.lit(""))),
         "categories": fm.toml_array(categories),
-        "author": fm.toml_string(or_default(author, DEFAULT_AUTHOR)), "cover": fm.toml_string(F.lit("")),
+        "author": fm.toml_string(F.coalesce(author, F.lit(""))), "cover": fm.toml_string(F.lit("")),
         "pictures": fm.toml_array(pictures), "hiddenFromHomePage": no, "readingTime": yes,
         "hideComments": yes, "isCJKLanguage": yes, "slug": fm.toml_string(slug),
     }

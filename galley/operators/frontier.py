@@ -30,7 +30,7 @@ def next_edges(tree: DataFrame, selector: Column | str) -> DataFrame:
 
 
 def reachable_listings(
-    edges: DataFrame, starts: DataFrame, max_rounds: int = 40, broadcast_rows: int | None = None
+    edges: DataFrame, starts: DataFrame, broadcast_rows: int | None = None
 ) -> DataFrame:
     """Listings reached from each site's start URLs by next links: ``(site, url, hop)``, least hop.
 
@@ -44,7 +44,7 @@ def reachable_listings(
     )
     reached = cut_lineage(starts.select("site", "url").distinct().withColumn("hop", F.lit(0).cast("bigint")))
     known, step = reached.count(), 1
-    for _ in range(max_rounds):
+    while True:
         farther = reached.join(jumps, "url").select("site", F.col("target").alias("url"), (F.col("hop") + step).alias("hop"))
         reached = cut_lineage(reached.unionByName(farther).groupBy("site", "url").agg(F.min("hop").alias("hop")))
         total = reached.count()

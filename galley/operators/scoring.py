@@ -78,7 +78,7 @@ def tfidf_topk(
         table = cut_lineage(term_idf(counts.select("term"), n_docs))
         scored = lookup_join(counts, table, "term", "df", broadcast_rows, hot_rows)
     else:
-        median = idf.select(F.percentile_approx("idf", 0.5, 1_000_000)).scalar()
+        median = idf.select(F.percentile("idf", 0.5)).scalar()
         weights = counts.groupBy("term").agg(F.count("*").alias("df"))
         table = cut_lineage(weights.join(idf.select("term", "idf"), "term", "left").withColumn(
             "idf", F.coalesce("idf", median)))

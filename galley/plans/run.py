@@ -14,6 +14,7 @@ from galley.operators import articles as A
 from galley.operators import frontier
 from galley.operators.documents import build_documents
 from galley.operators.excerpt import excerpt_bm25
+from galley.operators.joins import small_broadcast
 from galley.operators.keywords import article_keywords, keyword_arrays
 from galley.operators.segment import segment_by_pattern, transliterate
 from galley.operators.shred import shred
@@ -45,7 +46,11 @@ def stop_set(stopwords: DataFrame | None) -> list[str]:
 
 def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Article links of the listings reached from each site's start URLs, and those listings."""
-    tree = A.with_rules(shred(pages.withColumn("site", site_key(F.col("url")))), sites)
+    # a page belongs to the sites that start on its host
+    own = sites.select("site", F.explode("start_urls").alias("start")).select("site", site_key(F.col("start")).alias("host"))
+    hosts = own.unionByName(sites.select("site", F.col("site").alias("host"))).distinct()
+    placed = shred(pages).withColumn("host", site_key(F.col("url"))).join(small_broadcast(hosts, 50_000), "host").drop("host")
+    tree = A.with_rules(placed, sites)
     nodes = F.col("nodes")
     # links are all that is needed of a listing, so they are kept and not its nodes
     tree = cut_lineage(tree.select(
@@ -57,7 +62,7 @@ def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFr
         "url", url_join(F.col("url"), F.col("next_href")).alias("next_url"))
     starts = sites.select("site", F.explode("start_urls").alias("url"))
     listings = frontier.reachable_listings(edges, starts)
-    links = tree.join(listings.select("url").distinct(), "url", "left_semi").select(
+    links = tree.join(listings.select("site", "url"), ["site", "url"], "left_semi").select(
         "site", "url", F.explode("hrefs").alias("href"))
     return links.select("site", url_join(F.col("url"), F.col("href")).alias("url")), listings
 
@@ -77,8 +82,7 @@ def complete_articles(
         "url", T.clean_text(F.col("content_text")).alias("body"), T.has_cjk(F.col("content_text")).alias("cjk"),
         F.transform(required, F.lower).alias("required"), site_stop.alias("site_stop"),
     )
-    # CJK tokens are cut by dictionary and lose their stop words; other texts keep every word for the
-    # n-grams, and their stop words go from the ranked terms
+    # CJK tokens are cut by dictionary; the tokens of both kinds lose their stop words before the n-grams
     latin = T.tokens(F.col("body"))
     cjk = F.filter(
         T.drop_terms(segment_by_pattern(F.col("body"), dictionary or []), stop, F.col("required")),
@@ -112,11 +116,21 @@ def complete_articles(
     return rows.join(spoken, "url", "left").withColumn("slug_source", F.coalesce("syllables", "title"))
 
 
+def pending_pages(pages: DataFrame, articles: DataFrame) -> DataFrame:
+    """Pages of the pending articles, each with the site of its state row, whatever its own host is.
+
+    A URL that several sites list belongs to the first by name. Of several pages with one URL the one of least
+    ``page_id`` counts; that is settled on URLs and ids, before any markup moves.
+    """
+    todo = articles.filter("publish = false").groupBy("url").agg(F.min("site").alias("site"))
+    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).join(todo, "url")
+    chosen = chosen.select("url", "page_id", F.coalesce("site", site_key(F.col("url"))).alias("site"))
+    return pages.drop("site").join(chosen, ["url", "page_id"])
+
+
 def process_pages(pages: DataFrame, sites: DataFrame, articles: DataFrame, as_of, **inputs) -> Result:
     """Parse the pages that are pending in ``articles`` and update their rows."""
-    todo = frontier.pending(articles)
-    fetched = pages.join(todo, "url", "left_semi").withColumn("site", site_key(F.col("url")))
-    tree = A.with_rules(shred(fetched), sites)
+    tree = A.with_rules(shred(pending_pages(pages, articles)), sites)
     # every later part reads these rows, and parsing them costs most
     parsed = cut_lineage(A.parse_articles(tree, as_of))
     done = cut_lineage(complete_articles(parsed, **inputs))

@@ -3,6 +3,7 @@
 from galley.sources.readers import (
     default_stopwords,
     read_articles,
+    read_documents,
     read_html_files,
     read_pages,
     read_sites,
@@ -18,7 +19,7 @@ from galley.sources.writers import (
 )
 
 __all__ = [
-    "compact_articles", "default_stopwords", "encode_nested", "read_articles", "read_html_files",
+    "compact_articles", "default_stopwords", "encode_nested", "read_articles", "read_documents", "read_html_files",
     "read_pages", "read_sites", "read_stopwords", "stopword_table", "write_articles",
     "write_documents", "write_image_manifest",
 ]

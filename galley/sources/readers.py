@@ -26,20 +26,17 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
 
 def with_removal_pattern(sites: DataFrame) -> DataFrame:
     """Add one pattern per site that matches text at its start; invalid expressions are left out."""
-    compile_pattern = sites.sparkSession._jvm.java.util.regex.Pattern.compile
-    valid = []
-    expressions = sites.select(F.explode("selectors.remove.regex").alias("p")).filter("p != ''").distinct()
-    for (expression,) in expressions.toLocalIterator():
-        try:
-            compile_pattern(expression)
-            valid.append(expression)
-        except Exception:  # a Java pattern error: the expression is ignored, as a site's fault
-            continue
-    kept = F.filter(F.coalesce("selectors.remove.regex", F.array().cast("array<string>")),
-                    lambda p: p.isin(valid) if valid else F.lit(False))
+    numbered = sites.withColumn("_id", F.struct("site", F.xxhash64(F.to_json(F.struct("selectors")))))
+    listed = numbered.select("_id", F.posexplode("selectors.remove.regex").alias("_at", "_p")).filter("_p != ''")
+    # null where the pattern does not compile: it is ignored, as a site's fault
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("_p"))
+    good = listed.distinct().withColumn("_ok", compiled).filter("_ok IS NOT NULL").groupBy("_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "_p"))), lambda x: x["_p"]).alias("_kept"))
+    sites = numbered.join(good, "_id", "left").drop("_id")
+    kept = F.coalesce("_kept", F.array().cast("array<string>"))
     pattern = F.when(F.size(kept) > 0, F.concat(F.lit("^(?:"), F.array_join(
         F.transform(kept, lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|"), F.lit(")")))
-    return sites.withColumn("removal_pattern", F.coalesce(pattern, F.lit("")))
+    return sites.withColumn("removal_pattern", F.coalesce(pattern, F.lit(""))).drop("_kept")
 
 
 def read_stopwords(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,6 +92,14 @@ def read_html_files(spark: SparkSession, path: str, url_prefix: str = "https://"
     return _usable(pages, F.col("html"))
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(site, doc_name, body, n_bytes)``: of a document written in several batches, the last."""
+    rows = spark.read.schema("site STRING, doc_name STRING, body STRING, n_bytes INT, batch BIGINT").option(
+        "basePath", path).parquet(path)
+    return rows.groupBy("site", "doc_name").agg(F.max_by(F.struct("body", "n_bytes"), "batch").alias("row")).select(
+        "site", "doc_name", "row.*")
+
+
 def read_articles(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Latest state per URL.
 

@@ -32,12 +32,15 @@ def encode_nested(df: DataFrame) -> DataFrame:
     return df
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """``(site, doc_name, body, n_bytes)``; a document counts as written when it has bytes."""
-    _by_site(docs.select("site", "doc_name", "body", "n_bytes")).write.mode("overwrite").partitionBy(
-        "site"
-    ).parquet(path)
+def write_documents(docs: DataFrame, path: str, batch: int = 0) -> None:
+    """``(site, doc_name, body, n_bytes)``; a document counts as written when it has bytes.
 
+    Earlier batches stay; writing the same batch again replaces it.
+    """
+    rows = docs.select("site", "doc_name", "body", "n_bytes")
+    _by_site(rows).write.mode("overwrite").partitionBy("site").parquet(f"{path}/batch={batch}")
 
-def write_image_manifest(images: DataFrame, path: str) -> None:
-    _by_site(images).write.mode("overwrite").partitionBy("site").parquet(path)
+
+def write_image_manifest(images: DataFrame, path: str, batch: int = 0) -> None:
+    """The images to fetch, in a folder per batch as for documents."""
+    _by_site(images).write.mode("overwrite").partitionBy("site").parquet(f"{path}/batch={batch}")

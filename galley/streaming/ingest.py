@@ -52,14 +52,14 @@ def ingest(
             known = session.read.schema(ARTICLES + ", batch BIGINT").option("basePath", state_dir).parquet(state_dir)
             known = known.filter(F.col("batch") < number).groupBy("url").agg(F.max_by("publish", "batch").alias("publish"))
             rows = rows.join(known.filter("publish").select("url"), "url", "left_anti")
-        except AnalysisException:  # no state yet
-            pass
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise  # only a state that is not there yet is no state
         seen = rows.select("url", site_key(F.col("url")).alias("site"), F.lit(False).alias("publish")).dropDuplicates(["url"])
         articles = session.createDataFrame([], ARTICLES).unionByName(seen, allowMissingColumns=True)
-        first = rows.dropDuplicates(["url"]).select("page_id", "url", "html")
-        result = process_pages(first, sites, articles, as_of, **inputs)
-        write_documents(result.documents, f"{out_dir}/documents/batch={number}")
-        write_image_manifest(result.images, f"{out_dir}/images/batch={number}")
+        result = process_pages(rows.select("page_id", "url", "html"), sites, articles, as_of, **inputs)
+        write_documents(result.documents, f"{out_dir}/documents", number)
+        write_image_manifest(result.images, f"{out_dir}/images", number)
         write_articles(result.articles, state_dir, number)
 
     return (
