@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from galley.functions.text import CJK_CLASS
 from galley.operators.joins import lookup_join, small_broadcast, spread
 
 # Words up to which the dictionary becomes one pattern.
 PATTERN_WORDS = 5_000
+_CJK = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), CJK_CLASS)  # as Python writes the class
+_OTHER = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])\w)+")
 _LATIN = r"[\p{L}\p{N}_&&[^%s]]+" % CJK_CLASS
 
 
@@ -38,64 +42,47 @@ def segment_cjk(
 ) -> DataFrame:
     """``(key, terms)`` with dictionary phrases never split.
 
-    A long dictionary is joined instead of compiled: texts fall into runs of letters and digits, the
-    substrings of a run up to the longest word meet the dictionary, and a walk over each run's
-    matches takes the longest from left to right. Words with other characters in them need the
-    short form.
+    A long dictionary is joined instead of compiled, with the same result: the substrings of a text up to the
+    longest word meet the dictionary, and a walk over the text takes the longest match at each place, else
+    one CJK character or a run of letters and digits. Texts and matches meet again by ``key``, which must be unique.
     """
     words = dictionary.select(F.lower("term").alias("term")).filter("term != ''").distinct()
     head = [r[0] for r in words.limit(pattern_words + 1).collect()]  # bounded by the limit
     if len(head) <= pattern_words:
         return df.select(key, segment_by_pattern(F.col(column), head).alias("terms"))
     longest = words.agg(F.max(F.length("term"))).first()[0]
-    runs = spread(df, key).select(
-        key,
-        F.posexplode_outer(F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("run_no", "run"),
-    )
-    spans = runs.filter("run IS NOT NULL").select(
-        key, "run_no",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("run")),
-                    lambda i: F.transform(
-                        F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - i + 1)),
-                        lambda n: F.struct(i.alias("pos"), F.substring(F.col("run"), i, n).alias("term")),
-                    ),
-                )
-            )
-        ).alias("s"),
-    ).select(key, "run_no", "s.*")
+    texts = df.select(key, F.lower(column).alias("text"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - i + 1)),
+        lambda n: F.struct(i.alias("pos"), F.substring(F.col("text"), i, n).alias("term"))))
+    spans = spread(texts.filter("text != ''"), key).select(key, F.explode(F.flatten(starts)).alias("s")).select(key, "s.*")
     known = words.join(spans.groupBy("term").agg(F.count("*").alias("_n")), "term")
-    places = (
-        lookup_join(spans, known, "term", "_n")
-        .groupBy(key, "run_no", "pos").agg(F.max(F.length("term")).alias("len"))
-        .groupBy(key, "run_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", "len"))).alias("_len"))
-    )
-
-    def step(state: Column, i: Column) -> Column:
-        word = F.coalesce(F.try_element_at(F.col("_len"), i), F.lit(1))
-        cut = F.struct(i.alias("pos"), word.alias("len"))
-        return F.when(i < state["next"], state).otherwise(
-            F.struct((i + word).alias("next"), F.concat(state["cuts"], F.array(cut)).alias("cuts"))
-        )
-
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<pos:int,len:int>>").alias("cuts"))
-    walked = runs.join(places, [key, "run_no"], "left").withColumn(
-        "_cuts", F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("run"), F.lit(1))), start, step)["cuts"]
-    )
-    cjk = f"[{CJK_CLASS}]"
-
-    def piece(c: Column) -> Column:
-        text = F.substring(F.col("run"), c["pos"], c["len"])
-        return F.when((c["len"] > 1) | text.rlike(cjk), F.concat(F.lit("\u0001"), text, F.lit("\u0001"))).otherwise(text)
-
-    # single letters between words run together again
-    terms = F.filter(F.split(F.array_join(F.transform("_cuts", piece), ""), "\u0001+"), lambda t: t != "")
-    return walked.groupBy(key).agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run_no", terms.alias("terms")))),
-                              lambda x: x["terms"])).alias("terms")
-    )
+    places = lookup_join(spans, known, "term", "_n").groupBy(key, "pos").agg(F.max(F.length("term")).alias("len"))
+    places = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "len"))).alias("places"))
+    return texts.join(places, key, "left").select(key, _walk("text", "places").alias("terms"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _walk(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """Tokens of each text, given the longest word at each of the places (from 1) where there is one."""
+
+    def tokens(text: str | None, longest: dict | None) -> list[str] | None:
+        if text is None:
+            return None
+        out, i, longest = [], 0, dict(longest or ())
+        while i < len(text):
+            if i + 1 in longest:
+                end = i + longest[i + 1]
+            elif other := _OTHER.match(text, i):
+                end = other.end()
+            else:
+                i += 1
+                continue
+            out.append(text[i:end])
+            i = end
+        return out
+
+    return pd.Series([tokens(t, p) for t, p in zip(texts, places)])
 
 
 def transliterate(df: DataFrame, column: str, syllables: DataFrame, key: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
-from galley.operators import excerpt, filters, frontier, joins, scoring
+from galley.operators import excerpt, filters, frontier, joins, scoring, segment
+from galley.plans.run import pending_pages
 from galley.schemas import ARTICLES
-from galley.sources import read_sites, read_stopwords, stopword_table
+from galley.sources import read_documents, read_sites, read_stopwords, stopword_table, write_documents
 
 
 def test_reachable_listings(spark):
@@ -95,3 +96,30 @@ def test_sources(spark, tmp_path):
         '"remove": {"regex": ["<b", "(", ""]}}, "tokenizer": {"require": []}}]')
     site = read_sites(spark, str(tmp_path / "sites.json")).first()
     assert site.site == "me@h:8" and site.removal_pattern == "^(?:(?:<b))"
+
+
+def test_long_dictionary_gives_the_short_one_s_tokens(spark):
+    texts = ["用c++写u.s.a代码", "abc中文字典abcdef d_1", "", None, "U.S.A. c+ +c++c", "中" * 50 + "x" * 300 + "文字"]
+    words = ["c++", "u.s.a", "代码", "中文", "文字典", "abc", "字", "xx", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    listed = spark.createDataFrame([(w,) for w in words], "term STRING")
+    short, long = (segment.segment_cjk(docs, "text", listed, pattern_words=n) for n in (100, 2))
+    assert dict(map(tuple, short.collect())) == dict(map(tuple, long.collect()))
+
+
+def test_pages_go_by_the_state_s_site_and_least_id(spark):
+    pages = spark.createDataFrame([(2, "http://b/1", "x"), (1, "http://b/1", "y"), (3, "http://b/2", "z")], "page_id BIGINT, url STRING, html STRING")
+    state = _articles(spark, [("http://b/1", "a", False), ("http://b/2", None, False), ("http://b/3", "a", False)])
+    got = {r.url: (r.site, r.html) for r in pending_pages(pages, state).collect()}
+    assert got == {"http://b/1": ("a", "y"), "http://b/2": ("b", "z")}
+
+
+def test_batches_stay_and_replace_themselves(spark, tmp_path):
+    def docs(*rows):
+        return spark.createDataFrame(rows, "site STRING, doc_name STRING, body STRING, n_bytes INT")
+
+    path = str(tmp_path / "docs")
+    write_documents(docs(("s", "a", "one", 3), ("s", "b", "old", 3)), path, 0)
+    write_documents(docs(("s", "c", "wrong", 5)), path, 1)
+    write_documents(docs(("s", "b", "new", 3)), path, 1)
+    assert {(r.doc_name, r.body) for r in read_documents(spark, path).collect()} == {("a", "one"), ("b", "new")}
