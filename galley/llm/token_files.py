@@ -14,7 +14,9 @@ values), the documents' end offsets as unsigned 32-bit numbers, then words and r
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,9 +34,13 @@ PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8)
             (2, 30), (1, 60)]
 ZEROS = 120
 COUNTS = np.array([1, ZEROS] + [c for c, _ in PACKINGS])
+WIDTHS = {count: (selector, width) for selector, (count, width) in enumerate(PACKINGS, 2) if count > 1} | {ZEROS: (1, 0)}
+#: How windows of a size are put together from two smaller ones.
+WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7),
+           20: (10, 10), 30: (15, 15), 60: (30, 30), 120: (60, 60)}
 BLOCK_IDS = 1 << 17
-CACHED_CHUNKS = 400_000
-MARKS, LATIN_END = ".,;:!?", "\u0250"  # below it no letter is taken apart when texts are normalised
+CACHED_CHUNKS = 200_000
+MARKED = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
 BLOCKS = "part INT, block INT, before BIGINT, n_ids BIGINT, keys ARRAY<BIGINT>, data BINARY"
 TOKENS = "KEY BIGINT, start BIGINT, ids ARRAY<INT>"
 
@@ -48,30 +54,23 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     top = int(values.max())
-    ahead = np.arange(n)
+    padded = np.r_[values, np.zeros(ZEROS, np.uint64)]  # what is beyond the end counts as zero
     chosen = np.full(n, 15, np.int8)
-    for selector, (count, width) in [*enumerate(PACKINGS, 2)][-2::-1] + [(1, (ZEROS, 0))]:
-        if top >> width == 0:
-            chosen[:] = selector  # what is beyond the end counts as zero
+    # the largest of the next ``count`` values, for growing counts; once a count fits nowhere, no larger one does
+    narrow = padded.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+    largest = {1: narrow}
+    for count, (a, b) in WINDOWS.items():
+        largest[count] = np.maximum(largest[a][:len(padded) - count + 1], largest[b][a:a + len(padded) - count + 1])
+        if count not in WIDTHS:
             continue
-        bad = np.flatnonzero(values >> np.uint64(width))
-        if not len(bad):
-            continue
-        # the next value that is too wide stands at least ``count`` places on
-        gaps = np.diff(bad, prepend=-1, append=n + ZEROS) - 1
-        runs = np.flatnonzero(gaps >= count)
-        if not len(runs):
-            continue
-        begins = np.r_[0, bad + 1][runs]
-        sizes = np.minimum(gaps[runs] - count + 1, n - begins)
-        keep = sizes > 0
-        begins, sizes = begins[keep], sizes[keep]
-        if len(begins):
-            offset = np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            chosen[offset + ahead[:len(offset)]] = selector
+        selector, width = WIDTHS[count]
+        fits = largest[count][:n] <= min((1 << width) - 1, int(np.iinfo(narrow.dtype).max))
+        if not fits.any():
+            break
+        chosen[fits] = selector
     if top >> 60:
         chosen[values >> np.uint64(60) != 0] = 0
-    step = (ahead + COUNTS[chosen]).tolist()
+    step = (np.arange(n) + COUNTS[chosen]).tolist()
     heads, i = [], 0
     while i < n:
         heads.append(i)
@@ -79,7 +78,6 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     heads = np.array(heads)
     selectors = chosen[heads]
     words = selectors.astype(np.uint64) << np.uint64(60)
-    padded = np.r_[values, np.zeros(ZEROS, np.uint64)]
     for selector, (count, width) in enumerate(PACKINGS, 2):
         at = np.flatnonzero(selectors == selector)
         if len(at):
@@ -142,34 +140,66 @@ class ChunkedTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.whole = any(any(c.isspace() for c in t.content) for t in self.library.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _ask(self, chunks: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
+        self.lower = "Lowercase" in json.dumps(json.loads(self.library.to_str()).get("normalizer"))
+        self.control = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = any(c.isspace() for t in self.control for c in t)
+        bar = self.library.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known until the cache was last full
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
+    def _ask_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, most of them in one text with bars between, whose id tells where each ends."""
+        apart = [c for c in chunks if self.bar is None or "|" in c or any(t in c for t in self.control)]
+        found = dict(zip(apart, self._ask(apart)))
+        rest = [c for c in chunks if c not in found]
+        if not rest:
+            return found
+        ids = np.array(self.library.encode_batch_fast([" | ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
+        ends = [*np.flatnonzero(ids == self.bar).tolist(), len(ids)]
+        if len(ends) != len(rest):
+            return found | dict(zip(rest, self._ask(rest)))
+        data, begin = ids.tobytes(), 0
+        for chunk, end in zip(rest, ends):
+            found[chunk] = data[4 * begin:4 * end]
+            begin = end + 1
+        return found
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         if self.whole:
             return self._ask(texts)
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
+        cut = [self._plain(text).replace("\n", " ").split(" ") for text in texts]
         chunks = set().union(*cut)
-        if len(known) + len(chunks) > CACHED_CHUNKS:
-            known.clear()
-        missing = [c for c in chunks if c not in known]
-        # a word and one mark behind it are encoded apart: the pattern always parts letters from marks
-        marked = [c for c in missing if c[-1:] in MARKS and c[:-1].lower().isalpha() and max(c) < LATIN_END]
-        plain = {*missing}.difference(marked)
-        plain.update(c[:-1] for c in marked if c[:-1] not in known)
-        plain.update(c[-1] for c in marked if c[-1] not in known)
-        ask = [*plain]
-        known.update(zip(ask, self._ask(ask)))
-        for c in marked:
-            known[c] = known[c[:-1]] + known[c[-1]]
+        if len(self.known) > CACHED_CHUNKS:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        missing = chunks.difference(known)
+        ask = missing.difference(before)
+        for chunk in missing - ask:
+            known[chunk] = before[chunk]
+        known.update(self._ask_chunks([*ask]))
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
+    def _plain(self, text: str) -> str:
+        """A text with the same ids and fewer different chunks.
+
+        In Latin-1 texts letters can be put into the vocabulary's own case, and the single mark behind a word
+        set apart: the pattern always parts letters from marks. Control strings would change with their case.
+        """
+        if not self.lower:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        small = text.lower()
+        return text if any(t in small for t in self.control) else MARKED.sub(r" \1", small)
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkedTokenizer:
