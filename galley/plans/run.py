@@ -20,10 +20,6 @@ from galley.operators.segment import segment_by_pattern, transliterate
 from galley.operators.shred import shred
 from galley.session import cut_lineage
 
-# Stop words up to which the list is a literal set in the plan; checked when it is read.
-STOP_SET_WORDS = 50_000
-
-
 @dataclass
 class Result:
     """Tables a run yields."""
@@ -34,14 +30,16 @@ class Result:
     parsed: DataFrame
 
 
-def stop_set(stopwords: DataFrame | None) -> list[str]:
-    """A stop-word list as plain values. It is configuration: a larger one is refused, not cut."""
+def stop_set(stopwords: DataFrame | None, lang: str) -> list[str]:
+    """The stop words of a language as plain values, for a set in the plan: a list is configuration, not data.
+
+    Words without a language, and those of a table without languages, hold for all.
+    """
     if stopwords is None:
         return []
-    terms = [r[0] for r in stopwords.select(F.lower("term")).distinct().limit(STOP_SET_WORDS + 1).collect()]
-    if len(terms) > STOP_SET_WORDS:
-        raise ValueError(f"stop-word list exceeds {STOP_SET_WORDS} terms; use remove_stopwords")
-    return terms
+    if "lang" in stopwords.columns:
+        stopwords = stopwords.filter((F.col("lang") == lang) | F.col("lang").isNull())
+    return [r[0] for r in stopwords.select(F.lower("term")).distinct().collect()]
 
 
 def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +73,7 @@ def complete_articles(
     phrase_scores: DataFrame | None = None,
 ) -> DataFrame:
     """Fill in what needs the whole text or the whole corpus: keywords, ranked excerpts, slug source."""
-    stop = stop_set(stopwords)
+    latin_stop, cjk_stop = stop_set(stopwords, "en"), stop_set(stopwords, "zh")
     required = F.coalesce(F.col("rule.tokenizer.require"), F.array().cast("array<string>"))
     site_stop = F.transform(F.coalesce(F.col("rule.tokenizer.filter"), F.array().cast("array<string>")), F.lower)
     texts = parsed.filter("needs_keywords").select(
@@ -85,19 +83,19 @@ def complete_articles(
     # CJK tokens are cut by dictionary; the tokens of both kinds lose their stop words before the n-grams
     latin = T.tokens(F.col("body"))
     cjk = F.filter(
-        T.drop_terms(segment_by_pattern(F.col("body"), dictionary or []), stop, F.col("required")),
+        T.drop_terms(segment_by_pattern(F.col("body"), dictionary or []), cjk_stop, F.col("required")),
         lambda t: ~F.array_contains(F.col("site_stop"), t) | F.array_contains(F.col("required"), t),
     )
     texts = texts.withColumn("terms", F.when(F.col("cjk"), cjk).otherwise(
-        F.filter(T.drop_terms(latin, stop, F.col("required")),
+        F.filter(T.drop_terms(latin, latin_stop, F.col("required")),
                  lambda t: ~F.array_contains(F.col("site_stop"), t) | F.array_contains(F.col("required"), t))))
     texts = cut_lineage(texts.select("url", "terms", "required"))
     ranked = article_keywords(texts, F.col("terms"), "url", "required", phrase_scores=phrase_scores)
     keywords = keyword_arrays(ranked)
 
     sentence_terms = F.when(
-        T.has_cjk(F.col("sentence")), T.drop_terms(segment_by_pattern(F.col("sentence"), dictionary or []), stop)
-    ).otherwise(T.drop_terms(T.tokens(F.col("sentence"), 1), stop))
+        T.has_cjk(F.col("sentence")), T.drop_terms(segment_by_pattern(F.col("sentence"), dictionary or []), cjk_stop)
+    ).otherwise(T.drop_terms(T.tokens(F.col("sentence"), 1), latin_stop))
     no_excerpt = parsed.filter("excerpt IS NULL").select("url", "content_text")
     excerpts = excerpt_bm25(no_excerpt, "content_text", 5, "url", terms=sentence_terms).withColumnRenamed("excerpt", "ranked")
 
