@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from galley.functions.text import CJK_CLASS
 from galley.operators.joins import lookup_join, small_broadcast, spread
@@ -62,9 +60,8 @@ def segment_cjk(
     return texts.join(places, key, "left").select(key, _walk("text", "places").alias("terms"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _walk(texts: pd.Series, places: pd.Series) -> pd.Series:
-    """Tokens of each text, given the longest word at each of the places (from 1) where there is one."""
+def _walk(text: str, places: str) -> Column:
+    """Tokens of a text, given the longest word at each of the places (from 1) where there is one."""
 
     def tokens(text: str | None, longest: dict | None) -> list[str] | None:
         if text is None:
@@ -82,7 +79,13 @@ def _walk(texts: pd.Series, places: pd.Series) -> pd.Series:
             i = end
         return out
 
-    return pd.Series([tokens(t, p) for t, p in zip(texts, places)])
+    @F.pandas_udf("array<string>")
+    def walked(texts, maps):
+        import pandas as pd
+
+        return pd.Series([tokens(t, p) for t, p in zip(texts, maps)])
+
+    return walked(F.col(text), F.col(places))
 
 
 def transliterate(df: DataFrame, column: str, syllables: DataFrame, key: str) -> DataFrame:
