@@ -53,7 +53,7 @@ def fixture():
         at = deal.randint(0, len(filler))
         docs.append((i, deal.choice([" ", "\n", " \t "]).join(filler[:at] + passage + filler[at:])))
     docs += [(200, None), (201, ""), (202, "has only three words inside"), (None, items[3][1]), (203, items[4][1]), (203, items[4][1]),
-             (204, "echo " * 400), (205, " ".join(items[5][1].split()[:-1])), (206, "word " * 30000 + items[6][1])]
+             (204, "echo " * 400), (205, " ".join(items[5][1].split()[:-1])), (206, "word " * 900 + items[6][1])]
     return docs, items
 
 
