@@ -58,7 +58,7 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CA
   s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
         FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER o <= 20 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 20
 """)
 def op2_maxscore_top_k(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")

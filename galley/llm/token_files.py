@@ -39,7 +39,7 @@ WIDTHS = {count: (selector, width) for selector, (count, width) in enumerate(PAC
 WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7),
            20: (10, 10), 30: (15, 15), 60: (30, 30), 120: (60, 60)}
 BLOCK_IDS = 1 << 17
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS, SLICE_CHARS = 200_000, 1_000_000
 MARKED = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
 BLOCKS = "part INT, block INT, before BIGINT, n_ids BIGINT, keys ARRAY<BIGINT>, data BINARY"
 TOKENS = "KEY BIGINT, start BIGINT, ids ARRAY<INT>"
@@ -227,9 +227,8 @@ def _pack_documents(path: str, end_id: int, block_ids: int):
                 ["part", "block", "before", "n_ids", "keys", "data"])
 
         for batch in batches:
-            doc_keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for run_of in slices(texts):
+            doc_keys, at = batch.column(0).to_pylist(), 0
+            for run_of in slices(batch.column(1), SLICE_CHARS):
                 for ids in tokenizer(path).encode_many(run_of):
                     keys.append(doc_keys[at])
                     held += (ids, end)
@@ -261,8 +260,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
 
 def _unpack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for before, keys, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            ends, ids = read_block(data)
+        for before, keys, data in zip(*batch.columns):
+            before, keys = before.as_py(), keys.as_py()
+            ends, ids = read_block(data.as_py())
             begins = np.r_[0, ends[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(before + begins, pa.int64()),
