@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from galley.llm.common import stored
 
 SEED = 42
-CHUNK = 1024
+CHUNK, ROWS = 2048, 256
 WORD = (1 << 64) - 1
 
 
@@ -94,11 +94,19 @@ def block_masks(blocks: int, radius: int) -> list[int]:
 
 
 def _components(values: np.ndarray, radius: int) -> np.ndarray:
-    """Place of the first member of each value's component; values are sorted, links are Hamming distances."""
-    close = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-    label = np.argmax(close, axis=1)  # the first that is close to it, itself at the latest
+    """Place of the first member of each value's component; values are sorted, links are Hamming distances.
+
+    Rows are taken ``ROWS`` at a time, so that only a byte per pair of a cell is held.
+    """
+    size = len(values)
+    close = np.empty((size, size), bool)
+    for a in range(0, size, ROWS):
+        close[a:a + ROWS] = np.bitwise_count(values[a:a + ROWS, None] ^ values[None, :]) <= radius
+    label = close.argmax(axis=1)  # the first that is close to it, itself at the latest
     while True:
-        best = np.where(close, label[None, :], len(values)).min(axis=1)
+        best = np.empty(size, np.int64)
+        for a in range(0, size, ROWS):
+            best[a:a + ROWS] = np.where(close[a:a + ROWS], label, size).min(axis=1)
         best = np.minimum(best, best[best])
         if (best == label).all():
             return label
