@@ -51,8 +51,8 @@ class Postings:
         self.blocks = []
         for at in range(0, len(rows), BLOCK_ROWS):
             part = rows[at:at + BLOCK_ROWS]
-            lists = np.concatenate([np.maximum(part, 0), np.maximum(-part, 0)], axis=1)
-            self.blocks.append((self.ids[at:at + BLOCK_ROWS], lists, lists.max(axis=0, initial=0)))
+            lists = np.ascontiguousarray(np.concatenate([np.maximum(part, 0), np.maximum(-part, 0)], axis=1).T)
+            self.blocks.append((self.ids[at:at + BLOCK_ROWS], lists, lists.max(axis=1, initial=0)))
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` best ids and scores of other documents: by score, then the smaller id."""
@@ -67,18 +67,20 @@ class Postings:
             minor, major = agree[order[:weak]], agree[order[weak:]]
             if full and bounds.sum() < best[-1]:
                 continue
-            partial = lists[:, major] @ signed[major]
+            weights = np.zeros_like(signed)
+            weights[major] = signed[major]
+            partial = weights @ lists  # the lists of other terms weigh nothing; taking the essential ones out would copy them
             rest = signed[minor] @ most[minor]
             at = np.flatnonzero(partial + rest >= best[-1]) if full else np.arange(len(ids))
             if len(differ) and len(at):
-                partial = partial[at] + lists[np.ix_(at, differ)] @ signed[differ]
+                partial = partial[at] + signed[differ] @ lists[np.ix_(differ, at)]
                 if full:  # what differs may already rule a document out
                     stay = partial + rest >= best[-1]
                     at, partial = at[stay], partial[stay]
             else:
                 partial = partial[at]
             if weak and len(at):
-                partial = partial + lists[np.ix_(at, minor)] @ signed[minor]
+                partial = partial + signed[minor] @ lists[np.ix_(minor, at)]
             new = ids[at]
             own = new != query_id
             best_ids, best = np.concatenate([best_ids, new[own]]), np.concatenate([best, partial[own]])
