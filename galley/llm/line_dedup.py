@@ -2,7 +2,7 @@
 
 Texts are cut into units, a unit is normalised (lower case, white space runs as one blank) and hashed to 128 bits, and
 digests are grouped over the whole corpus. The occurrence of least rank, key and then place, stays; all others
-are removed, with their places in the original text kept. Passages that begin or end inside a line are
+are removed, with their places in the original text kept. Units of any size count. Passages that begin or end inside a line are
 caught by cutting lines again behind sentence ends (``unit="sentence"``), the interior sentences being whole units.
 
 Counts fold before they are shuffled, so a line that a third of all documents hold is one row per task; the
@@ -27,11 +27,15 @@ UNITS = {
     "sentence": re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)"),
 }
 FOUND = "KEY BIGINT, start INT, end INT, digest BINARY"
-MIN_WORDS = 8
+#: Units of every size count: repeated passages are often made of short sentences.
+MIN_WORDS = 1
 
 
-def cut(text: str, unit: str = "sentence", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """``(start, end, digest)`` of each unit of at least ``min_words`` words; blanks around a unit are not its own."""
+def cut(text: str, unit: str = "sentence", min_words: int = 8) -> Iterator[tuple[int, int, bytes]]:
+    """``(start, end, digest)`` of each unit of at least ``min_words`` words; blanks around a unit are not its own.
+
+    The operators below pass ``MIN_WORDS``.
+    """
     for match in UNITS[unit].finditer(text):
         words = match[0].split()
         if len(words) >= min_words:

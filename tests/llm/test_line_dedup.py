@@ -63,3 +63,14 @@ def test_units_keep_their_places():
     text = f"  {LONG}  Short one.\n{LONG}"
     assert [text[a:b] for a, b, _ in line_dedup.cut(text)] == [LONG, LONG]
     assert len({d for *_, d in line_dedup.cut(text)}) == 1
+
+
+def test_short_units_are_removed_too(spark, tmp_path):
+    passage = " ".join(f"Short piece {i} here." for i in range(20))
+    rows = [(1, f"{passage}\nMenu"), (2, f"Own words.\n{passage}\nMenu\n?"), (3, "menu\n\n?")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert {r.doc_id: r.text.split() for r in line_dedup.drop_repeats(docs).collect()} == {
+        1: f"{passage} Menu".split(), 2: ["Own", "words.", "?"], 3: []}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["op7_line_hash_dedup"](spark, str(tmp_path)).collect()), key=str)
+    assert len(got) == 20 + 1 + 2 and got == slow_repeats(rows, min_words=1)
