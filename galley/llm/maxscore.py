@@ -7,7 +7,8 @@ sign differs takes from it; the sum of the largest contributions of agreeing ter
 Per shard, postings are held by blocks of documents, large vectors first. For each block the query's agreeing
 terms are sorted by their bounds there; the longest run of least terms whose bounds together stay below the
 query's threshold, its k-th best score so far, is non-essential: a document found in no other list cannot
-enter the result. The postings of essential terms are traversed; documents whose partial score plus the
+enter the result. Essential terms are scored by a dense product over all lists of the block, the others at weight zero, so within
+a block nothing is saved by their postings; blocks that cannot compete are skipped whole. Documents whose partial score plus the
 bound of the rest is still competitive are probed in the other lists, and the disagreeing ones. Ties at the threshold
 are probed too, so the result is exact, ties going to the smaller id.
 
