@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, cotraining, decontaminate, line_dedup, maxscore, secrets, simhash, token_files, warc
+from galley.llm import bpe, chat, cotraining, decontaminate, line_dedup, maxscore, merkle, secrets, simhash, token_files, warc
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -119,3 +119,38 @@ def op10_cotraining_quality(spark, folder):
     found = cotraining.features(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     model = cotraining.fit(found, labels)
     return cotraining.score(found, model).select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
+ASCII_CASE = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+                     for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c:
+  list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(a, c)), 4294967295), 4294967295)"""
+TREE = """{0} AS (SELECT {1}, 0 AS level, pos, n, h FROM {2}
+    UNION ALL SELECT {1}, level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+      FROM {0} WHERE n > 1 GROUP BY {1}, level, pos // 16),
+  {0}_siblings AS (SELECT *, coalesce(string_agg(h, '') OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(h, '') OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {0} WINDOW o AS (PARTITION BY {1}, level, pos // 16 ORDER BY pos)),
+  {0}_fold AS (SELECT row, {1}, 0 AS level, pos, x, proof FROM {3}
+    UNION ALL SELECT f.row, f.{1}, f.level + 1, f.pos // 16, sha256(s.l || f.x || s.r), f.proof || s.l || s.r
+      FROM {0}_fold f JOIN {0}_siblings s ON s.{1} = f.{1} AND s.level = f.level AND s.pos = f.pos WHERE s.n > 1),
+  {0}_ends AS (SELECT f.* FROM {0}_fold f JOIN {0} t ON t.{1} = f.{1} AND t.level = f.level AND t.pos = f.pos WHERE t.n = 1)"""
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({FIELDS.format("text")}) AS h,
+    CASE WHEN {CRC} % 5 = 0 THEN sha256({FIELDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS other
+  FROM documents),
+  leaves AS (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n, coalesce(other, h) AS x, '' AS proof FROM d),
+  {TREE.format("low", "g", "leaves", "leaves")},
+  subs AS (SELECT g, h, 0 AS one, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+  met AS (SELECT f.row, s.one, s.pos, f.x, f.proof FROM low_ends f JOIN subs s ON s.g = f.g),
+  {TREE.format("top", "one", "subs", "met")}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.x AS folded_root, e.x = r.h AS verified
+FROM leaves l JOIN subs s ON s.g = l.g JOIN top_ends e ON e.row = l.row JOIN top r ON r.n = 1
+""")
+def op13_merkle_manifest(spark, folder):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, folder, "documents"), tampered, text=F.translate("text", *ASCII_CASE))
