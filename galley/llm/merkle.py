@@ -141,7 +141,7 @@ def manifest(docs: DataFrame, changed: Column, key: str = "doc_id", group: str =
     above = climb(tops.drop("name"), max(1, level_count(tops.agg(F.max("n")).first()[0])))
     root = above[-1].first()
     empty = F.array().cast("array<struct<left:string,right:string>>")
-    paths = descend(above, docs.sparkSession.range(1).select(F.lit(0).alias("g"), empty.alias("path")))
+    paths = descend(above, above[-1].filter("n = 1").select("g", empty.alias("path")))
     tops = tops.join(paths, ["g", "pos"]).select(F.col("name").alias("g"), F.col("h").alias("subroot"), "path")
     tops = stored(tops, "tops")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, cotraining, decontaminate, line_dedup, maxscore, merkle, secrets, simhash, token_files, warc
+from galley.llm import bpe, chat, cotraining, decontaminate, jaccard_join, line_dedup, maxscore, merkle, secrets, simhash, token_files, warc
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -121,6 +121,28 @@ def op10_cotraining_quality(spark, folder):
     return cotraining.score(found, model).select("doc_id", "text_score", "meta_score", "score", "keep")
 
 
+SHINGLES = r"""w AS (SELECT row_number() OVER () AS row, doc_id,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT row, doc_id, list_distinct(list_transform(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 2, 2) END),
+      lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM w)"""
+
+
+@query(rf"""
+WITH RECURSIVE {SHINGLES},
+  u AS (SELECT list_sort(s) AS k, min(row) AS u FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+  x AS (SELECT u, len(k) AS n, unnest(k) AS h FROM u),
+  p AS (SELECT a.u AS a, b.u AS b FROM x a JOIN x b ON a.h = b.h AND a.u < b.u GROUP BY a.u, b.u, a.n, b.n
+        HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT u, u FROM u),
+  r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+  root AS (SELECT a AS u, min(b) AS root FROM r GROUP BY a),
+  d AS (SELECT s.doc_id, len(s.s) AS n, root.root FROM s LEFT JOIN u ON u.k = list_sort(s.s) LEFT JOIN root ON root.u = u.u)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS component_id FROM d
+""")
+def op11_ngram_jaccard_join(spark, folder):
+    return jaccard_join.components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 ASCII_CASE = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
                      for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
