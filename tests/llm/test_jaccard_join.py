@@ -5,7 +5,6 @@ import re
 from itertools import combinations
 
 import duckdb
-import numpy as np
 from pyspark.sql import functions as F
 
 from galley.llm import jaccard_join, queries
@@ -91,14 +90,22 @@ def test_empty_table(spark):
     assert jaccard_join.components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_linked_sets_meet_in_every_order():
+def test_linked_nodes_meet_in_every_order(spark):
+    """Sets of numbers: every pair that links shares a prefix shingle under each order."""
     deal = random.Random(4)
-    for _ in range(300):
-        a = deal.sample(range(10_000), deal.randint(1, 60))
-        b = [x for x in a if deal.random() > 0.08] + deal.sample(range(10_000, 20_000), deal.randint(0, 4))
-        a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 85 * (len(a) + len(b) - both):
-            late = np.array(sorted(deal.sample(range(10_000), 3000)), np.uint64)
-            for order in range(3):
-                assert np.intersect1d(*(jaccard_join.prefix(x, order, 85, late) for x in (a, b))).size
+    sets = []
+    for _ in range(60):
+        base = deal.sample(range(2000), deal.randint(1, 40))
+        sets += [sorted({x if deal.random() > 0.05 else deal.randrange(2000) for x in base}) for _ in range(3)]
+    sets = [list(s) for s in {tuple(s) for s in sets}]
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "node BIGINT, n INT, set ARRAY<BIGINT>")
+    met = {}
+    for r in jaccard_join.met_in(rows, 3, 85).collect():
+        met.setdefault((r.order, r.node), set()).add(r.h)
+    linked = 0
+    for i, j in combinations(range(len(sets)), 2):
+        both = len({*sets[i]} & {*sets[j]})
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            linked += 1
+            assert all(met.get((o, i), set()) & met.get((o, j), set()) for o in range(3))
+    assert linked > 20
