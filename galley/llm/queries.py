@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, cotraining, decontaminate, jaccard_join, line_dedup, maxscore, merkle, secrets, simhash, token_files, warc
+from galley.llm import bloom_search, bpe, chat, cotraining, decontaminate, jaccard_join, line_dedup, maxscore, merkle, secrets, simhash, token_files, warc
 from galley.llm.common import table, whole_text
 
 QUERIES = {}
@@ -143,6 +143,28 @@ def op11_ngram_jaccard_join(spark, folder):
     return jaccard_join.components(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS w FROM documents),
+  i AS (SELECT row_number() OVER () AS item, item_id, unnest({TERMS}) AS term FROM benchmark),
+  c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+  t AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+  f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+  q AS (SELECT item, item_id, term, count(*) AS times FROM i GROUP BY ALL),
+  w AS (SELECT item, item_id, term, times * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (term), c),
+  s AS (SELECT item, item_id, row, doc_id,
+      CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+    FROM w JOIN t USING (term), c GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+""")
+def op12_bloom_ranked_search(spark, folder):
+    return bloom_search.search(table(spark, folder, "benchmark"), table(spark, folder, "documents").select("doc_id", "text"))
+
+
 ASCII_CASE = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
                      for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
