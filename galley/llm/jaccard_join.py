@@ -5,7 +5,7 @@ Texts with equal sets are one node. Under any order of all shingles, two sets wh
 must meet in the prefixes of all ``ORDERS`` orders; the filters are intersected before a pair is verified on the whole
 sets. The orders decide how many strangers meet, never the result.
 
-The first order puts shingles ahead that one node alone holds, as counted in a quarter of the hash space: a node whose
+The first order puts shingles ahead that one node alone holds, as counted in a part of the hash space: a node whose
 prefix is full of them meets nobody and is out, before any pair is made. Those that stay are counted again among
 themselves, over all shingles; of nodes that still stay the orders sort the shared shingles by how many nodes hold
 them, exactly or by powers of two, and deal equal ones differently, behind the shingles of one node.
@@ -35,8 +35,6 @@ from galley.llm.simhash import connected
 from galley.operators.joins import small_broadcast
 
 SIZE, PERCENT, ORDERS = 4, 85, 3
-#: The first count takes the shingles whose hash has these low bits zero.
-COUNTED = 3
 #: 64-bit words of a set's parity bits, and the names of those they fold to for cells.
 PARITIES, FOLDED = 16, ("w0", "w1", "w2", "w3")
 CHUNK, ROWS, CACHED_WORDS, SLICE_CHARS = 2048, 256, 300_000, 1_000_000
@@ -105,10 +103,15 @@ def arrays(parts: list[np.ndarray]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(parts).view(np.int64))).cast(pa.list_(pa.int64()))
 
 
-def add_sets(rows: DataFrame, text: str, size: int, whole: bool) -> DataFrame:
-    """Replace the text column by the set's ``node`` and ``n`` and, as ``set``, all shingles or those of the first count.
+def counted_eighths(percent: int) -> int:
+    """Eighths of the hash space that the first count takes: some 1.75 times a prefix's share of the shingles."""
+    return max(1, min(8, round(0.14 * (100 - percent))))
 
-    Texts are taken in small slices, so that a worker holds few sets at a time.
+
+def add_sets(rows: DataFrame, text: str, size: int, eighths: int = 8, **others: Callable[[str], int]) -> DataFrame:
+    """Replace the text column by the set's ``node`` and ``n`` and, as ``set``, its shingles in so much of the hash space.
+
+    ``others`` are more columns, numbers made from a text. Texts are taken in small slices, so that a worker holds few sets at a time.
     """
     kept = [c for c in rows.columns if c != text]
 
@@ -117,15 +120,18 @@ def add_sets(rows: DataFrame, text: str, size: int, whole: bool) -> DataFrame:
             at = 0
             for texts in slices(pc.fill_null(batch.column(text), ""), SLICE_CHARS):
                 sets = [shingle_set(t, size) for t in texts]
-                some = sets if whole else [s[s & np.uint64(COUNTED) == 0] for s in sets]
+                some = sets if eighths == 8 else [s[(s & np.uint64(7)) < eighths] for s in sets]
                 columns = [batch.column(c).slice(at, len(texts)) for c in kept]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), arrays(some)],
-                    [*kept, "node", "n", "set"])
+                    [*columns, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), arrays(some),
+                     *[pa.array([made(t) for t in texts], pa.int64()) for made in others.values()]],
+                    [*kept, "node", "n", "set", *others])
 
-    schema = T.StructType([*rows.select(*kept).schema.fields, *T._parse_datatype_string("node BIGINT, n INT, set ARRAY<BIGINT>").fields])
-    return rows.mapInArrow(run, schema)
+    made = T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("set", T.ArrayType(T.LongType()))
+    for name in others:
+        made = made.add(name, T.LongType())
+    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, *made.fields]))
 
 
 # buckets --------------------------------------------------------------------------------------------
@@ -279,22 +285,22 @@ def verified(pairs: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -
 
 def linked_nodes(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT, orders: int = ORDERS,
                  chunk: int = CHUNK, proposed: Callable[[DataFrame], DataFrame] | None = None,
-                 **columns: Column) -> tuple[DataFrame, DataFrame]:
+                 **others: Callable[[str], int]) -> tuple[DataFrame, DataFrame]:
     """``(key, ROW1, ROW2, node, n)`` of every row and ``(node, root)`` of the nodes that link with another.
 
     ``root`` is the smallest node of a component. Names are 64-bit digests of whole sets; ``ROW1`` and ``ROW2`` name a row by
     hashes of its key and text, while texts stay behind. ``proposed`` makes more pairs ``(a, b)`` for the first round
-    from the first table, which ``columns`` of the texts ``t`` can be added to.
+    from the first table, which has the columns ``others`` made from a text too.
     """
     named = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
     named = named.withColumns({"ROW1": F.xxhash64("key", "t"), "ROW2": F.hash("t", "key")})
-    found = stored(add_sets(named.withColumns(columns), "t", size, False), "found")
+    found = stored(add_sets(named, "t", size, counted_eighths(percent), **others), "found")
     nodes = found.filter("n > 0").groupBy("node").agg(F.min(F.struct("ROW1", "ROW2")).alias("row"), F.first("n").alias("n"))
     keyed = found.filter("n > 0").select("node", F.explode("set").alias("h"))
     wanted = stored(crowded(nodes, keyed, percent).select("node", "row.ROW1", "row.ROW2"), "wanted")
     # rows that repeat a key and a text have one name
     texts = named.join(small_broadcast(wanted), ["ROW1", "ROW2"]).groupBy("node").agg(F.first("t").alias("t"))
-    sets = stored(add_sets(texts.select("t"), "t", size, True), "sets")
+    sets = stored(add_sets(texts.select("t"), "t", size), "sets")
     close = stored(crowded(sets.select("node", "n"), sets.select("node", F.explode("set").alias("h")), percent).select("node"), "close")
     sets = stored(sets.join(small_broadcast(close), "node", "left_semi"), "sets")
     bits = stored(parity_bits(sets), "bits")
