@@ -333,25 +333,22 @@ def first_paragraph_excerpt(spark, folder):
 CJK_FROM, CJK_TO = "aeiounrs", "的一是不了人在有"
 
 
-@check(f"""
+@check(rf"""
 WITH d AS (SELECT DISTINCT translate(term, '{CJK_FROM}', '{CJK_TO}') AS term FROM
-    (SELECT unnest({DOC_TOKENS}) AS term FROM benchmark) WHERE length(term) BETWEEN 2 AND 4),
-  p AS (SELECT '(' || string_agg(term, '|' ORDER BY length(term) DESC, term) || '|[一-龥]|[\\p{{L}}\\p{{N}}_]+?(?:[一-龥]|\\b))' AS pat FROM
-        (SELECT term FROM d WHERE regexp_matches(term, '^[一-龥]+$'))),
-  w AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(lower(text), '{CJK_FROM}', '{CJK_TO}'), '[^一-龥]', ' ', 'g'),
-          '(' || (SELECT string_agg(term, '|' ORDER BY length(term) DESC, term) FROM d WHERE regexp_matches(term, '^[一-龥]+$')) || '|[一-龥])') AS t FROM documents)
-SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM w
-""".replace("\\\\", "\\"))
+    (SELECT unnest({DOC_TOKENS}) AS term FROM documents) WHERE length(term) BETWEEN 2 AND 6),
+  p AS (SELECT '(' || string_agg(term, '|' ORDER BY length(term) DESC, term) || '|[一-龥]|(?:[^\P{{L}}一-龥]|[\p{{N}}_])+)' AS pattern, count(*) AS n FROM d),
+  w AS (SELECT doc_id, n, regexp_extract_all(translate(lower(text), '{CJK_FROM}', '{CJK_TO}'), pattern) AS t FROM documents, p)
+SELECT doc_id, n AS n_words, CAST(len(t) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM w
+""")
 def segment_cjk(spark, folder):
-    docs = table(spark, folder, "documents").select(
-        "doc_id", F.regexp_replace(F.translate(F.lower("text"), CJK_FROM, CJK_TO), "[^一-龥]", " ").alias("text"))
-    dictionary = (
-        scoring.tokenize(table(spark, folder, "benchmark"), "text", "item_id")
-        .filter(F.length("term").between(2, 4)).select(F.translate("term", CJK_FROM, CJK_TO).alias("term"))
-        .filter(F.col("term").rlike("^[一-龥]+$"))
-    )
+    """Whole texts, part of their letters written as CJK characters, cut by the corpus's own words of up to six letters."""
+    documents = table(spark, folder, "documents")
+    docs = documents.select("doc_id", F.translate(F.lower("text"), CJK_FROM, CJK_TO).alias("text"))
+    words = scoring.tokenize(documents, "text", "doc_id").filter(F.length("term").between(2, 6))
+    dictionary = words.select(F.translate("term", CJK_FROM, CJK_TO).alias("term")).distinct().cache()
     return segment.segment_cjk(docs, "text", dictionary).select(
-        "doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.md5(F.array_join("terms", " ")).alias("digest"))
+        "doc_id", F.lit(dictionary.count()).alias("n_words"), F.size("terms").cast("bigint").alias("n_terms"),
+        F.md5(F.array_join("terms", " ")).alias("digest"))
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxy"
@@ -372,6 +369,32 @@ def transliterate_titles(spark, folder):
     return segment.transliterate(titles, "title", syllables, "page_id")
 
 
+@check(f"""
+WITH n AS (SELECT chr(CAST(19968 + n_nationkey AS INTEGER)) AS ch, lower(n_name) AS syllable, n_nationkey AS k FROM nation),
+  p AS (SELECT a.ch || b.ch AS ch, a.syllable || b.k AS syllable FROM n a JOIN n b ON b.k = (a.k * 7 + 3) % 25
+        UNION ALL SELECT a.ch || b.ch || c.ch, a.syllable || b.k || c.k FROM n a JOIN n b ON b.k = (a.k * 7 + 3) % 25 JOIN n c ON c.k = (b.k * 5) % 25),
+  t AS (SELECT page_id, translate(lower({H1}), '{LETTERS}', '{GLYPHS}') AS title FROM pages),
+  c AS (SELECT page_id, unnest(w) AS ch, generate_subscripts(w, 1) AS pos FROM (SELECT page_id, regexp_extract_all(title,
+        (SELECT string_agg(ch, '|' ORDER BY length(ch) DESC) FROM p) || '|[一-龥]|[^一-龥]+') AS w FROM t)),
+  e AS (SELECT ch, syllable FROM n UNION ALL SELECT * FROM p)
+SELECT page_id, string_agg(coalesce(syllable, ch), '-' ORDER BY pos) AS syllables FROM c LEFT JOIN e USING (ch) GROUP BY page_id
+""")
+def phrase_readings(spark, folder):
+    """Entries of one, two and three characters that overlap: the longest at a place gives the reading."""
+    titles = page_fields(spark, folder).select("page_id", F.translate(F.lower("title"), LETTERS, GLYPHS).alias("title"))
+    nation = table(spark, folder, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    n = nation.select(F.col("n_nationkey").alias("k"), "name", F.element_at(F.split(F.lit(GLYPHS), ""), F.col("n_nationkey") + 1).alias("ch"))
+
+    def following(rows, factor, plus):
+        after = n.select(F.col("k").alias("last"), F.col("ch").alias("next"))
+        met = rows.withColumn("last", (F.col("k") * factor + plus) % 25).join(F.broadcast(after), "last")  # 25 nations
+        return met.select(F.col("last").alias("k"), F.concat("name", F.col("last").cast("string")).alias("name"), F.concat("ch", "next").alias("ch"))
+
+    pairs = following(n, 7, 3)
+    entries = n.unionByName(pairs).unionByName(following(pairs, 5, 0)).select("ch", F.col("name").alias("syllable"))
+    return segment.transliterate(titles, "title", entries, "page_id")
+
+
 @check(r"""
 WITH turns AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
   t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{4,}')) AS w FROM turns),

@@ -1,101 +1,170 @@
-"""CJK words and syllables by lookup tables."""
+"""CJK words and syllables by lookup tables.
+
+A table of words becomes automata: tries as flat sorted arrays of transitions, each of a bounded number of bytes. They
+are walked over all places of a slice of texts at once, so a text costs its length, whatever the size of the table.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions.text import CJK_CLASS
-from galley.operators.joins import lookup_join, small_broadcast, spread
+from galley.operators.joins import small_broadcast, spread
 
-# Words up to which the dictionary becomes one pattern.
-PATTERN_WORDS = 5_000
+#: Bytes of words that one automaton holds at most; a larger table is dealt to several.
+AUTOMATON_BYTES = 8 << 20
+#: Characters of texts that are walked together, and a code that no text has, set between them.
+SLICE_CHARS, APART = 1 << 18, (1 << 21) - 1
 _CJK = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), CJK_CLASS)  # as Python writes the class
-_OTHER = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])\w)+")
+_WORD = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])\w)+")
+_RUN = re.compile(rf"[{_CJK}]|[^{_CJK}]+")
 _LATIN = r"[\p{L}\p{N}_&&[^%s]]+" % CJK_CLASS
 
 
-def segment_by_pattern(text: Column, words: list[str]) -> Column:
-    """Token array by forward maximum matching with a short dictionary; one character where none fits."""
-    parts = [longest_of(words), f"[{CJK_CLASS}]", _LATIN]
-    return F.regexp_extract_all(F.lower(text), F.lit("(" + "|".join(p for p in parts if p) + ")"), F.lit(1))
+class Automaton:
+    """Transitions ``state * 2**21 + character`` in ascending order, the states they lead to, and the states that end a word."""
+
+    def __init__(self, words: Iterable[str]):
+        moves: dict[int, int] = {}
+        ends = set()
+        for word in words:
+            state = 0
+            for ch in word:
+                state = moves.setdefault(state << 21 | ord(ch), len(moves) + 1)
+            ends.add(state)
+        self.moves = np.fromiter(moves, np.int64, len(moves))
+        order = np.argsort(self.moves)
+        self.moves, self.to = self.moves[order], np.fromiter(moves.values(), np.int32, len(moves))[order]
+        self.ends = np.zeros(len(moves) + 1, bool)
+        self.ends[list(ends)] = True
+        self.ends[0] = False
+
+    def longest(self, codes: np.ndarray) -> np.ndarray:
+        """At each place the length of the longest word that begins there, zero where none does."""
+        found = np.zeros(len(codes), np.int32)
+        at, state, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        while len(at) and len(self.moves):
+            inside = at + depth < len(codes)
+            at, state = at[inside], state[inside]
+            wanted = state << 21 | codes[at + depth].astype(np.int64)
+            place = np.minimum(np.searchsorted(self.moves, wanted), len(self.moves) - 1)
+            hit = self.moves[place] == wanted
+            at, state, depth = at[hit], self.to[place[hit]].astype(np.int64), depth + 1
+            found[at[self.ends[state]]] = depth
+        return found
+
+
+def longest_words(texts: list[str], automata: list[Automaton]) -> Iterator[tuple[str, list[int]]]:
+    """Each text with the length of the longest word at each of its places."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < SLICE_CHARS):
+            size, end = size + len(texts[end]) + 1, end + 1
+        codes = [np.r_[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), np.uint32(APART)] for t in texts[at:end]]
+        joined = np.concatenate(codes)
+        lengths = automata[0].longest(joined)
+        for other in automata[1:]:
+            lengths = np.maximum(lengths, other.longest(joined))
+        begin = 0
+        for text, code in zip(texts[at:end], codes):
+            yield text, lengths[begin:begin + len(text)].tolist()
+            begin += len(code)
+        at = end
+
+
+def cut(text: str, longest: list[int], other: re.Pattern) -> list[str]:
+    """Forward maximum matching: the longest word at a place, else what the pattern finds there, else nothing."""
+    out, i = [], 0
+    while i < len(text):
+        if longest[i]:
+            end = i + longest[i]
+        elif found := other.match(text, i):
+            end = found.end()
+        else:
+            i += 1
+            continue
+        out.append(text[i:end])
+        i = end
+    return out
+
+
+def cut_around(text: str, longest: list[int]) -> list[str]:
+    """All of the text: the longest word at a place, else a CJK character, else a run of others up to the next word."""
+    out, i = [], 0
+    while i < len(text):
+        end = i + longest[i]
+        if end == i:
+            stop = _RUN.match(text, i).end()
+            end = next((j for j in range(i + 1, stop) if longest[j]), stop)
+        out.append(text[i:end])
+        i = end
+    return out
+
+
+def build_automata(words: DataFrame, column: str = "term", block_bytes: int = AUTOMATON_BYTES) -> list[Automaton]:
+    """Automata that together hold all words of a column. Nulls, empty words and repeats change nothing."""
+    terms = words.select(F.col(column).alias("term")).filter("term != ''").distinct()
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    parts = max(1, -(-size // block_bytes))
+    own = F.pmod(F.xxhash64("term"), F.lit(parts))
+    return [Automaton(r[0] for r in terms.filter(own == part).toLocalIterator()) for part in range(parts)]
+
+
+def _cutter(spark: SparkSession, automata: list[Automaton], how: Callable[[str, list[int]], list[str]]) -> Callable[[Column], Column]:
+    held = [spark.sparkContext.broadcast(a) for a in automata]  # each of bounded size
 
+    @F.pandas_udf("array<string>")
+    def tokens(texts):
+        import pandas as pd
 
-def longest_of(words: list[str]) -> str:
-    """Pattern for the longest of the words that fits, with their common beginnings shared."""
-    by_first: dict[str, list[str]] = {}
-    for word in sorted(set(words) - {""}):
-        by_first.setdefault(word[0], []).append(word[1:])
-    branches = []
-    for first, rests in by_first.items():
-        rest = longest_of(rests)
-        branches.append(re.escape(first) + (f"(?:{rest}){'?' if '' in rests else ''}" if rest else ""))
-    return "|".join(branches)
+        known = texts.dropna()
+        made = (how(t, n) for t, n in longest_words(known.tolist(), [a.value for a in held]))
+        return pd.Series([None if null else next(made) for null in texts.isna()], dtype=object)
 
+    return tokens
 
-def segment_cjk(
-    df: DataFrame, column: str, dictionary: DataFrame, key: str = "doc_id", pattern_words: int = PATTERN_WORDS
-) -> DataFrame:
-    """``(key, terms)`` with dictionary phrases never split.
 
-    A long dictionary is joined instead of compiled, with the same result: the substrings of a text up to the
-    longest word meet the dictionary, and a walk over the text takes the longest match at each place, else
-    one CJK character or a run of letters and digits. Texts and matches meet again by ``key``, which must be unique.
-    """
-    words = dictionary.select(F.lower("term").alias("term")).filter("term != ''").distinct()
-    head = [r[0] for r in words.limit(pattern_words + 1).collect()]  # bounded by the limit
-    if len(head) <= pattern_words:
-        return df.select(key, segment_by_pattern(F.col(column), head).alias("terms"))
-    longest = words.agg(F.max(F.length("term"))).first()[0]
-    texts = df.select(key, F.lower(column).alias("text"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - i + 1)),
-        lambda n: F.struct(i.alias("pos"), F.substring(F.col("text"), i, n).alias("term"))))
-    spans = spread(texts.filter("text != ''"), key).select(key, F.explode(F.flatten(starts)).alias("s")).select(key, "s.*")
-    known = words.join(spans.groupBy("term").agg(F.count("*").alias("_n")), "term")
-    places = lookup_join(spans, known, "term", "_n").groupBy(key, "pos").agg(F.max(F.length("term")).alias("len"))
-    places = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "len"))).alias("places"))
-    return texts.join(places, key, "left").select(key, _walk("text", "places").alias("terms"))
-
-
-def _walk(text: str, places: str) -> Column:
-    """Tokens of a text, given the longest word at each of the places (from 1) where there is one."""
-
-    def tokens(text: str | None, longest: dict | None) -> list[str] | None:
-        if text is None:
-            return None
-        out, i, longest = [], 0, dict(longest or ())
-        while i < len(text):
-            if i + 1 in longest:
-                end = i + longest[i + 1]
-            elif other := _OTHER.match(text, i):
-                end = other.end()
-            else:
-                i += 1
-                continue
-            out.append(text[i:end])
-            i = end
-        return out
+def segmenter(spark: SparkSession, dictionary: DataFrame | list[str] | None) -> Callable[[Column], Column]:
+    """A function from a text to its tokens: lower case, phrases of the dictionary ``(term)`` never split.
 
-    @F.pandas_udf("array<string>")
-    def walked(texts, maps):
-        import pandas as pd
+    Forward maximum matching; where no phrase fits, one CJK character or a run of letters and digits. Without a dictionary
+    nothing leaves the JVM. A null text has null tokens.
+    """
+    if isinstance(dictionary, list):
+        dictionary = spark.createDataFrame([(w,) for w in dictionary], "term STRING") if dictionary else None
+    if dictionary is None:
+        pattern = f"([{CJK_CLASS}]|{_LATIN})"
+        return lambda text: F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+    tokens = _cutter(spark, build_automata(dictionary.select(F.lower("term").alias("term"))), lambda t, n: cut(t, n, _WORD))
+    return lambda text: tokens(F.lower(text))
 
-        return pd.Series([tokens(t, p) for t, p in zip(texts, maps)])
 
-    return walked(F.col(text), F.col(places))
+def segment_cjk(df: DataFrame, column: str, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, terms)`` with dictionary phrases never split. Rows are cut one by one: keys may repeat or be null."""
+    return df.select(key, segmenter(df.sparkSession, dictionary)(F.col(column)).alias("terms"))
 
 
 def transliterate(df: DataFrame, column: str, syllables: DataFrame, key: str) -> DataFrame:
-    """``(key, syllables)``: each CJK character by its syllable, other runs as they are, joined by '-'.
+    """``(key, syllables)``: phrases and CJK characters by their syllables, other runs as they are, joined by '-'.
 
-    ``syllables`` is ``(ch, syllable)``. Characters it lacks stay.
+    ``syllables`` is ``(ch, syllable)``; an entry of several characters is the reading of a phrase, and the longest entry
+    at a place wins, so that a character can read differently by phrase. Characters without an entry stay. ``key`` is unique;
+    of several readings of one entry the least counts.
     """
-    parts = F.regexp_extract_all(F.col(column), F.lit(f"([{CJK_CLASS}]|[^{CJK_CLASS}]+)"), F.lit(1))
+    table = syllables.groupBy("ch").agg(F.min("syllable").alias("syllable"))
+    phrases = table.filter("syllable IS NOT NULL")
+    if phrases.filter(F.length("ch") > 1).isEmpty():
+        parts = F.regexp_extract_all(F.col(column), F.lit(f"([{CJK_CLASS}]|[^{CJK_CLASS}]+)"), F.lit(1))
+    else:
+        parts = _cutter(df.sparkSession, build_automata(phrases, "ch"), cut_around)(F.col(column))
     rows = spread(df, key).select(key, F.posexplode(parts).alias("pos", "ch"))
-    named = rows.join(small_broadcast(syllables.select("ch", "syllable")), "ch", "left")
+    named = rows.join(small_broadcast(table), "ch", "left")
     return named.groupBy(key).agg(
         F.array_join(
             F.transform(

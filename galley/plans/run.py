@@ -16,7 +16,7 @@ from galley.operators.documents import build_documents
 from galley.operators.excerpt import excerpt_bm25
 from galley.operators.joins import small_broadcast
 from galley.operators.keywords import article_keywords, keyword_arrays
-from galley.operators.segment import segment_by_pattern, transliterate
+from galley.operators.segment import segmenter, transliterate
 from galley.operators.shred import shred
 from galley.session import cut_lineage
 
@@ -68,11 +68,12 @@ def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFr
 def complete_articles(
     parsed: DataFrame,
     stopwords: DataFrame | None = None,
-    dictionary: list[str] | None = None,
+    dictionary: DataFrame | list[str] | None = None,
     syllables: DataFrame | None = None,
     phrase_scores: DataFrame | None = None,
 ) -> DataFrame:
     """Fill in what needs the whole text or the whole corpus: keywords, ranked excerpts, slug source."""
+    segment = segmenter(parsed.sparkSession, dictionary)
     latin_stop, cjk_stop = stop_set(stopwords, "en"), stop_set(stopwords, "zh")
     required = F.coalesce(F.col("rule.tokenizer.require"), F.array().cast("array<string>"))
     site_stop = F.transform(F.coalesce(F.col("rule.tokenizer.filter"), F.array().cast("array<string>")), F.lower)
@@ -83,7 +84,7 @@ def complete_articles(
     # CJK tokens are cut by dictionary; the tokens of both kinds lose their stop words before the n-grams
     latin = T.tokens(F.col("body"))
     cjk = F.filter(
-        T.drop_terms(segment_by_pattern(F.col("body"), dictionary or []), cjk_stop, F.col("required")),
+        T.drop_terms(segment(F.when(F.col("cjk"), F.col("body"))), cjk_stop, F.col("required")),
         lambda t: ~F.array_contains(F.col("site_stop"), t) | F.array_contains(F.col("required"), t),
     )
     texts = texts.withColumn("terms", F.when(F.col("cjk"), cjk).otherwise(
@@ -94,7 +95,7 @@ def complete_articles(
     keywords = keyword_arrays(ranked)
 
     sentence_terms = F.when(
-        T.has_cjk(F.col("sentence")), T.drop_terms(segment_by_pattern(F.col("sentence"), dictionary or []), cjk_stop)
+        T.has_cjk(F.col("sentence")), T.drop_terms(segment(F.when(T.has_cjk(F.col("sentence")), F.col("sentence"))), cjk_stop)
     ).otherwise(T.drop_terms(T.tokens(F.col("sentence"), 1), latin_stop))
     no_excerpt = parsed.filter("excerpt IS NULL").select("url", "content_text")
     excerpts = excerpt_bm25(no_excerpt, "content_text", 5, "url", terms=sentence_terms).withColumnRenamed("excerpt", "ranked")

@@ -1,13 +1,15 @@
 """Scalar expressions against hand-computed values."""
 
+import random
 import re
+import time
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
 from galley.functions import dates, frontmatter, images, slugs, text, urls
 from galley.operators.keyphrases import keyphrases_mmr
-from galley.operators.segment import longest_of, segment_cjk, transliterate
+from galley.operators.segment import Automaton, build_automata, cut, longest_words, segment_cjk, transliterate
 
 
 def one(spark, column, **values):
@@ -106,16 +108,40 @@ def test_split_tags(spark):
     assert one(spark, text.split_tags(tags)) == ["a", "b", "c"]
 
 
-def test_segmenter_forms_agree(spark):
-    words = ["中文", "中文分词", "分", "词典", "python"]
-    docs = spark.createDataFrame([(1, "中文分词很好"), (2, "用python写中文 词典abc"), (3, "")], "doc_id INT, text STRING")
+def test_segmenter_keeps_phrases_whole(spark):
+    words = ["中文", "中文分词", "分", "词典", "python", None, "", "中文"]
+    docs = spark.createDataFrame([(1, "中文分词很好"), (2, "用python写中文 词典abc"), (1, ""), (None, None)], "doc_id INT, text STRING")
     dictionary = spark.createDataFrame([(w,) for w in words], "term STRING")
-    short = {r.doc_id: r.terms for r in segment_cjk(docs, "text", dictionary).collect()}
-    long = {r.doc_id: r.terms for r in segment_cjk(docs, "text", dictionary, pattern_words=1).collect()}
-    assert short[1] == ["中文分词", "很", "好"]
-    assert short == long
-    pattern = re.compile(longest_of(words))
-    assert pattern.match("中文分词").group() == "中文分词" and pattern.match("中文分").group() == "中文"
+    got = sorted([(r.doc_id, r.terms) for r in segment_cjk(docs, "text", dictionary).collect()], key=str)
+    assert got == sorted([(1, ["中文分词", "很", "好"]), (2, ["用", "python", "写", "中文", "词典", "abc"]), (1, []), (None, None)], key=str)
+
+
+def test_automata_walk_like_a_pattern():
+    deal = random.Random(1)
+    words = ["".join(deal.choices("中文字典词abc. ", k=deal.randint(1, 6))) for _ in range(400)]
+    texts = ["".join(deal.choices("中文字典词分abc. _9-", k=deal.randint(0, 300))) for _ in range(60)] + ["", "中" * 100_000]
+    pattern = re.compile("|".join(map(re.escape, sorted(words, key=lambda w: -len(w)))) + r"|[中文字典词分]|[a-z0-9_]+")
+    parts = [Automaton(words[k::3]) for k in range(3)]
+    start = time.perf_counter()
+    got = [cut(t, n, re.compile(r"[中文字典词分]|[a-z0-9_]+")) for t, n in longest_words(texts, parts)]
+    assert time.perf_counter() - start < 3
+    assert got == [pattern.findall(t) for t in texts]
+    assert list(longest_words(["中文"], [Automaton([])])) == [("中文", [0, 0])]
+
+
+def test_long_tables_take_several_automata(spark):
+    words = spark.createDataFrame([(f"词{i}",) for i in range(3000)], "term STRING")
+    parts = build_automata(words, block_bytes=4000)
+    assert len(parts) > 3
+    assert [n for _, n in longest_words(["x词2999"], parts)] == [[0, 5, 0, 0, 0, 0]]
+
+
+def test_phrases_read_as_a_whole(spark):
+    titles = spark.createDataFrame([(1, "重庆重要银行行人ok银"), (2, ""), (3, None)], "id INT, t STRING")
+    table = spark.createDataFrame([("重", "zhong"), ("要", "yao"), ("重庆", "chong-qing"), ("银行", "yin-hang"), ("行", "xing"),
+                                   ("重庆人", "no"), ("行", "xing"), ("人", "ren")], "ch STRING, syllable STRING")
+    got = {r.id: r.syllables for r in transliterate(titles, "t", table, "id").collect()}
+    assert got == {1: "chong-qing-zhong-yao-yin-hang-xing-ren-ok-银"}
 
 
 def test_transliterate(spark):
