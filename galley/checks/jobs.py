@@ -10,7 +10,7 @@ from galley.functions import text as T
 from galley.functions.urls import site_key
 from galley.plans.run import run
 from galley.schemas import ARTICLES, SITE_FILE
-from galley.sources import read_articles, read_pages, read_sites, read_stopwords
+from galley.sources import read_articles, read_documents, read_pages, read_sites, read_stopwords
 from galley.sources.readers import with_removal_pattern
 from galley.streaming import ingest
 
@@ -77,7 +77,7 @@ def incremental_job(spark, folder):
     pages = table(spark, folder, "pages")
     for part in range(2):  # files arrive in two lots, the second with every third page again
         lot = pages.filter(f"page_id % 2 = {part} OR (page_id % 3 = 0 AND {part} = 1)")
-        lot.coalesce(1).write.mode("append").parquet(source)
+        lot.write.mode("append").parquet(source)
         ingest(spark, source, out, site_rules(spark, folder), F.to_timestamp(F.lit(AS_OF))).awaitTermination()
     return read_articles(spark, f"{out}/articles", ["title", "publish"])
 
@@ -88,6 +88,13 @@ WITH {EXPECTED} SELECT x.url, 'site' || page_id // 16 || '.test' AS site, publis
 """)
 def cross_host_job(spark, folder):
     """Listings on hosts of their own, articles on others, and a second page for every fourth URL."""
+    pages, listings, again, sites = cross_host_pages(spark, folder)
+    result = run(spark, site_rules(spark, folder, sites=sites), pages.unionByName(listings).unionByName(again),
+                 spark.createDataFrame([], ARTICLES), F.to_timestamp(F.lit(AS_OF)))
+    return result.articles.join(result.documents.select("url", "doc_name"), "url", "left").select("url", "site", "publish", "doc_name")
+
+
+def cross_host_pages(spark, folder):
     pages = table(spark, folder, "pages").withColumn("k", F.expr("page_id div 16"))
     links = F.array_join(F.collect_list(F.concat(F.lit('<li><a href="'), "url", F.lit('">a</a></li>'))), "")
     listings = pages.groupBy("k").agg(links.alias("links")).select(
@@ -96,9 +103,27 @@ def cross_host_job(spark, folder):
     again = pages.filter("page_id % 4 = 0").select(
         (F.col("page_id") + 1_000_000).alias("page_id"), "url", F.replace("html", F.lit("<h1>"), F.lit("<h1>there ")).alias("html"))
     sites = pages.select(F.format_string("site%d.test", "k").alias("site"), F.format_string("http://hub%d.test/list", "k").alias("start")).distinct()
-    result = run(spark, site_rules(spark, folder, sites=sites), pages.drop("k").unionByName(listings).unionByName(again),
-                 spark.createDataFrame([], ARTICLES), F.to_timestamp(F.lit(AS_OF)))
-    return result.articles.join(result.documents.select("url", "doc_name"), "url", "left").select("url", "site", "publish", "doc_name")
+    return pages.drop("k"), listings, again, sites
+
+
+@check(f"""
+WITH {EXPECTED} SELECT x.url, 'site' || page_id // 16 || '.test' AS site, publish,
+  CASE WHEN publish THEN '202401010800000800-' || md5(x.url) || '.md' END AS doc_name FROM x JOIN pages USING (url)
+""")
+def stream_cross_host_job(spark, folder):
+    """The rows of ``cross_host_job`` from three lots: pages before their listings, listings before their pages, second pages last."""
+    pages, listings, again, sites = cross_host_pages(spark, folder)
+    out, source = scratch(spark, "hubs"), scratch(spark, "incoming")
+    rules = site_rules(spark, folder, sites=sites)
+    lots = [pages.filter("page_id % 2 = 0").unionByName(listings.filter("page_id % 3 = 0")),
+            pages.filter("page_id % 4 = 1").unionByName(listings.filter("page_id % 3 != 0")),
+            pages.filter("page_id % 4 = 3").unionByName(again)]
+    for lot in lots:
+        lot.write.mode("append").parquet(source)
+        ingest(spark, source, out, rules, F.to_timestamp(F.lit(AS_OF)), discover=True).awaitTermination()
+    state = read_articles(spark, f"{out}/articles", ["site", "publish"]).withColumn("name", F.md5("url"))
+    names = read_documents(spark, f"{out}/documents").select("doc_name", F.regexp_extract("doc_name", r"-([0-9a-f]*)\.md", 1).alias("name"))
+    return state.join(names, "name", "left").select("url", "site", "publish", "doc_name")
 
 
 @check(f"WITH {EXPECTED} SELECT url, title, publish FROM x")

@@ -42,12 +42,20 @@ def stop_set(stopwords: DataFrame | None, lang: str) -> list[str]:
     return [r[0] for r in stopwords.select(F.lower("term")).distinct().collect()]
 
 
-def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Article links of the listings reached from each site's start URLs, and those listings."""
-    # a page belongs to the sites that start on its host
+def listing_hosts(sites: DataFrame) -> DataFrame:
+    """``(site, host)``: a page belongs to the sites that start on its host."""
     own = sites.select("site", F.explode("start_urls").alias("start")).select("site", site_key(F.col("start")).alias("host"))
-    hosts = own.unionByName(sites.select("site", F.col("site").alias("host"))).distinct()
-    placed = shred(pages).withColumn("host", site_key(F.col("url"))).join(small_broadcast(hosts, 50_000), "host").drop("host")
+    return own.unionByName(sites.select("site", F.col("site").alias("host"))).distinct()
+
+
+def start_listings(sites: DataFrame) -> DataFrame:
+    return sites.select("site", F.explode("start_urls").alias("url"))
+
+
+def listing_tree(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """``(site, url, links, next_url)`` of every page as a listing of the sites on its host, links resolved."""
+    hosts = small_broadcast(listing_hosts(sites), 50_000)
+    placed = shred(pages).withColumn("host", site_key(F.col("url"))).join(hosts, "host").drop("host")
     tree = A.with_rules(placed, sites)
     nodes = F.col("nodes")
     # links are all that is needed of a listing, so they are kept and not its nodes
@@ -56,13 +64,18 @@ def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFr
         dom.attributes(nodes, dom.select_steps(nodes, F.col("steps.links")), "href").alias("hrefs"),
         dom.attribute_of(nodes, dom.first_step_match(nodes, F.col("steps.next")), "href").alias("next_href"),
     ))
-    edges = tree.filter("next_href IS NOT NULL").select(
-        "url", url_join(F.col("url"), F.col("next_href")).alias("next_url"))
-    starts = sites.select("site", F.explode("start_urls").alias("url"))
-    listings = frontier.reachable_listings(edges, starts)
-    links = tree.join(listings.select("site", "url"), ["site", "url"], "left_semi").select(
-        "site", "url", F.explode("hrefs").alias("href"))
-    return links.select("site", url_join(F.col("url"), F.col("href")).alias("url")), listings
+    return tree.select(
+        "site", "url", F.transform("hrefs", lambda href: url_join(F.col("url"), href)).alias("links"),
+        F.when(F.col("next_href").isNotNull(), url_join(F.col("url"), F.col("next_href"))).alias("next_url"))
+
+
+def listing_links(pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Article links of the listings reached from each site's start URLs, and those listings."""
+    tree = listing_tree(pages, sites)
+    edges = tree.filter("next_url IS NOT NULL").select("url", "next_url")
+    listings = frontier.reachable_listings(edges, start_listings(sites))
+    links = tree.join(listings.select("site", "url"), ["site", "url"], "left_semi")
+    return links.select("site", F.explode("links").alias("url")), listings
 
 
 def complete_articles(
