@@ -11,7 +11,7 @@ from galley.checks.registry import (
 from galley.checks.stopwords import STOPWORDS
 from galley.functions import text as T
 from galley.functions.bind import let
-from galley.operators import excerpt, filters, keyphrases, scoring, segment
+from galley.operators import excerpt, filters, keyphrases, phrases, scoring, segment
 from galley.operators.articles import choose_excerpt, choose_tags
 
 DOC_TOKENS = tokens_sql("text")
@@ -498,3 +498,30 @@ def blocklist_content(spark, folder):
     docs = table(spark, folder, "documents")
     phrases = table(spark, folder, "benchmark").select(F.col("text").alias("phrase"))
     return filters.drop_blocked(docs, "doc_id", "text", phrases).select("doc_id", "n_chars")
+
+
+@check(f"""
+WITH d AS (SELECT conv_id * 1000 + turn AS doc_id, {DOC_TOKENS} AS w FROM conversations),
+  n AS (SELECT count(*) AS n FROM embeddings),
+  t AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM d),
+  v AS (SELECT doc_id, i, term, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM t, n JOIN embeddings
+        ON vec_id = (ascii(term) * 31 + ascii(term[-1:]) * 7 + length(term)) % n.n),
+  p AS (SELECT doc_id, i, dim, unnest([1, 2]) AS n, term AS a, lead(term) OVER o AS b, x, lead(x) OVER o AS y FROM v WINDOW o AS (PARTITION BY doc_id, dim ORDER BY i)),
+  g AS (SELECT doc_id, dim, CASE n WHEN 1 THEN a ELSE a || ' ' || b END AS term, any_value(CASE n WHEN 1 THEN x ELSE (x + y) / 2 END) AS x FROM p
+        WHERE n = 1 OR b IS NOT NULL GROUP BY ALL),
+  c AS (SELECT doc_id, term, list(x ORDER BY dim) AS vec FROM g GROUP BY ALL),
+  m AS (SELECT doc_id, list(x ORDER BY dim) AS dvec FROM (SELECT doc_id, dim, avg(x) AS x FROM v GROUP BY ALL) GROUP BY doc_id),
+  s AS (SELECT c.doc_id, term, vec, list_cosine_similarity(vec, dvec) AS score FROM c JOIN m USING (doc_id)),
+  f AS (SELECT doc_id, term AS bt, vec AS bv FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) = 1),
+  e AS (SELECT s.doc_id, term, score, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(0.5 * score - 0.5 * list_cosine_similarity(vec, bv), 9) DESC, term) AS r
+        FROM s JOIN f USING (doc_id) WHERE term <> bt)
+SELECT doc_id, bt AS term, 1 AS rank FROM f UNION ALL SELECT doc_id, term, 2 FROM e WHERE r = 1
+""")
+def phrase_vectors_mmr(spark, folder):
+    """Phrases of one and two words, their vectors the means of their words', two for every turn."""
+    turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), T.tokens(F.col("text")).alias("terms"))
+    given = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    words = turns.select(F.explode("terms").alias("term")).distinct()
+    place = (F.ascii("term") * 31 + F.ascii(F.substring("term", -1, 1)) * 7 + F.length("term")) % given.count()
+    vectors = words.join(given, place == F.col("vec_id")).select("term", "vec")
+    return phrases.phrase_scores(turns, vectors, "terms", k=2, longest=2).select("doc_id", "term", "rank")

@@ -11,7 +11,7 @@ from galley.functions import dom
 from galley.functions import text as T
 from galley.functions.urls import site_key, url_join
 from galley.operators import articles as A
-from galley.operators import frontier
+from galley.operators import frontier, phrases
 from galley.operators.documents import build_documents
 from galley.operators.excerpt import excerpt_bm25
 from galley.operators.joins import small_broadcast
@@ -84,8 +84,13 @@ def complete_articles(
     dictionary: DataFrame | list[str] | None = None,
     syllables: DataFrame | None = None,
     phrase_scores: DataFrame | None = None,
+    phrase_vectors: DataFrame | bool | None = None,
 ) -> DataFrame:
-    """Fill in what needs the whole text or the whole corpus: keywords, ranked excerpts, slug source."""
+    """Fill in what needs the whole text or the whole corpus: keywords, ranked excerpts, slug source.
+
+    With ``phrase_vectors``, ``(term, vec)`` or true for vectors trained on the articles at hand, texts without CJK characters
+    are ranked by diverse phrases; those with them, and all without it, by n-gram weights over the corpus.
+    """
     segment = segmenter(parsed.sparkSession, dictionary)
     latin_stop, cjk_stop = stop_set(stopwords, "en"), stop_set(stopwords, "zh")
     required = F.coalesce(F.col("rule.tokenizer.require"), F.array().cast("array<string>"))
@@ -103,8 +108,15 @@ def complete_articles(
     texts = texts.withColumn("terms", F.when(F.col("cjk"), cjk).otherwise(
         F.filter(T.drop_terms(latin, latin_stop, F.col("required")),
                  lambda t: ~F.array_contains(F.col("site_stop"), t) | F.array_contains(F.col("required"), t))))
-    texts = cut_lineage(texts.select("url", "terms", "required"))
-    ranked = article_keywords(texts, F.col("terms"), "url", "required", phrase_scores=phrase_scores)
+    texts = cut_lineage(texts.select("url", "cjk", "terms", "required"))
+    if phrase_vectors is None or phrase_vectors is False:
+        ranked = article_keywords(texts.drop("cjk"), F.col("terms"), "url", "required", phrase_scores=phrase_scores)
+    else:
+        by_phrase, others = (texts.filter(c).drop("cjk") for c in ("NOT cjk", "cjk"))
+        vectors = phrases.word_vectors(by_phrase, "terms") if phrase_vectors is True else phrase_vectors
+        found = cut_lineage(phrases.phrase_scores(by_phrase, vectors, "terms", "url").drop("rank"))
+        ranked = article_keywords(by_phrase, F.col("terms"), "url", "required", phrase_scores=found).unionByName(
+            article_keywords(others, F.col("terms"), "url", "required"))
     keywords = keyword_arrays(ranked)
 
     sentence_terms = F.when(
@@ -157,8 +169,8 @@ def run(
 ) -> Result:
     """One pass over all sites. ``as_of`` is the instant for pages without a readable date.
 
-    ``inputs``: ``stopwords``, ``dictionary``, ``syllables``, ``phrase_scores`` — language resources
-    are tables, none is built in.
+    ``inputs``: ``stopwords``, ``dictionary``, ``syllables``, ``phrase_scores``, ``phrase_vectors`` — language resources
+    are tables, none is built in; phrase vectors can be trained on the pages.
     """
     if discover:
         links, _ = listing_links(pages, sites)
