@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import StopWordsRemover
@@ -83,12 +84,53 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return _usable(spark.read.schema(PAGES).parquet(path), F.col("html"))
 
 
-def read_html_files(spark: SparkSession, path: str, url_prefix: str = "https://") -> DataFrame:
-    """Pages from saved HTML files; the path below the folder is the rest of the URL."""
+#: Byte order marks and the charset that each stands for; fixed values.
+MARKS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
+#: Labels that stand for a larger charset on the web; fixed values.
+WIDER = {"gb2312": "gb18030", "gbk": "gb18030", "gb_2312-80": "gb18030", "x-gbk": "gb18030", "iso-8859-1": "windows-1252",
+         "latin1": "windows-1252", "us-ascii": "windows-1252", "ascii": "windows-1252", "shift_jis": "cp932", "utf-16": "utf-8",
+         "utf-16le": "utf-8", "utf-16be": "utf-8"}
+DECLARED = re.compile(rb"""<meta[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_:.-]+)""", re.I)
+LOOKED_AT = 1024
+
+
+def decode_bytes(data: bytes, default: str = "utf-8") -> str:
+    """A page's text: by its byte order mark, else the charset that a ``meta`` near its beginning names, else the default.
+
+    What a charset cannot read becomes U+FFFD; an unknown label counts as none. A page that names UTF-16 in readable ASCII is not
+    written in it, and counts as UTF-8.
+    """
+    for mark, charset in MARKS.items():
+        if data.startswith(mark):
+            return data[len(mark):].decode(charset, "replace")
+    found = DECLARED.search(data, 0, LOOKED_AT)
+    label = found[1].decode("ascii").lower() if found else default
+    try:
+        return data.decode(WIDER.get(label, label), "replace")
+    except LookupError:
+        return data.decode(default, "replace")
+
+
+def decode_html(content: Column, default: str = "utf-8") -> Column:
+    """Bytes of pages to text. Pages that are UTF-8 and say nothing else stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def decoded(pages):
+        return pages.map(lambda page: None if page is None else decode_bytes(bytes(page), default))
+
+    head = F.lower(F.decode(F.substring(content, 1, LOOKED_AT), "ISO-8859-1"))
+    named = F.regexp_extract(head, r"""<meta[^>]*?charset\s*=\s*["']?\s*([a-z0-9_:.-]+)""", 1)
+    marked = head.startswith("\xff\xfe".lower()) | head.startswith("\xfe\xff".lower()) | head.startswith("\xef\xbb\xbf".lower())
+    plain = ~marked & (named.isin("utf-8", "utf8") | ((named == "") & F.lit(default == "utf-8")))
+    return F.when(plain, content.cast("string")).otherwise(decoded(F.when(~plain, content)))
+
+
+def read_html_files(spark: SparkSession, path: str, url_prefix: str = "https://", charset: str = "utf-8") -> DataFrame:
+    """Pages from saved HTML files; the path below the folder is the rest of the URL. ``charset`` is that of pages that name none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = os.path.basename(path.rstrip("/"))
     url = F.concat(F.lit(url_prefix), F.regexp_extract("path", f"/{root}/(.*)$", 1))
-    pages = files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("content").cast("string").alias("html"))
+    pages = files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), decode_html(F.col("content"), charset).alias("html"))
     return _usable(pages, F.col("html"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import dom
 from galley.operators.shred import parse_nodes, shred
+from galley.sources.readers import decode_bytes, read_html_files
 
 PAGE = """<html><head><meta name="description" content="Hi &amp; you"><title>T</title></head><body>
 <nav class="pagination x"><a href="/1">1</a><a href="/2" data-x='q"r'>2</a></nav>
@@ -64,3 +65,19 @@ def test_meta_and_removal(tree):
     left = tree.withColumn(N, dom.drop_matches(F.col(N), steps, F.col("root")))
     text = left.select(dom.node_text(F.col(N), F.col("root")).alias("t")).first().t
     assert "one" not in text and "q1" in text
+
+
+def test_html_files_in_several_charsets(spark, tmp_path):
+    page = "<html><head>{}</head><body>中文 é</body></html>"
+    files = {"gbk": (page.format('<meta charset="gbk">'), "gbk"), "utf16": (page.format(""), "utf-16"), "utf8": (page.format(""), "utf-8"),
+             "mark": (page.format('<meta charset="gbk">'), "utf-8-sig"), "odd": (page.format('<meta charset="no-such">'), "utf-8"),
+             "quoted": (page.format("<META http-equiv=a content='text/html; CHARSET=GB2312'>"), "gb18030"),
+             "lies": (page.format('<meta charset="utf-16">'), "utf-8")}
+    (tmp_path / "s.test").mkdir()
+    for name, (text, charset) in files.items():
+        (tmp_path / "s.test" / name).write_bytes(text.encode(charset))
+    (tmp_path / "s.test" / "empty").write_bytes(b"")
+    got = {r.url: r.html for r in read_html_files(spark, str(tmp_path)).collect()}
+    assert got == {f"https://s.test/{name}": text for name, (text, _) in files.items()}
+    assert decode_bytes("é".encode("latin-1"), "latin1") == "é" and decode_bytes(b"\xff") == "\ufffd"
+
