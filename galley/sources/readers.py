@@ -142,6 +142,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         "site", "doc_name", "row.*")
 
 
+def compacted_batch(spark: SparkSession, path: str) -> int | None:
+    """The last batch that a finished compaction of the store took in, by its pointers."""
+    try:
+        return spark.read.schema("upto BIGINT").json(f"{path}/_versions/upto=*").agg(F.max("upto")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def article_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the store that count, with their batch: the last compacted version and the batches behind it.
+
+    A version counts from when its pointer stands, which is written last; batches up to it are not looked at, so they can go.
+    """
+    schema = ARTICLES + ", batch BIGINT"
+    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    upto = compacted_batch(spark, path)
+    if upto is None:
+        return rows
+    base = spark.read.schema(schema).option("basePath", f"{path}/_base").parquet(f"{path}/_base/batch={upto}")
+    return base.unionByName(rows.filter(F.col("batch") > upto))
+
+
 def read_articles(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Latest state per URL.
 
@@ -149,7 +173,7 @@ def read_articles(spark: SparkSession, path: str, columns: list[str] | None = No
     (the guards need ``url`` and ``publish`` only) keeps content out of the scan and the shuffle.
     """
     fields = [c for c in (columns or spark.createDataFrame([], ARTICLES).columns) if c != "url"]
-    rows = spark.read.schema(ARTICLES + ", batch BIGINT").option("basePath", path).parquet(path)
+    rows = article_rows(spark, path)
     if fields == ["publish"]:
         return rows.groupBy("url").agg(F.max_by("publish", "batch").alias("publish"))
     latest = rows.groupBy("url").agg(F.max_by(F.struct(*fields), "batch").alias("row"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.sources.readers import read_articles
+from galley.sources.readers import article_rows, compacted_batch, read_articles
 
 
 def _by_site(df: DataFrame) -> DataFrame:
@@ -18,10 +18,20 @@ def write_articles(df: DataFrame, path: str, batch: int = 0) -> None:
     _by_site(df.drop("batch")).write.mode("overwrite").partitionBy("site").parquet(folder)
 
 
-def compact_articles(spark: SparkSession, path: str, target: str) -> None:
-    """Fold all batches into one at a fresh path, to be swapped in by the caller."""
-    last = spark.read.option("basePath", path).parquet(path).agg(F.max("batch")).first()[0]
-    write_articles(read_articles(spark, path), target, last)
+def compact_articles(spark: SparkSession, path: str, target: str | None = None) -> None:
+    """Fold all batches into one, at a fresh path ``target`` or in place.
+
+    In place the folded rows become a version beside the batches, and a pointer to it is written last: a reader sees the
+    whole old state or the whole new one, and a compaction that broke off leaves nothing that is read. Batches up to the version
+    are not read any more. Doing it again without new batches changes nothing.
+    """
+    last = article_rows(spark, path).agg(F.max("batch")).first()[0]
+    if target is not None:
+        write_articles(read_articles(spark, path), target, last)
+    elif last is not None and last != compacted_batch(spark, path):
+        write_articles(read_articles(spark, path), f"{path}/_base", last)
+        pointer = spark.range(1).select(F.lit(last).cast("bigint").alias("upto"))
+        pointer.write.mode("overwrite").json(f"{path}/_versions/upto={last}")
 
 
 def encode_nested(df: DataFrame) -> DataFrame:

@@ -19,10 +19,14 @@ LISTINGS = "site STRING, url STRING, links ARRAY<STRING>, next_url STRING"
 REACHED = "site STRING, url STRING"
 
 
-def earlier(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+def all_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch BIGINT").option("basePath", path).parquet(path)
+
+
+def earlier(spark: SparkSession, path: str, schema: str, number: int, read=None) -> DataFrame:
     """Rows of the batches before ``number``: a batch that is retried does not see what its first attempt wrote."""
     try:
-        rows = spark.read.schema(f"{schema}, batch BIGINT").option("basePath", path).parquet(path)
+        rows = read(spark, path) if read else all_batches(spark, path, schema)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise  # only a state that is not there yet is no state

@@ -12,7 +12,7 @@ from galley.operators.joins import small_broadcast
 from galley.plans.run import listing_hosts, process_pages
 from galley.schemas import ARTICLES, PAGES
 from galley.session import cut_lineage
-from galley.sources.readers import read_articles
+from galley.sources.readers import article_rows, read_articles
 from galley.sources.writers import write_articles, write_documents, write_image_manifest
 from galley.streaming.discovery import discover_links, earlier
 
@@ -56,7 +56,7 @@ def ingest(
 
     def batch(rows: DataFrame, number: int) -> None:
         session, number = rows.sparkSession, number + 1
-        state = earlier(session, state_dir, ARTICLES, number).groupBy("url").agg(
+        state = earlier(session, state_dir, ARTICLES, number, article_rows).groupBy("url").agg(
             F.max_by(F.struct("site", "publish"), "batch").alias("row")).select("url", "row.*")
         rows = rows.select("page_id", "url", "html").join(state.filter("publish").select("url"), "url", "left_anti")
         if discover:

@@ -6,7 +6,10 @@ from galley.functions import text as T
 from galley.operators import excerpt, filters, frontier, joins, scoring, segment
 from galley.plans.run import pending_pages
 from galley.schemas import ARTICLES
-from galley.sources import read_documents, read_sites, read_stopwords, stopword_table, write_documents
+from galley.sources import (
+    compact_articles, read_articles, read_documents, read_sites, read_stopwords, stopword_table, write_articles, write_documents,
+)
+from galley.sources.readers import compacted_batch
 
 
 def test_reachable_listings(spark):
@@ -123,3 +126,25 @@ def test_batches_stay_and_replace_themselves(spark, tmp_path):
     write_documents(docs(("s", "c", "wrong", 5)), path, 1)
     write_documents(docs(("s", "b", "new", 3)), path, 1)
     assert {(r.doc_name, r.body) for r in read_documents(spark, path).collect()} == {("a", "one"), ("b", "new")}
+
+
+def test_a_version_counts_from_its_pointer_on(spark, tmp_path):
+    path = str(tmp_path / "state")
+
+    def marks():
+        return {r.url: r.publish for r in read_articles(spark, path, ["publish"]).collect()}
+
+    write_articles(_articles(spark, [("a", "s", False), ("b", "s", False)]), path, 0)
+    write_articles(_articles(spark, [("a", "s", True)]), path, 1)
+    before = marks()
+    write_articles(_articles(spark, [("a", "s", False), ("z", "s", True)]), f"{path}/_base", 1)  # a compaction that broke off
+    assert marks() == before == {"a": True, "b": False}
+    compact_articles(spark, path)
+    assert marks() == before and compacted_batch(spark, path) == 1
+    write_articles(_articles(spark, [("a", "s", False)]), path, 0)  # batches up to the version are not read
+    write_articles(_articles(spark, [("b", "s", True)]), path, 2)
+    assert marks() == {"a": True, "b": True}
+    compact_articles(spark, path)
+    compact_articles(spark, path)
+    assert marks() == {"a": True, "b": True} and compacted_batch(spark, path) == 2
+
