@@ -497,7 +497,7 @@ SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmar
 def blocklist_content(spark, folder):
     docs = table(spark, folder, "documents")
     phrases = table(spark, folder, "benchmark").select(F.col("text").alias("phrase"))
-    return filters.drop_blocked(docs, "doc_id", "text", phrases).select("doc_id", "n_chars")
+    return filters.drop_blocked(docs, "text", phrases).select("doc_id", "n_chars")
 
 
 @check(f"""

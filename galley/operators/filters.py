@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions.text import contains_any
-from galley.operators.joins import small_broadcast
-
-ANCHOR_CHARS = 16
+from galley.operators.blocklist import mark_blocked
 
 
 def filter_titles(parsed: DataFrame, titles: str = "rule.selectors.filter.titles", on: str = "title") -> DataFrame:
@@ -27,29 +25,10 @@ def require_fields(parsed: DataFrame, *names: str) -> DataFrame:
 
 
 def blocked_ids(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
-    """Keys of the rows whose text holds any phrase, for lists too long to test one by one.
-
-    Each phrase is found by an anchor, up to 16 characters from its middle: texts yield their
-    distinct character windows, these meet the anchors in an equi-join, and only the pairs that
-    meet are tested in full. The cost does not grow with the list, and the answer is exact.
-    """
-    width = F.least(F.length(phrase), F.lit(ANCHOR_CHARS))
-    start = F.floor((F.length(phrase) - width) / 2).cast("int") + 1
-    anchors = (
-        phrases.filter(F.length(phrase) > 0)
-        .select(F.col(phrase).alias("_phrase"), F.substring(F.col(phrase), start, width).alias("_window"),
-                width.alias("_width"))
-        .distinct()
-    )
-    widths = [r[0] for r in anchors.select("_width").distinct().collect()]  # at most ANCHOR_CHARS values
-    if not widths:
-        return df.select(key).limit(0)
-    # a look-ahead matches at every place, so one pass over the text yields all its windows
-    windows = [F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{%d}))" % w), F.lit(1)) for w in widths]
-    spread = df.select(key, F.explode(F.array_distinct(F.concat(*windows) if len(windows) > 1 else windows[0])).alias("_window"))
-    pairs = spread.join(small_broadcast(anchors), "_window").select(key, "_phrase").distinct()
-    return df.select(key, text).join(pairs, key).filter(F.col(text).contains(F.col("_phrase"))).select(key).distinct()
-
-
-def drop_blocked(df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
-    return df.join(blocked_ids(df, key, text, phrases, phrase), key, "left_anti")
+    """Keys of the rows whose text holds any phrase, for lists too long to test one by one."""
+    return mark_blocked(df.select(key, text), text, phrases, phrase, "_blocked").filter("_blocked").select(key).distinct()
+
+
+def drop_blocked(df: DataFrame, text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """Drop the rows whose text holds any phrase of a long list."""
+    return mark_blocked(df, text, phrases, phrase, "_blocked").filter("NOT _blocked").drop("_blocked")

@@ -57,6 +57,36 @@ def term_idf(counts: DataFrame, n_docs: Column, term: str = "term") -> DataFrame
     return seen.withColumn("idf", F.ln(n_docs.cast("double") / F.col("df")))
 
 
+def value_at(df: DataFrame, column: str, rank: int, ranges: int = 4096) -> float:
+    """The value at a place, from zero, of a column of finite doubles in ascending order.
+
+    Each round counts the rows of equal ranges and goes on in the one that holds the place, so neither a task nor the driver
+    holds more than ``ranges`` rows.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        scaled = F.floor((F.col(column) - low) / (high - low) * ranges).cast("int")
+        counted = df.groupBy(F.least(scaled, F.lit(ranges - 1)).alias("range")).agg(
+            F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for part in sorted(counted.collect()):
+            if rank < part.n:
+                break
+            rank -= part.n
+        low, high = part.low, part.high
+        df = df.filter(F.col(column).between(low, high))
+    return low
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """Median of the values that are not null, the mean of the middle two if their number is even; null without any."""
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    n = values.count()
+    if not n:
+        return None
+    below, above = value_at(values, "v", (n - 1) // 2), None if n % 2 else value_at(values, "v", n // 2)
+    return below if above is None else (below + above) / 2
+
+
 def tfidf_topk(
     docs: DataFrame,
     terms: Column,
@@ -78,7 +108,7 @@ def tfidf_topk(
         table = cut_lineage(term_idf(counts.select("term"), n_docs))
         scored = lookup_join(counts, table, "term", "df", broadcast_rows, hot_rows)
     else:
-        median = idf.select(F.percentile("idf", 0.5)).scalar()
+        median = F.lit(exact_median(idf, "idf"))
         weights = counts.groupBy("term").agg(F.count("*").alias("df"))
         table = cut_lineage(weights.join(idf.select("term", "idf"), "term", "left").withColumn(
             "idf", F.coalesce("idf", median)))

@@ -84,7 +84,7 @@ def test_block_list_matches_brute_force(spark):
     phrases = ["quick brown fox jump", "or", "hello world", "absent phrase here", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
     listed = spark.createDataFrame([(p,) for p in phrases], "phrase STRING")
-    kept = {r.doc_id for r in filters.drop_blocked(docs, "doc_id", "text", listed).collect()}
+    kept = {r.doc_id for r in filters.drop_blocked(docs, "text", listed).collect()}
     assert kept == {i for i, t in enumerate(texts) if not any(p and p in t for p in phrases)}
 
 
