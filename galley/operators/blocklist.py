@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.operators.joins import widen
-from galley.operators.segment import Automaton, longest_words
+from galley.operators.segment import Automaton, walk
 from galley.session import cut_lineage
 
 #: Characters of a window, characters of the grams that tell how common it is, and counters of grams.
@@ -82,13 +82,12 @@ class PhraseFinder:
                 del self.around[window]
         self.automaton = Automaton([*whole, *self.around])
 
-    def holds(self, text: str, longest: list[int]) -> bool:
+    def holds(self, text: str, longest: np.ndarray) -> bool:
         """Whether a text holds any phrase, given the longest window at each of its places."""
-        for at, length in enumerate(longest):
-            if length:
-                behind = self.around.get(text[at:at + length], ()) if length == WINDOW_CHARS else ()
-                if not behind or any(at >= start and text.startswith(p, at - start) for start, p in behind):
-                    return True
+        for at in np.flatnonzero(longest).tolist():
+            behind = self.around.get(text[at:at + longest[at]], ())
+            if not behind or any(at >= start and text.startswith(p, at - start) for start, p in behind):
+                return True
         return False
 
 
@@ -111,7 +110,7 @@ def _found(held: list) -> Column:
         blocked = np.zeros(len(known), bool)
         for finder in (h.value for h in held):
             left = np.flatnonzero(~blocked)
-            walked = longest_words(known.iloc[left].tolist(), [finder.automaton])
+            walked = walk(known.iloc[left].tolist(), [finder.automaton])
             for i, (text, longest) in zip(left.tolist(), walked):
                 blocked[i] = finder.holds(text, longest)
         return pd.Series(blocked, index=known.index).reindex(texts.index, fill_value=False)
