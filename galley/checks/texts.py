@@ -11,7 +11,7 @@ from galley.checks.registry import (
 from galley.checks.stopwords import STOPWORDS
 from galley.functions import text as T
 from galley.functions.bind import let
-from galley.operators import excerpt, filters, keyphrases, phrases, scoring, segment
+from galley.operators import abbreviations, excerpt, filters, keyphrases, phrases, scoring, segment
 from galley.operators.articles import choose_excerpt, choose_tags
 
 DOC_TOKENS = tokens_sql("text")
@@ -107,6 +107,38 @@ def sentence_split(spark, folder):
     return scoring.sentences(turns, "text")
 
 
+ABBREVIATIONS = r"""
+  words AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+(?:\.\p{L}+)*\.?')) AS w FROM documents),
+  types AS (SELECT rtrim(w, '.') AS term, count(*) FILTER (WHERE w LIKE '%.') AS c, count(*) FILTER (WHERE w NOT LIKE '%.') AS o FROM words GROUP BY ALL),
+  chance AS (SELECT sum(c) / sum(c + o) AS p FROM types),
+  weighed AS (SELECT *, length(replace(term, '.', '')) AS n, 2 * (c * (ln(0.99::DOUBLE) - ln(p)) + o * (ln(1 - 0.99::DOUBLE) - ln(1 - p))) AS likely
+              FROM types, chance WHERE c > 0),
+  abbr AS (SELECT term, c AS with_period, o AS without, likely * exp(-n) * (length(term) - n + 1) * pow(n, -o) AS score FROM weighed)
+"""
+
+
+@check(f"WITH {ABBREVIATIONS} SELECT term, with_period, without, round(score, 6) + 0.0 AS score FROM abbr")
+def abbreviation_scores(spark, folder):
+    scores = abbreviations.abbreviation_scores(table(spark, folder, "documents"), "text")
+    return scores.withColumn("score", F.round("score", 6) + 0.0)
+
+
+@check(rf"""
+WITH {ABBREVIATIONS}, known AS (SELECT list(term) AS terms FROM abbr WHERE score >= 0.3),
+  s0 AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+["'')\]]*)(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents),
+  s1 AS (SELECT doc_id, string_split(array_to_string(list_transform(p, lambda x: x || CASE WHEN list_contains(terms,
+      regexp_extract(lower(x), '(\p{{L}}+(?:\.\p{{L}}+)*)\.$', 1)) THEN '' ELSE chr(1) END), ''), chr(1)) AS p FROM s0, known),
+  s2 AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM s1)
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n_sents, md5(array_to_string(p, '|')) AS digest FROM s2
+""")
+def sentence_split_abbreviations(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    known = abbreviations.with_abbreviations(docs, "text", abbreviations.abbreviations(docs, "text"), "doc_id")
+    sents = T.sentences(F.col("text"), cjk=F.lit(False), abbreviations=F.col("abbreviations"))
+    return known.select("doc_id", sents.alias("p")).select(
+        "doc_id", F.size("p").cast("bigint").alias("n_sents"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
 @check(r"""
 WITH s AS (SELECT doc_id, string_split_regex(translate(text, '.,', '。，'), '[。！？.!?，；\x{3000}]') AS p FROM documents),
   f AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM s)

@@ -72,13 +72,30 @@ def ngrams(terms: Column, low: int = 1, high: int = 6) -> Column:
     return let(terms, lambda words: F.concat(*[of_length(words, n) for n in range(low, high + 1)]))
 
 
-def sentences(text: Column, cjk: Column | None = None) -> Column:
-    """Sentence array; the rule follows the CJK flag, which is taken from the text by default."""
+def end_words(text: Column) -> Column:
+    """Lower-cased words, without their last period, before places where a sentence may end by a single period."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+(?:\.\p{L}+)*)\.\s"), F.lit(1))
+
+
+def sentences(text: Column, cjk: Column | None = None, abbreviations: Column | None = None) -> Column:
+    """Sentence array; the rule follows the CJK flag, which is taken from the text by default.
+
+    In Latin text no sentence ends behind a word of the array ``abbreviations``, in lower case and without its last period.
+    """
+
+    def join_behind_abbreviations(pieces: Column) -> Column:
+        last = lambda p: F.regexp_extract(F.lower(p), r"(\p{L}+(?:\.\p{L}+)*)\.$", 1)
+        mark = lambda p: F.when(F.array_contains(abbreviations, last(p)), "").otherwise(_SENTENCE_MARK)
+        return F.split(F.array_join(F.transform(pieces, lambda p: F.concat(p, mark(p))), ""), _SENTENCE_MARK)
 
     def split(t: Column) -> Column:
-        latin = F.split(
-            F.regexp_replace(t, r"([.!?]+[\"')\]]*)\s+", "$1" + _SENTENCE_MARK), _SENTENCE_MARK
-        )
+        if abbreviations is None:
+            latin = F.split(
+                F.regexp_replace(t, r"([.!?]+[\"')\]]*)\s+", "$1" + _SENTENCE_MARK), _SENTENCE_MARK
+            )
+        else:  # white space stays before the next piece, as it may come to stand inside a sentence
+            latin = join_behind_abbreviations(
+                F.split(F.regexp_replace(t, r"([.!?]+[\"')\]]*)(\s+)", "$1" + _SENTENCE_MARK + "$2"), _SENTENCE_MARK))
         return F.when(has_cjk(t) if cjk is None else cjk, F.split(t, CJK_SENTENCE_END)).otherwise(latin)
 
     parts = let(text, split) if cjk is None else split(text)

@@ -21,17 +21,19 @@ def bm25_sentences(
     key: str = "doc_id",
     stop: Iterable[str] = (),
     terms: Column | None = None,
+    abbreviations: Column | None = None,
 ) -> DataFrame:
     """``(key, sent_no, score)``: mean BM25 of each sentence as a query against all.
 
     A sentence's score is the sum over its tokens of M(t) = idf(t)/N · Σ_j tf-part(t, j), so no pair
     of sentences is ever formed: the work is linear in the tokens, after one shuffle of the texts.
     ``terms`` may replace the tokens of a sentence (an expression on the column ``sentence``).
+    ``abbreviations`` is an array of each row behind which no sentence ends.
     """
     terms = T.drop_terms(T.tokens(F.col("sentence"), 1), stop) if terms is None else terms
     split = (
         spread(docs, key)
-        .select(key, T.sentences(F.col(text)).alias("_sents"))
+        .select(key, T.sentences(F.col(text), abbreviations=abbreviations).alias("_sents"))
         .select(key, F.size("_sents").alias("n_sents"), F.posexplode("_sents").alias("sent_no", "sentence"))
         .select(key, "n_sents", "sent_no", terms.alias("_terms"))
         .withColumn("len", F.size("_terms"))
@@ -58,7 +60,8 @@ def bm25_sentences(
 
 
 def excerpt_bm25(
-    docs: DataFrame, text: str, k: int = 3, key: str = "doc_id", stop: Iterable[str] = (), terms: Column | None = None
+    docs: DataFrame, text: str, k: int = 3, key: str = "doc_id", stop: Iterable[str] = (), terms: Column | None = None,
+    abbreviations: Column | None = None,
 ) -> DataFrame:
     """``(key, excerpt)``: the ``k`` most central sentences in text order, joined by a blank.
 
@@ -66,12 +69,12 @@ def excerpt_bm25(
     """
     order = W.partitionBy(key).orderBy(F.desc(F.round("score", 9)), F.desc("sent_no"))
     best = (
-        bm25_sentences(docs, text, key, stop, terms)
+        bm25_sentences(docs, text, key, stop, terms, abbreviations)
         .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
         .groupBy(key).agg(F.sort_array(F.collect_list("sent_no")).alias("_best"))
     )
     # only places travel through the scoring; the sentences are cut from the text again at the end
-    sents = T.sentences(F.col(text))
+    sents = T.sentences(F.col(text), abbreviations=abbreviations)
     return (
         docs.select(key, sents.alias("_sents")).join(best, key)
         .select(key, F.array_join(F.transform("_best", lambda i: F.get("_sents", i)), " ").alias("excerpt"))

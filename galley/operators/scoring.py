@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
+from galley.operators.abbreviations import with_abbreviations
 from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, small_broadcast, spread
 from galley.session import cut_lineage
 
@@ -20,9 +21,13 @@ def tokenize(df: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.posexplode(T.tokens(F.col(column))).alias("pos", "term"))
 
 
-def sentences(df: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
-    """``(key, sent_no, sentence)``."""
-    return df.select(key, F.posexplode(T.sentences(F.col(column))).alias("sent_no", "sentence"))
+def sentences(df: DataFrame, column: str, key: str = "doc_id", listed: DataFrame | None = None) -> DataFrame:
+    """``(key, sent_no, sentence)``; none ends behind an abbreviation of ``listed``, a table ``(term, n)``."""
+    if listed is None:
+        return df.select(key, F.posexplode(T.sentences(F.col(column))).alias("sent_no", "sentence"))
+    known = with_abbreviations(df.select(key, column), column, listed, key, "_abbreviations")
+    parts = T.sentences(F.col(column), abbreviations=F.col("_abbreviations"))
+    return known.select(key, F.posexplode(parts).alias("sent_no", "sentence"))
 
 
 def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, required: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galley.functions import dom
 from galley.functions import text as T
 from galley.functions.urls import site_key, url_join
+from galley.operators import abbreviations as abbr
 from galley.operators import articles as A
 from galley.operators import frontier, phrases
 from galley.operators.documents import build_documents
@@ -85,11 +86,13 @@ def complete_articles(
     syllables: DataFrame | None = None,
     phrase_scores: DataFrame | None = None,
     phrase_vectors: DataFrame | bool | None = None,
+    abbreviations: DataFrame | bool | None = None,
 ) -> DataFrame:
     """Fill in what needs the whole text or the whole corpus: keywords, ranked excerpts, slug source.
 
     With ``phrase_vectors``, ``(term, vec)`` or true for vectors trained on the articles at hand, texts without CJK characters
     are ranked by diverse phrases; those with them, and all without it, by n-gram weights over the corpus.
+    With ``abbreviations``, ``(term, n)`` or true for those that the articles show, no sentence of an excerpt ends behind one.
     """
     segment = segmenter(parsed.sparkSession, dictionary)
     latin_stop, cjk_stop = stop_set(stopwords, "en"), stop_set(stopwords, "zh")
@@ -122,8 +125,11 @@ def complete_articles(
     sentence_terms = F.when(
         T.has_cjk(F.col("sentence")), T.drop_terms(segment(F.when(T.has_cjk(F.col("sentence")), F.col("sentence"))), cjk_stop)
     ).otherwise(T.drop_terms(T.tokens(F.col("sentence"), 1), latin_stop))
-    no_excerpt = parsed.filter("excerpt IS NULL").select("url", "content_text")
-    excerpts = excerpt_bm25(no_excerpt, "content_text", 5, "url", terms=sentence_terms).withColumnRenamed("excerpt", "ranked")
+    no_excerpt, known = parsed.filter("excerpt IS NULL").select("url", "content_text"), None
+    if abbreviations is not None and abbreviations is not False:
+        listed = abbr.abbreviations(parsed, "content_text") if abbreviations is True else abbreviations
+        no_excerpt, known = cut_lineage(abbr.with_abbreviations(no_excerpt, "content_text", listed, "url")), F.col("abbreviations")
+    excerpts = excerpt_bm25(no_excerpt, "content_text", 5, "url", terms=sentence_terms, abbreviations=known).withColumnRenamed("excerpt", "ranked")
 
     rows = parsed.join(keywords, "url", "left").join(excerpts, "url", "left")
     none = F.array().cast("array<string>")
@@ -169,8 +175,8 @@ def run(
 ) -> Result:
     """One pass over all sites. ``as_of`` is the instant for pages without a readable date.
 
-    ``inputs``: ``stopwords``, ``dictionary``, ``syllables``, ``phrase_scores``, ``phrase_vectors`` — language resources
-    are tables, none is built in; phrase vectors can be trained on the pages.
+    ``inputs``: ``stopwords``, ``dictionary``, ``syllables``, ``phrase_scores``, ``phrase_vectors``,
+    ``abbreviations`` — language resources are tables, none is built in; the last two can be learned from the pages.
     """
     if discover:
         links, _ = listing_links(pages, sites)
