@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -78,6 +79,12 @@ def similarity(a: Counter, b: Counter) -> float:
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
+def is_free(placed: list[int], start: int, size: int) -> bool:
+    """Whether a window overlaps none of the windows of its size that begin at the sorted places."""
+    at = bisect_left(placed, start)
+    return (at == 0 or start - placed[at - 1] >= size) and (at == len(placed) or placed[at] - start >= size)
+
+
 class BlockIndex:
     """Multi-index of the fingerprints of items of one size."""
 
@@ -163,23 +170,45 @@ class Scanner:
             out[size] = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
         return out
 
-    def find(self, text: str) -> list[tuple[int | None, int, int, float]]:
-        """``(item_id, first word, words, similarity)``: the best window of every item found in a text."""
-        words = words_of(text)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    def _windows(self, words: list[str]) -> Iterator[tuple[int, int, int, int, float]]:
+        """``(size, item, first word, words, similarity)`` of the windows that are similar enough to an item.
+
+        Fingerprints that agree come first, so windows over words that an item already has to the letter are passed over.
+        """
         for size, starts in self._starts(len(words), self._numbers(words)).items():
-            ids, counts, index = self.by_size[size]
+            _, counts, index = self.by_size[size]
             taken = min(size, len(words))
+            exact: dict[int, list[int]] = {}
             window, item = index.within(window_prints(words, starts, taken))
             for w, i in zip(window.tolist(), item.tolist()):
-                before = best.get((size, i))
-                if before and before[0] == 1.0:
-                    continue
-                start = int(starts[w])
-                score = similarity(shingle_counts(words, start, taken), counts[i])
-                if score >= self.threshold and (not before or (-score, start) < (-before[0], before[1])):
-                    best[size, i] = score, start, taken
-        return [(self.by_size[size][0][i], start, taken, score) for (size, i), (score, start, taken) in best.items()]
+                start, placed = int(starts[w]), exact.setdefault(i, [])
+                if is_free(placed, start, taken):
+                    score = similarity(shingle_counts(words, start, taken), counts[i])
+                    if score == 1.0:
+                        insort(placed, start)
+                    if score >= self.threshold:
+                        yield size, i, start, taken, score
+
+    def find(self, text: str) -> list[tuple[int | None, int, int, float]]:
+        """``(item_id, first word, words, similarity)``: every place where a text holds an item.
+
+        Of overlapping windows the most similar one counts, then the first.
+        """
+        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        for size, i, start, taken, score in self._windows(words_of(text)):
+            found.setdefault((size, i), []).append((-score, start, taken))
+        out = []
+        for (size, i), windows in found.items():
+            placed: list[int] = []
+            for score, start, taken in sorted(windows):
+                if is_free(placed, start, taken):
+                    insort(placed, start)
+                    out.append((self.by_size[size][0][i], start, taken, -score))
+        return out
+
+    def holds(self, text: str) -> bool:
+        """Whether a text holds any item."""
+        return next(self._windows(words_of(text)), None) is not None
 
 
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple]]:
@@ -194,11 +223,12 @@ def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> I
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY,
           radius: int = RADIUS) -> DataFrame:
-    """``(key, item_id, start, end, similarity)``: the best window of every item that a document holds.
+    """``(key, item_id, start, end, similarity)``: every place where a document holds an item.
 
+    Of overlapping windows of an item the most similar one counts, then the first; other places are rows of their own.
     Places are code points of the original text. Words are lower-cased runs of anything but white space. Null and
     empty texts hold nothing, and empty items are found nowhere; a text shorter than an item is one window. Repeated
-    rows are reported each. Of windows equally similar the first is named.
+    rows are reported each. An item of fewer than five words is one shingle, found wherever its words stand together.
     """
     given = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
     out = docs.sparkSession.createDataFrame([], LEAKS)
@@ -240,7 +270,7 @@ def _holds(sent, threshold: float, radius: int):
         import pandas as pd
 
         scanner = _scanner(sent, threshold, radius)
-        return pd.Series([bool(t) and bool(scanner.find(t)) for t in texts], dtype=bool)
+        return pd.Series([bool(t) and scanner.holds(t) for t in texts], dtype=bool)
 
     return holds
 

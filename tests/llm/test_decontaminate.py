@@ -19,16 +19,18 @@ def slow_leaks(docs, items):
                 continue
             counts = D.shingle_counts(target, 0, len(target))
             own = D.window_prints(target, np.zeros(1, np.int64), len(target))[0]
-            best = None
+            windows, kept = [], []
             for start in range(len(words) - size + 1):
                 if min(D.SHINGLE, size) < min(D.SHINGLE, len(target)):
                     continue
                 score = D.similarity(D.shingle_counts(words, start, size), counts)
                 bits = int(D.window_prints(words, np.array([start]), size)[0] ^ own).bit_count()
-                if score >= D.SIMILARITY and bits <= D.RADIUS and (best is None or score > best[0]):
-                    best = score, start
-            if best:
-                out.append((key, item_id, " ".join(words[best[1]:best[1] + size]), round(best[0], 9)))
+                if score >= D.SIMILARITY and bits <= D.RADIUS:
+                    windows.append((-score, start))
+            for score, start in sorted(windows):
+                if all(abs(start - s) >= size for s in kept):
+                    kept.append(start)
+                    out.append((key, item_id, " ".join(words[start:start + size]), round(-score, 9)))
     return sorted(out, key=str)
 
 
@@ -54,6 +56,8 @@ def fixture():
         docs.append((i, deal.choice([" ", "\n", " \t "]).join(filler[:at] + passage + filler[at:])))
     docs += [(200, None), (201, ""), (202, "has only three words inside"), (None, items[3][1]), (203, items[4][1]), (203, items[4][1]),
              (204, "echo " * 400), (205, " ".join(items[5][1].split()[:-1])), (206, "word " * 900 + items[6][1])]
+    again = items[7][1].split()
+    docs += [(207, " ".join([*again, "between", *again[:-1], "edited", "and", *again])), (208, " ".join(again * 3))]
     return docs, items
 
 
@@ -67,6 +71,8 @@ def test_query_matches_every_window(spark, tmp_path):
     found = sorted(((r.doc_id, r.item_id, " ".join(D.words_of(texts[r.doc_id][r.start:r.end])), round(r.similarity, 9)) for r in got), key=str)
     assert found == slow_leaks(docs, items)
     assert {r.doc_id for r in got} >= {0, 3, 5, 6, 202, 203, 206, None}
+    assert sorted(r.similarity == 1 for r in got if r.doc_id == 207 and r.item_id == 7) == [False, True, True]
+    assert sum(r.doc_id == 204 for r in got) == 400 // 12 and sum(r.doc_id == 208 and r.item_id == 7 for r in got) == 3
 
 
 def test_items_in_several_passes_and_flags(spark, monkeypatch):
