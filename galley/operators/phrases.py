@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.session import cut_lineage
+
 #: Words that get a vector at most, the most frequent; tokens that one partition of the training takes at least.
 WORDS, PARTITION_TOKENS = 100_000, 1_000_000
-SCORES = "array<struct<term:string,score:double,rank:int>>"
+#: Words of documents that are ranked together.
+PART_TOKENS = 200_000
 
 
 def word_vectors(docs: DataFrame, terms: str, dims: int = 64, min_count: int = 2, words: int = WORDS, seed: int = 42) -> DataFrame:
@@ -63,36 +66,42 @@ def diverse_phrases(terms: list[str], vectors: np.ndarray, k: int, diversity: fl
     return out
 
 
+def _best_phrases(k: int, diversity: float, longest: int):
+    def run(part, docs, vectors):
+        import pandas as pd
+
+        size = max((len(v) for v in vectors["vec"]), default=1)
+        matrix = np.zeros((len(vectors) + 1, size))
+        for i, vec in enumerate(vectors["vec"], 1):
+            matrix[i, :len(vec)] = vec
+        places = {term: i for i, term in enumerate(vectors["term"], 1)}
+        row, found = [], []
+        for name, tokens in zip(docs["row"], docs["tokens"]):
+            tokens = [t for t in tokens if t is not None]
+            at = [places.get(t, 0) for t in tokens]
+            new = diverse_phrases(tokens, matrix[at], k, diversity, longest) if any(at) else []
+            row += [name] * len(new)
+            found += new
+        return pd.DataFrame({"row": row, "term": [f[0] for f in found], "score": [f[1] for f in found], "rank": [f[2] for f in found]})
+
+    return run
+
+
 def phrase_scores(docs: DataFrame, vectors: DataFrame, terms: Column | str, key: str = "doc_id", k: int = 5, diversity: float = 0.5,
-                  longest: int = 6, words: int = WORDS) -> DataFrame:
+                  longest: int = 6, part_tokens: int = PART_TOKENS) -> DataFrame:
     """``(key, term, score, rank)``: each document's diverse phrases of one to ``longest`` words from ``vectors (term, vec)``.
 
     Words without a vector count as zero; documents without words, or of which none has a vector, get no phrase. Of several
-    vectors of a word the least counts. Documents are worked on one by one: no n-gram is shuffled. The vectors are sent to
-    every task, so their number is checked.
+    vectors of a word the least counts. Documents are dealt to parts of about ``part_tokens`` words, and a part gets the vectors
+    of its own words: no n-gram is shuffled, and vectors may be of any number.
     """
     table = vectors.filter("term IS NOT NULL AND vec IS NOT NULL").groupBy("term").agg(F.min("vec").alias("vec"))
-    held = table.limit(words + 1).collect()
-    if len(held) > words:
-        raise ValueError(f"more than {words} word vectors; train with fewer words")
-    size = max((len(r["vec"]) for r in held), default=1)
-    matrix = np.zeros((len(held) + 1, size))
-    for i, r in enumerate(held, 1):
-        matrix[i, :len(r["vec"])] = r["vec"]
-    shared = docs.sparkSession.sparkContext.broadcast(({r["term"]: i for i, r in enumerate(held, 1)}, matrix))
-
-    @F.pandas_udf(SCORES)
-    def best(lists):
-        import pandas as pd
-
-        places, rows = shared.value
-        out = []
-        for tokens in lists:
-            tokens = [t for t in tokens if t is not None] if tokens is not None else []
-            at = [places.get(t, 0) for t in tokens]
-            found = diverse_phrases(tokens, rows[at], k, diversity, longest) if any(at) else []
-            out.append([{"term": t, "score": s, "rank": r} for t, s, r in found])
-        return pd.Series(out, dtype=object)
-
     tokens = F.col(terms) if isinstance(terms, str) else terms
-    return docs.select(key, tokens.alias("tokens")).select(key, F.explode(best("tokens")).alias("e")).select(key, "e.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, tokens.alias("tokens"))
+    rows = cut_lineage(rows.filter(F.size("tokens") > 0))  # rows keep their numbers; keys may repeat
+    total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-total // part_tokens)))))
+    known = rows.select(F.col("part").alias("own"), F.explode("tokens").alias("term")).distinct().join(table, "term").select("own", "term", "vec")
+    found = rows.select("part", "row", "tokens").groupBy("part").cogroup(known.groupBy("own")).applyInPandas(
+        _best_phrases(k, diversity, longest), "row BIGINT, term STRING, score DOUBLE, rank INT")
+    return rows.select("row", key).join(found, "row").select(key, "term", "score", "rank")

@@ -34,6 +34,15 @@ def test_odd_texts(spark):
     assert word_vectors(docs.limit(2), "terms").count() == 0
 
 
+def test_more_words_than_one_task_would_hold(spark):
+    docs = spark.range(101_000).selectExpr("id DIV 1000 AS doc_id", "'w' || id AS term").groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    vectors = spark.range(101_000).selectExpr("'w' || id AS term", "array(double(id % 7), 1.0D) AS vec")
+    few = phrase_scores(docs, vectors, "terms", k=1, longest=1)
+    assert few.count() == 101
+    one = phrase_scores(docs.filter("doc_id = 5"), vectors, "terms", k=1, longest=1).collect()
+    assert [tuple(r) for r in few.filter("doc_id = 5").collect()] == [tuple(r) for r in one]
+
+
 def test_vocabulary_is_bounded(spark):
     docs = spark.createDataFrame([(1, ["a"] * 9 + ["b"] * 5 + ["c"] * 3 + ["d"])], "doc_id INT, terms ARRAY<STRING>")
     assert {r.term for r in word_vectors(docs, "terms", 4, words=2).collect()} == {"a", "b"}
