@@ -184,7 +184,7 @@ SELECT doc_id, CAST(n AS INTEGER) AS n, gram, tf FROM c
 QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY tf DESC, gram) = 1
 """)
 def ngrams_1_6_top(spark, folder):
-    grams = scoring.gram_counts(table(spark, folder, "documents").select("doc_id", "text"), T.tokens(F.col("text")))
+    grams = scoring.gram_counts(table(spark, folder, "documents").select("doc_id", "text"), T.tokens(F.col("text")), best=1)
     order = W.partitionBy("doc_id", "n").orderBy(F.desc("tf"), "gram")
     return grams.withColumn("r", F.row_number().over(order)).filter("r = 1").select("doc_id", "n", "gram", "tf")
 

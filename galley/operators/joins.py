@@ -11,13 +11,29 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 10_000
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+#: Bytes of text that one partition takes where texts are dealt out to be taken apart.
+PART_BYTES = 16 << 20
+
+
+def text_bytes(df: DataFrame, *without: str) -> int:
+    """Bytes of all strings, and strings of arrays, in a table; one pass."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name not in without}
+    sizes = [F.octet_length(c) for c, kind in kinds.items() if kind == "string"]
+    sizes += [F.octet_length(F.array_join(c, "")) for c, kind in kinds.items() if kind == "array<string>"]
+    if not sizes:
+        return 0
+    return df.agg(sum((F.coalesce(F.sum(size), F.lit(0)) for size in sizes), F.lit(0))).first()[0]
+
+
+def spread(df: DataFrame, key: str, size: int = 0) -> DataFrame:
     """Hash by key into the session's number of shuffle partitions, for rows about to be taken apart.
 
     The number is given outright: rows grow some twenty-fold after this shuffle, and a merge of small
-    partitions by their size before it would leave few, huge tasks.
+    partitions by their size before it would leave few, huge tasks. With the table's ``size`` in bytes there are
+    more of them where one would get more than ``PART_BYTES``, so that a task's share does not grow with the table.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    return df.repartition(parts, F.col(key))
 
 
 def widen(df: DataFrame, bound: int = 1 << 30) -> DataFrame:

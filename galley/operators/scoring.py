@@ -1,19 +1,31 @@
 """Tokens, n-gram weights and keyword scores.
 
 Texts are shuffled once, by document, before they are taken apart: tokens and n-grams are several
-times larger than the text, and grouping by (document, term) is then local to the partition.
+times larger than the text. A document's n-grams are counted in its own row, by the numbers of its tokens; strings are made
+for the different ones only, so that none is hashed, sorted or moved for the count.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
+from galley.functions.bind import compute_once
 from galley.operators.abbreviations import with_abbreviations
-from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, small_broadcast, spread
-from galley.session import cut_lineage
+from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, small_broadcast, spread, text_bytes
+from galley.session import cut_lineage, written_once
+
+
+#: Tokens that are counted together in a task.
+SLICE_TOKENS = 1 << 18
+#: Characters that could stand in a token and make two different sequences one string, or order them otherwise than their tokens.
+ODD_TOKEN = r"[\x00-\x20]"
+COUNTED = "struct<odd:boolean,total:bigint,squares:bigint,grams:array<struct<at:int,n:int,tf:int>>>"
 
 
 def tokenize(df: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
@@ -42,18 +54,131 @@ def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, required: DataFram
     return tokens.join(small_broadcast(listed), on, "left_anti")
 
 
-def gram_counts(docs: DataFrame, terms: Column, key: str = "doc_id", low: int = 1, high: int = 6) -> DataFrame:
-    """``(key, gram, n, tf)`` of the token arrays that ``terms`` yields on each row."""
-    rows = spread(docs, key).select(key, F.explode(T.ngrams(terms, low, high)).alias("gram"))
-    counts = rows.groupBy(key, "gram").agg(F.count("*").alias("tf"))
-    words = F.length(F.regexp_replace("gram", "[^ ]", "")) + 1
-    return counts.select(key, "gram", words.cast("int").alias("n"), "tf")
+def _plain_grams(codes: np.ndarray, doc: np.ndarray, left: np.ndarray, low: int, high: int, best: int | None):
+    """``(doc, at, n, tf)`` of the different n-grams of token numbers; ``left`` counts the tokens from each place to its row's end.
+
+    A gram's number is made of its prefix's and its last token's, in the order of the tokens, so grams of a size sort by it.
+    """
+    base, place, number, out = int(codes.max(initial=0)) + 1, np.arange(len(codes)), doc, []
+    for n in range(1, high + 1):
+        inside = left[place] >= n
+        place, number = place[inside], number[inside] * base + codes[place[inside] + n - 1]
+        _, first, number, tf = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+        if n < low:
+            continue
+        at = place[first]
+        if best is not None:  # numbers ascend by document and then by gram: a stable sort leaves equal counts in that order
+            order = np.lexsort((-tf, doc[at]))
+            owner = doc[at[order]]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+            order = order[rank < best]
+            at, tf = at[order], tf[order]
+        out.append((doc[at], at, np.full(len(at), n, np.int32), tf))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _odd_grams(rows: list[list[str | None]], low: int, high: int) -> list[tuple[int, int, int]]:
+    """``(at, n, tf)`` of one document's different n-grams as strings, for tokens that hold blanks or are null."""
+    seen, places, begin = Counter(), {}, 0
+    for row in rows:
+        for n in range(low, high + 1):
+            for i in range(len(row) - n + 1):
+                gram = row[i] if n == 1 else " ".join(t for t in row[i:i + n] if t is not None)
+                seen[gram] += 1
+                places.setdefault(gram, (begin + i, n))
+        begin += len(row)
+    return [(*places[gram], tf) for gram, tf in seen.items()]
+
+
+def _count_slice(lists, low: int, high: int, best: int | None):
+    """The column of ``COUNTED`` for documents, each a list of token arrays."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = lists.flatten()
+    tokens = rows.flatten()
+    per_row = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row_doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    doc, ends = np.repeat(row_doc, per_row), np.cumsum(per_row)
+    left = np.repeat(ends, per_row) - np.arange(len(tokens))
+    known = tokens.dictionary_encode()
+    order = pc.sort_indices(known.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    strange = pc.match_substring_regex(known.dictionary, ODD_TOKEN).to_numpy(zero_copy_only=False)
+    codes = pc.fill_null(known.indices, -1).to_numpy(zero_copy_only=False)
+    bad = np.append(strange, True)[codes]  # -1, null, is the last
+    odd = np.zeros(len(lists), bool)
+    odd[doc[bad]] = True
+    plain = ~odd[doc]
+    starts = np.searchsorted(doc, np.arange(len(lists)), "left")
+    # places of odd documents count as past their row's end, so that only plain ones are left
+    found = _plain_grams(np.append(rank, 0)[codes].astype(np.int64), doc, np.where(plain, left, 0), low, high, None)
+    extra = [(d, starts[d] + at, n, tf) for d in np.flatnonzero(odd) for at, n, tf in _odd_grams(lists[int(d)].as_py(), low, high)]
+    if extra:
+        found = [np.concatenate([a, np.array(b, a.dtype)]) for a, b in zip(found, zip(*extra))]
+    owner, _, _, tf = found
+    total = np.bincount(owner, tf, len(lists)).astype(np.int64)
+    squares = np.zeros(len(lists), np.int64)
+    np.add.at(squares, owner, tf.astype(np.int64) ** 2)
+    if best is not None:
+        kept = _plain_grams(np.append(rank, 0)[codes].astype(np.int64), doc, np.where(plain, left, 0), low, high, best)
+        whole = odd[found[0]]
+        found = [np.concatenate([a, b[whole]]) for a, b in zip(kept, found)]
+    order = np.argsort(found[0], kind="stable")
+    owner, at, n, tf = (c[order] for c in found)
+    grams = pa.StructArray.from_arrays([pa.array((at - starts[owner]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                                        pa.array(tf.astype(np.int32))], names=["at", "n", "tf"])
+    offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(lists)))).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(odd), pa.array(total), pa.array(squares), pa.ListArray.from_arrays(pa.array(offsets), grams)],
+                                      names=["odd", "total", "squares", "grams"])
+
+
+def _counter(low: int, high: int, best: int | None):
+    import pyarrow as pa
+
+    @F.arrow_udf(COUNTED)
+    def counted(lists):
+        import pyarrow.compute as pc
+
+        rows = pc.fill_null(pc.list_value_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        slices = np.cumsum(np.bincount(doc, rows, len(lists))) // SLICE_TOKENS
+        cuts = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(lists))
+        parts = [_count_slice(lists.slice(a, b - a), low, high, best) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return pa.concat_arrays(parts) if parts else pa.array([], _count_slice(lists, low, high, best).type)
+
+    return counted
+
+
+def gram_counts(docs: DataFrame, terms: Column, key: str = "doc_id", low: int = 1, high: int = 6, best: int | None = None) -> DataFrame:
+    """``(key, gram, n, tf, total, squares)`` of the token arrays that ``terms`` yields on each row.
+
+    Rows with equal keys are one document. ``total`` and ``squares`` are the sums of the document's counts and of their squares.
+    With ``best`` all n-grams are counted, and rows are made of at least the ``best`` ones of each size, by count and then by gram.
+    """
+    rows = spread(docs, key, text_bytes(docs, key)).select(key, terms.alias("_terms"))
+    if docs.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
+        lists = rows.select(key, F.array(F.coalesce("_terms", F.array().cast("array<string>"))).alias("_lists"))  # nothing to bring together
+    else:
+        lists = rows.groupBy(key).agg(F.collect_list("_terms").alias("_lists"))
+    lists = compute_once(lists, _lists=F.col("_lists"))
+    found = lists.select(key, F.flatten("_lists").alias("_words"), _counter(low, high, best)("_lists").alias("_c"))
+    one = found.select(key, "_words", F.col("_c.odd").alias("_odd"), F.col("_c.total").alias("total"), F.col("_c.squares").alias("squares"),
+                       F.explode_outer("_c.grams").alias("_g")).filter("_g IS NOT NULL")  # a plain one would count twice, to filter first
+    word = lambda j: F.get("_words", F.col("_g.at") + j)
+    several = F.concat_ws(" ", *[word(0), *[F.when(F.col("_g.n") > j, word(j)) for j in range(1, high)]])
+    one = one.select(key, "_odd", F.when(F.col("_g.n") == 1, word(0)).otherwise(several).alias("gram"), "_g.n",
+                     F.col("_g.tf").cast("bigint").alias("tf"), "total", "squares")
+    blanks = (F.length(F.regexp_replace("gram", "[^ ]", "")) + 1).cast("int")
+    return one.select(key, "gram", F.when(F.col("_odd"), blanks).otherwise(F.col("n")).alias("n"), "tf", "total", "squares")
 
 
 def tf_l2(grams: DataFrame, key: str = "doc_id") -> DataFrame:
     """Weight of each n-gram in its document: count over the document's Euclidean norm."""
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(key)))
-    return grams.withColumn("weight", F.col("tf") / norm)
+    whole = F.col("squares") if "squares" in grams.columns else F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(key))
+    rows = grams.withColumn("weight", F.col("tf") / F.sqrt(whole))
+    return rows.drop("total", "squares")
 
 
 def term_idf(counts: DataFrame, n_docs: Column, term: str = "term") -> DataFrame:
@@ -106,8 +231,8 @@ def tfidf_topk(
     Without an idf table (``term, idf``) the corpus gives it. Of a supplied table, terms it lacks
     take its median.
     """
-    counts = gram_counts(docs, terms, key, 1, 1).select(key, F.col("gram").alias("term"), "tf")
-    counts = counts.withColumn("total", F.sum("tf").over(W.partitionBy(key)))
+    # the idf and both branches of the join read the counts
+    counts = written_once(gram_counts(docs, terms, key, 1, 1).select(key, F.col("gram").alias("term"), "tf", "total"))
     if idf is None:
         n_docs = docs.select(F.count("*").alias("n")).scalar()
         table = cut_lineage(term_idf(counts.select("term"), n_docs))

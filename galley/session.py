@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that a lost executor re-reads it instead of recomputing it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """Write a table that several branches read to the shared folder, packed by columns, and read it back."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/galley-once-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

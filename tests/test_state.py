@@ -148,3 +148,37 @@ def test_a_version_counts_from_its_pointer_on(spark, tmp_path):
     compact_articles(spark, path)
     assert marks() == {"a": True, "b": True} and compacted_batch(spark, path) == 2
 
+
+
+def test_grams_match_a_plain_count(spark):
+    from collections import Counter
+
+    rows = [(1, ["b", "a", "b", "a", "c"]), (1, ["a", "b"]), (2, []), (3, None), (None, ["é", "a"]), (None, ["a"]), (4, ["x y", "z", "x"]), (5, ["q", None, "q"]), (6, ["a"])]
+    docs = spark.createDataFrame(rows, "doc_id INT, terms ARRAY<STRING>")
+    for given in (rows, [r for r in rows if r[0] not in (1, None)], [(i, [f"t{j % 40:02}" for j in range(100_000)]) for i in range(5)]):
+        want = Counter()
+        for key, terms in given:
+            for n in range(1, 4):
+                for i in range(len(terms or []) - n + 1):
+                    want[key, terms[i] if n == 1 else " ".join(t for t in terms[i:i + n] if t is not None)] += 1
+        docs = spark.createDataFrame(given, "doc_id INT, terms ARRAY<STRING>")
+        grams = scoring.gram_counts(docs, F.col("terms"), low=1, high=3).collect()
+        assert {(r.doc_id, r.gram): r.tf for r in grams} == want and len(grams) == len(want)
+        assert all(r.n == (None if r.gram is None else r.gram.count(" ") + 1) for r in grams)
+        top = {}
+        for r in grams:
+            top.setdefault((r.doc_id, r.n), []).append((-r.tf, r.gram or "", r.gram))
+        few = scoring.gram_counts(docs, F.col("terms"), low=1, high=3, best=1).collect()
+        found = {}
+        for r in few:
+            found.setdefault((r.doc_id, r.n), []).append((-r.tf, r.gram or "", r.gram))
+        assert {k: min(v) for k, v in found.items()} == {k: min(v) for k, v in top.items()}
+        assert all(r.total == sum(g.tf for g in grams if g.doc_id == r.doc_id) for r in few)
+
+
+def test_shares_of_text_do_not_grow(spark):
+    from galley.operators.joins import PART_BYTES, spread, text_bytes
+
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('ab ', 1000) AS text", "array('x', 'yz') AS terms")
+    assert text_bytes(docs, "doc_id") == 40 * 3003
+    assert spread(docs, "doc_id", 9 * PART_BYTES).rdd.getNumPartitions() == 9
