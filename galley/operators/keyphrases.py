@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.functions.bind import compute_once, let
+from galley.operators.joins import spread
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,6 +32,10 @@ def keyphrases_mmr(
     the same partitioning and order, so all rounds together need the one shuffle by document.
     """
     doc = W.partitionBy(key)
+    # vectors are the bulk of the rows: so many partitions that a task's share does not grow with the table
+    longest = doc_vectors.agg(F.max(F.size("vec"))).first()[0] or 1
+    size = candidates.count() * 2 * 8 * max(longest, 1)
+    candidates, doc_vectors = spread(candidates, key, size), spread(doc_vectors, key, size)
     rows = (
         compute_once(candidates.select(key, "term", "vec"), vec=unit(F.col("vec")))
         .join(compute_once(doc_vectors.select(key, "vec"), _doc=unit(F.col("vec"))).drop("vec"), key)

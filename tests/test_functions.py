@@ -158,3 +158,20 @@ def test_mmr_without_diversity_is_top_cosine(spark):
     assert [r.term for r in top] == ["a", "b", "c"]
     spread = keyphrases_mmr(cands, docs, 2, 0.9).orderBy("rank").collect()
     assert spread[1].term == "d"
+
+
+def test_cut_slices_of_a_batch(spark):
+    texts = [None, "", "ab \u7684\u4e00 cd", "x " * 300_000, None, "y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    got = {r.doc_id: r.terms for r in segment_cjk(rows, "text", spark.createDataFrame([("\u7684\u4e00",)], "term STRING")).collect()}
+    assert got[0] is None and got[4] is None and got[1] == [] and got[2] == ["ab", "\u7684\u4e00", "cd"] and got[5] == ["y"]
+    assert len(got[3]) == 300_000
+
+
+def test_mmr_partitions_grow_with_the_vectors(spark):
+    cands = spark.range(4000).selectExpr("int(id % 50) AS doc_id", "'t' || id AS term", "transform(sequence(1, 2000), x -> double(x * id % 7)) AS vec")
+    docs = spark.range(50).selectExpr("int(id) AS doc_id", "transform(sequence(1, 2000), x -> double(x % 5)) AS vec")
+    found = keyphrases_mmr(cands, docs, 2)
+    assert "hashpartitioning(doc_id" in found._jdf.queryExecution().toString()
+    assert found.rdd.getNumPartitions() >= 4000 * 2000 * 16 // (16 << 20)
+    assert found.count() == 100
