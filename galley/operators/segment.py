@@ -141,13 +141,24 @@ def build_automata(words: DataFrame, column: str = "term", block_bytes: int = AU
 def _cutter(spark: SparkSession, automata: list[Automaton], how: Callable[[str, list[int]], list[str]]) -> Callable[[Column], Column]:
     held = [spark.sparkContext.broadcast(a) for a in automata]  # each of bounded size
 
-    @F.pandas_udf("array<string>")
+    @F.arrow_udf("array<string>")
     def tokens(texts):
-        import pandas as pd
-
-        known = texts.dropna()
-        made = (how(t, n) for t, n in longest_words(known.tolist(), [a.value for a in held]))
-        return pd.Series([None if null else next(made) for null in texts.isna()], dtype=object)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # tokens become Arrow arrays slice by slice: as objects, those of a whole batch take many times its bytes
+        kind, known, begin = pa.list_(pa.string()), texts.drop_null(), 0
+        sizes, made = pc.utf8_length(known).to_numpy(zero_copy_only=False), []
+        slices = np.cumsum(sizes) // SLICE_CHARS
+        for end in np.append(np.flatnonzero(np.diff(slices)) + 1, len(known)).tolist():
+            some = known.slice(begin, end - begin).to_pylist()
+            made.append(pa.array([how(t, n) for t, n in longest_words(some, [a.value for a in held])], kind))
+            begin = end
+        if texts.null_count == 0:
+            return pa.concat_arrays(made)
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        at = np.where(there, np.cumsum(there) - 1, 0)
+        return pa.concat_arrays(made).take(pa.array(at, mask=~there))
 
     return tokens
 
