@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from galley.functions import text as T
 from galley.functions.bind import compute_once
 from galley.operators.abbreviations import with_abbreviations
-from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, small_broadcast, spread, text_bytes
-from galley.session import cut_lineage, written_once
+from galley.operators.joins import BROADCAST_ROWS, is_small, small_broadcast, spread, text_bytes
+from galley.session import written_once
 
 
 #: Tokens that are counted together in a task.
 SLICE_TOKENS = 1 << 18
+#: Tokens of a part whose documents share a list of their terms.
+PART_TOKENS = 1 << 22
 #: Characters that could stand in a token and make two different sequences one string, or order them otherwise than their tokens.
 ODD_TOKEN = r"[\x00-\x20]"
 COUNTED = "struct<odd:boolean,total:bigint,squares:bigint,grams:array<struct<at:int,n:int,tf:int>>>"
@@ -90,7 +92,7 @@ def _odd_grams(rows: list[list[str | None]], low: int, high: int) -> list[tuple[
     return [(*places[gram], tf) for gram, tf in seen.items()]
 
 
-def _count_slice(lists, low: int, high: int, best: int | None):
+def _count_slice(lists, low: int, high: int, best: int | None, most: int | None = None):
     """The column of ``COUNTED`` for documents, each a list of token arrays."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -125,6 +127,9 @@ def _count_slice(lists, low: int, high: int, best: int | None):
         kept = _plain_grams(np.append(rank, 0)[codes].astype(np.int64), doc, np.where(plain, left, 0), low, high, best)
         whole = odd[found[0]]
         found = [np.concatenate([a, b[whole]]) for a, b in zip(kept, found)]
+    if most is not None:
+        stay = (found[2] <= most) | odd[found[0]]
+        found = [c[stay] for c in found]
     order = np.argsort(found[0], kind="stable")
     owner, at, n, tf = (c[order] for c in found)
     grams = pa.StructArray.from_arrays([pa.array((at - starts[owner]).astype(np.int32)), pa.array(n.astype(np.int32)),
@@ -134,7 +139,7 @@ def _count_slice(lists, low: int, high: int, best: int | None):
                                       names=["odd", "total", "squares", "grams"])
 
 
-def _counter(low: int, high: int, best: int | None):
+def _counter(low: int, high: int, best: int | None, most: int | None = None):
     import pyarrow as pa
 
     @F.arrow_udf(COUNTED)
@@ -145,25 +150,30 @@ def _counter(low: int, high: int, best: int | None):
         doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         slices = np.cumsum(np.bincount(doc, rows, len(lists))) // SLICE_TOKENS
         cuts = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(lists))
-        parts = [_count_slice(lists.slice(a, b - a), low, high, best) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        parts = [_count_slice(lists.slice(a, b - a), low, high, best, most) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return pa.concat_arrays(parts) if parts else pa.array([], _count_slice(lists, low, high, best).type)
 
     return counted
 
 
-def gram_counts(docs: DataFrame, terms: Column, key: str = "doc_id", low: int = 1, high: int = 6, best: int | None = None) -> DataFrame:
+def token_lists(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
+    """``(key, _lists)``: the token arrays of all rows of a key, in partitions whose number grows with the bytes of text."""
+    rows = spread(docs, key, text_bytes(docs, key)).select(key, terms.alias("_terms"))
+    if docs.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
+        return rows.select(key, F.array(F.coalesce("_terms", F.array().cast("array<string>"))).alias("_lists"))  # nothing to bring together
+    return rows.groupBy(key).agg(F.collect_list("_terms").alias("_lists"))
+
+
+def gram_counts(docs: DataFrame, terms: Column, key: str = "doc_id", low: int = 1, high: int = 6, best: int | None = None,
+                most: int | None = None) -> DataFrame:
     """``(key, gram, n, tf, total, squares)`` of the token arrays that ``terms`` yields on each row.
 
     Rows with equal keys are one document. ``total`` and ``squares`` are the sums of the document's counts and of their squares.
     With ``best`` all n-grams are counted, and rows are made of at least the ``best`` ones of each size, by count and then by gram.
+    With ``most`` all are counted too, and rows are made of at least those of up to ``most`` tokens.
     """
-    rows = spread(docs, key, text_bytes(docs, key)).select(key, terms.alias("_terms"))
-    if docs.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
-        lists = rows.select(key, F.array(F.coalesce("_terms", F.array().cast("array<string>"))).alias("_lists"))  # nothing to bring together
-    else:
-        lists = rows.groupBy(key).agg(F.collect_list("_terms").alias("_lists"))
-    lists = compute_once(lists, _lists=F.col("_lists"))
-    found = lists.select(key, F.flatten("_lists").alias("_words"), _counter(low, high, best)("_lists").alias("_c"))
+    lists = compute_once(token_lists(docs, terms, key), _lists=F.col("_lists"))
+    found = lists.select(key, F.flatten("_lists").alias("_words"), _counter(low, high, best, most)("_lists").alias("_c"))
     one = found.select(key, "_words", F.col("_c.odd").alias("_odd"), F.col("_c.total").alias("total"), F.col("_c.squares").alias("squares"),
                        F.explode_outer("_c.grams").alias("_g")).filter("_g IS NOT NULL")  # a plain one would count twice, to filter first
     word = lambda j: F.get("_words", F.col("_g.at") + j)
@@ -217,6 +227,106 @@ def exact_median(df: DataFrame, column: str) -> float | None:
     return below if above is None else (below + above) / 2
 
 
+def _key_type(df: DataFrame, key: str) -> str:
+    return df.schema[key].dataType.simpleString()
+
+
+def _coded(low_tokens: int):
+    """Documents as ``(key, lists of tokens)`` to the rows of ``term_parts``: a part's terms, then its documents."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, held, tokens = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            keys = pa.concat_arrays([h[0] for h in held])
+            words = pa.chunked_array([h[2] for h in held]).unify_dictionaries()
+            known = words.chunk(0).dictionary
+            order = pc.sort_indices(known).to_numpy()  # numbers in the order of the terms, so that ties go by number
+            rank = np.empty(len(order) + 1, np.int64)
+            rank[order], rank[-1] = np.arange(len(order)), -1  # null, the last, is counted in the total alone
+            codes = rank[np.concatenate([pc.fill_null(c.indices, -1).to_numpy(zero_copy_only=False) for c in words.chunks])]
+            begins = np.cumsum([0] + [len(h[0]) for h in held])
+            doc = np.concatenate([h[1] + at for h, at in zip(held, begins)])
+            base, total = max(len(order), 1), np.bincount(doc, minlength=len(keys))
+            number, tf = np.unique((doc * base + codes)[codes >= 0], return_counts=True)
+            owner, code = number // base, number % base
+            sizes = np.bincount(owner, minlength=len(keys))
+            some = np.flatnonzero(sizes)
+            offsets = pa.array(np.append(0, np.cumsum(sizes[some])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in (code, tf)]
+            for n, columns in ((len(order), {"term": known.take(pa.array(order)), "code": pa.array(np.arange(len(order), dtype=np.int32)),
+                                             "docs": pa.array(np.bincount(code, minlength=len(order)))}),
+                               (len(some), {"KEY": keys.take(pa.array(some)), "codes": lists[0], "tfs": lists[1], "total": pa.array(total[some])})):
+                columns["part"] = pa.array(np.full(n, part, np.int64))
+                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        for batch in batches:
+            lists = batch.column(1)
+            rows = lists.flatten()
+            per_row = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row_doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            kind = batch.column(0).type
+            schema = pa.schema([("part", pa.int64()), ("KEY", kind), ("codes", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())),
+                                ("total", pa.int64()), ("term", pa.string()), ("code", pa.int32()), ("docs", pa.int64())])
+            held.append((batch.column(0), np.repeat(row_doc, per_row), rows.flatten().cast(pa.string()).dictionary_encode()))
+            tokens += int(per_row.sum())
+            if tokens >= low_tokens:
+                yield from flush()
+                part, held, tokens = part + 1, [], 0
+        if tokens:
+            yield from flush()
+
+    return run
+
+
+def term_parts(docs: DataFrame, terms: Column, key: str = "doc_id", part_tokens: int = PART_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Counts of the token arrays that ``terms`` yields, by parts of some ``part_tokens`` tokens that number their own terms.
+
+    The documents are ``(part, KEY, codes, tfs, total)``, the terms ``(part, term, code, docs)`` with the part's documents that hold
+    one; codes ascend with the terms. Rows with equal keys are one document; one without a token has no row.
+    """
+    schema = f"part BIGINT, KEY {_key_type(docs, key)}, codes ARRAY<INT>, tfs ARRAY<INT>, total BIGINT, term STRING, code INT, docs BIGINT"
+    found = written_once(token_lists(docs, terms, key).mapInArrow(_coded(part_tokens), schema))
+    return (found.filter("codes IS NOT NULL").select("part", "KEY", "codes", "tfs", "total"),
+            found.filter("term IS NOT NULL").select(F.col("part").alias("part"), "term", "code", "docs"))
+
+
+def _best_terms(k: int):
+    def run(docs, terms):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        terms = terms.sort_by("code").combine_chunks()
+        code, idf = terms["code"].to_numpy(), terms["idf"].to_numpy().astype(float)
+        docs = docs.combine_chunks()
+        codes, tfs = (pc.list_flatten(docs[c]).to_numpy() for c in ("codes", "tfs"))
+        sizes = pc.list_value_length(docs["codes"]).to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        # a supplied table may hold a term more than once, as a join would find it
+        begin, rows = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
+        rows -= begin
+        if not (rows == 1).all():
+            within = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+            begin, owner, codes, tfs = (np.repeat(c, rows) for c in (begin, owner, codes, tfs))
+            begin = begin + within
+        score = tfs / docs["total"].to_numpy()[owner] * idf[begin]
+        none = terms["idf"].is_null().to_numpy()[begin]
+        odd = np.isnan(score)  # above all numbers; a null is below them
+        order = np.lexsort((codes, np.where(odd, 0.0, -score), np.where(none, 2, np.where(odd, 0, 1)), owner))
+        owner = owner[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner, "left") + 1
+        order, owner, rank = order[rank <= k], owner[rank <= k], rank[rank <= k]
+        return pa.Table.from_arrays([
+            docs["KEY"].take(pa.array(owner)), terms["term"].take(pa.array(begin[order])), pa.array(tfs[order].astype(np.int64)),
+            pa.array(score[order], mask=none[order]), pa.array(rank.astype(np.int32))], ["KEY", "term", "tf", "score", "rank"])
+
+    return run
+
+
 def tfidf_topk(
     docs: DataFrame,
     terms: Column,
@@ -224,28 +334,27 @@ def tfidf_topk(
     k: int = 500,
     key: str = "doc_id",
     broadcast_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Top ``k`` terms per document by tf/total · idf: ``(key, term, tf, score, rank)``.
 
     Without an idf table (``term, idf``) the corpus gives it. Of a supplied table, terms it lacks
-    take its median.
+    take its median. Documents stay in the parts that number their terms; a part gets the weights of its own terms, so
+    what is moved by term is a row per part and term, and no term has more rows than there are parts.
     """
-    # the idf and both branches of the join read the counts
-    counts = written_once(gram_counts(docs, terms, key, 1, 1).select(key, F.col("gram").alias("term"), "tf", "total"))
+    placed, listed = term_parts(docs, terms, key)
     if idf is None:
         n_docs = docs.select(F.count("*").alias("n")).scalar()
-        table = cut_lineage(term_idf(counts.select("term"), n_docs))
-        scored = lookup_join(counts, table, "term", "df", broadcast_rows, hot_rows)
+        df = F.sum("docs").over(W.partitionBy("term"))
+        weights = listed.withColumn("idf", F.ln(n_docs.cast("double") / df))
     else:
-        median = F.lit(exact_median(idf, "idf"))
-        weights = counts.groupBy("term").agg(F.count("*").alias("df"))
-        table = cut_lineage(weights.join(idf.select("term", "idf"), "term", "left").withColumn(
-            "idf", F.coalesce("idf", median)))
-        scored = lookup_join(counts, table, "term", "df", broadcast_rows, hot_rows)
-    scored = scored.withColumn("score", F.col("tf") / F.col("total") * F.col("idf"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "term"))
-    return scored.select(key, "term", "tf", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
+        given = idf.select("term", F.col("idf").cast("double").alias("idf"))
+        if is_small(given, broadcast_rows):
+            given = F.broadcast(given)
+        weights = listed.join(given, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(exact_median(idf, "idf"))))
+    weights = weights.select(F.col("part").alias("part"), "term", "code", "idf")
+    best = placed.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(
+        _best_terms(k), f"KEY {_key_type(docs, key)}, term STRING, tf BIGINT, score DOUBLE, rank INT")
+    return best.withColumnRenamed("KEY", key)
 
 
 def combine_scores(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -262,13 +371,11 @@ def merge_required(scores: DataFrame, tf: DataFrame, required: DataFrame, key: s
     """
     on = [key, "term"] if key in required.columns else ["term"]
     wanted = required.select(*[F.lower(c).alias(c) if c == "term" else F.col(c) for c in on]).distinct()
+    rows = tf.select(key, "term", F.col("weight").alias("score"))
     if on == ["term"]:
-        wanted = small_broadcast(wanted)
-    missing = (
-        tf.select(key, "term", F.col("weight").alias("score"))
-        .join(wanted, on, "left_semi")
-        .join(scores.select(key, "term"), [key, "term"], "left_anti")
-    )
+        missing = rows.join(small_broadcast(wanted), on, "left_semi").join(scores.select(key, "term"), [key, "term"], "left_anti")
+    else:  # what has a score goes first, from the smaller table, so that the counts are moved once
+        missing = rows.join(wanted.join(scores.select(key, "term"), on, "left_anti"), on, "left_semi")
     return scores.select(key, "term", "score").unionByName(missing)
 
 

@@ -182,3 +182,30 @@ def test_shares_of_text_do_not_grow(spark):
     docs = spark.range(40).selectExpr("id AS doc_id", "repeat('ab ', 1000) AS text", "array('x', 'yz') AS terms")
     assert text_bytes(docs, "doc_id") == 40 * 3003
     assert spread(docs, "doc_id", 9 * PART_BYTES).rdd.getNumPartitions() == 9
+
+
+def test_tfidf_by_parts_matches_a_plain_count(spark):
+    import math
+    from collections import Counter
+
+    rows = [(1, ["b", "a", "b", "a", "c"]), (1, ["a", "d"]), (2, []), (3, None), (4, ["é", "x y", "x"]), (5, ["q", None, "q", "b"])]
+    rows += [(i, [f"t{i * j % 7}" for j in range(1, 5)]) for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id INT, terms ARRAY<STRING>")
+    texts = {}
+    for key, terms in rows:
+        texts.setdefault(key, []).extend(terms or [])
+    df = Counter(t for terms in texts.values() for t in set(terms))
+    given = {"a": 0.5, "b": -1.0, "t1": 2.0}
+    for idf, table in (({t: math.log(len(rows) / n) for t, n in df.items()}, None), ({t: given.get(t, 0.5) for t in df}, given)):
+        table = table and spark.createDataFrame(list(table.items()), "term STRING, idf DOUBLE")
+        want = set()
+        for key, terms in texts.items():
+            found = [(-tf / len(terms) * idf[t], t, tf) for t, tf in Counter(terms).items() if t is not None]
+            want |= {(key, t, tf, round(-s, 9), i) for i, (s, t, tf) in enumerate(sorted(found)[:3], 1)}
+        got = scoring.tfidf_topk(docs, F.col("terms"), table, k=3)
+        assert {(r.doc_id, r.term, r.tf, round(r.score, 9), r["rank"]) for r in got.collect()} == want
+    # no row per document and term is moved by term: the parts' lists hold a term once
+    placed, listed = scoring.term_parts(docs, F.col("terms"))
+    assert listed.groupBy("part", "term").count().filter("count > 1").isEmpty()
+    assert listed.count() < placed.select(F.explode("codes")).count()
+    assert placed.groupBy("part").cogroup(listed.groupBy("part")).applyInArrow(lambda a, b: a.select(["KEY"]), "KEY INT").count() == placed.count()
