@@ -10,9 +10,10 @@ from galley.checks.registry import (
 )
 from galley.checks.stopwords import STOPWORDS
 from galley.functions import text as T
-from galley.functions.bind import let
+from galley.functions.bind import compute_once, let
 from galley.operators import abbreviations, excerpt, filters, keyphrases, phrases, scoring, segment
 from galley.operators.articles import choose_excerpt, choose_tags
+from galley.session import written_once
 
 DOC_TOKENS = tokens_sql("text")
 STOP_SQL = "(VALUES " + ", ".join(
@@ -263,10 +264,11 @@ REQUIRED = f"""
 
 def _required_inputs(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    scores = scoring.tfidf_topk(docs, T.tokens(F.col("text")), k=10).select("doc_id", "term", "score")
+    # the scores and the words go into several joins
+    scores = written_once(scoring.tfidf_topk(docs, T.tokens(F.col("text")), k=10).select("doc_id", "term", "score"))
     grams = scoring.tf_l2(scoring.gram_counts(docs, T.tokens(F.col("text")), low=1, high=1)).withColumnRenamed("gram", "term")
-    wanted = docs.select("doc_id", F.explode(F.concat(
-        F.slice(T.tokens(F.col("text")), 1, 2), F.array(F.lit("the"), F.lit("zz-none")))).alias("term")).distinct()
+    words = compute_once(docs, w=T.tokens(F.col("text"))).select("doc_id", F.slice("w", 1, 2).alias("w"))
+    wanted = written_once(words.select("doc_id", F.explode(F.concat("w", F.array(F.lit("the"), F.lit("zz-none")))).alias("term")).distinct())
     return scores, grams, wanted
 
 
