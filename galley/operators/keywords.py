@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from galley.functions import text as T
 from galley.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join
 from galley.operators.scoring import boost_required, gram_counts, merge_required, rank_keywords, term_idf, tf_l2
-from galley.session import cut_lineage
+from galley.session import cut_lineage, written_once
 
 
 def article_keywords(
@@ -29,9 +29,11 @@ def article_keywords(
     ``phrase_scores`` ``(key, term, score)`` where given (keyphrases from vectors), else tf·idf over
     the corpus for single terms, the best ``k`` per document.
     """
-    grams = cut_lineage(tf_l2(gram_counts(docs, terms, key), key).withColumnRenamed("gram", "term"))
+    # every n-gram counts for the norm; without phrases, rows are needed of single terms and of required ones alone
+    counts = gram_counts(docs, terms, key, most=None if phrase_scores is not None else 1)
+    grams = tf_l2(counts, key).withColumnRenamed("gram", "term")
     if phrase_scores is None:
-        single = grams.filter("n = 1")
+        single = grams = written_once(grams.filter("n = 1"))
         idf = cut_lineage(term_idf(single.select("term"), docs.select(F.count("*")).scalar()))
         total = F.sum("tf").over(W.partitionBy(key))
         scored = lookup_join(single.withColumn("total", total), idf, "term", "df", broadcast_rows, hot_rows)
@@ -39,10 +41,16 @@ def article_keywords(
         place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("second"), "term"))
         scored = scored.withColumn("_place", place).filter(F.col("_place") <= k)
     else:
+        grams = written_once(grams)
         scored = grams.join(phrase_scores.select(key, "term", F.col("score").alias("second")), [key, "term"])
     scores = scored.select(key, "term", (F.col("weight") * F.col("second")).alias("score"))
     if required is not None:
-        wanted = docs.select(key, F.explode(required).alias("term")).filter("term != ''").distinct()
+        wanted = written_once(docs.select(key, F.explode(required).alias("term")).filter("term != ''").distinct())
+        longer = wanted.filter("contains(term, ' ')").select(key).distinct()
+        if phrase_scores is None and not longer.isEmpty():
+            several = tf_l2(gram_counts(docs.join(longer, key, "left_semi"), terms, key), key).withColumnRenamed("gram", "term")
+            grams = grams.unionByName(several.filter("n > 1"))
+        scores = written_once(scores)
         scores = boost_required(merge_required(scores, grams, wanted, key), wanted, key)
     return rank_keywords(scores, key)
 
