@@ -12,6 +12,9 @@ a block nothing is saved by their postings; blocks that cannot compete are skipp
 bound of the rest is still competitive are probed in the other lists, and the disagreeing ones. Ties at the threshold
 are probed too, so the result is exact, ties going to the smaller id.
 
+The queries of a task pass the blocks together, so that their essential terms are one product of matrices; where whole numbers would not
+be exact as doubles, one after the other.
+
 A task searches one block of queries in one shard, both of bounded size and growing in number with the tables,
 and only ``k`` rows per query and shard come back to be merged.
 """
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from galley.llm.common import stored
 
 SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS, BLOCK_ROWS = 20_000, 16, 2_048, 1_024
+#: Queries that go through a shard's blocks together.
+TOGETHER = 512
 FOUND = "query_id BIGINT, vec_id BIGINT, score BIGINT"
 
 
@@ -92,6 +97,49 @@ class Postings:
         return best_ids[top], best[top]
 
 
+    def search_many(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place of the query, id, score)`` of the same rows for many queries, whose components and scores are exact doubles.
+
+        The essential terms of all queries that a block may serve are one product of matrices.
+        """
+        signed = np.concatenate([queries, -queries], axis=1)
+        agree = np.maximum(signed, 0)
+        floor = np.full(len(queries), -np.inf)  # the k-th best score so far
+        place, best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for ids, lists, most in self.blocks:
+            bounds = agree * most
+            open_ = np.flatnonzero(bounds.sum(axis=1) >= floor)
+            if not len(open_):
+                continue
+            bounds, least = bounds[open_], floor[open_, None]
+            order = np.argsort(bounds, axis=1, kind="stable")
+            weak = np.empty(bounds.shape, bool)
+            np.put_along_axis(weak, order, np.cumsum(np.take_along_axis(bounds, order, 1), axis=1) < least, 1)
+            major = np.where(weak, 0, agree[open_])
+            rest = np.where(weak, bounds, 0).sum(axis=1, keepdims=True)
+            partial, others = major @ lists, signed[open_] - major
+            may = (partial + rest >= least) & (ids != query_ids[open_, None])
+            if may.mean() > 0.02:  # probing so many documents one by one would copy their lists
+                scores = np.where(may, partial + others @ lists, -np.inf)
+                if len(ids) > k:
+                    least = np.maximum(least, np.partition(scores, len(ids) - k, axis=1)[:, [len(ids) - k]])
+                q, at = np.nonzero(may & (scores >= least))
+                new = scores[q, at]
+            else:
+                q, at = np.nonzero(may)
+                new = partial[q, at] + np.einsum("ij,ij->i", others[q], lists.T[at])
+            stay = new >= floor[open_[q]]
+            q, at, new = q[stay], at[stay], new[stay]
+            place, best_ids, best = np.concatenate([place, open_[q]]), np.concatenate([best_ids, ids[at]]), np.concatenate([best, new])
+            order = np.lexsort((best_ids, -best, place))
+            place, best_ids, best = place[order], best_ids[order], best[order]
+            rank = np.arange(len(place)) - np.searchsorted(place, place, "left")
+            last = rank == k - 1
+            floor[place[last]] = best[last]
+            place, best_ids, best = place[rank < k], best_ids[rank < k], best[rank < k]
+        return place, best_ids, best
+
+
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(vectors), dims), np.int64)
     for i, v in enumerate(vectors):
@@ -107,6 +155,12 @@ def _search_shard(k: int):
         asked, rows = _matrix(queries["v"], dims), _matrix(docs["v"], dims)
         if float(np.abs(asked.astype(float)).max()) * float(np.abs(rows.astype(float)).max()) * dims < 1 << 52:
             asked, rows = asked.astype(float), rows.astype(float)  # exact below 2**53, and fast to multiply
+            ids, found = queries["id"].to_numpy(np.int64), []
+            postings = Postings(docs["id"].to_numpy(np.int64), rows)
+            for at in range(0, len(ids), TOGETHER):
+                place, best_ids, scores = postings.search_many(ids[at:at + TOGETHER], asked[at:at + TOGETHER], k)
+                found.append(pd.DataFrame({"query_id": ids[at + place], "vec_id": best_ids, "score": scores.astype(np.int64)}))
+            return pd.concat(found)
         postings = Postings(docs["id"].to_numpy(np.int64), rows)
         found = []
         for query_id, vector in zip(queries["id"].to_numpy(np.int64), asked):

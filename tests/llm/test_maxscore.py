@@ -64,3 +64,23 @@ def test_pruned_search_is_exact(seed, monkeypatch):
 
 def test_empty_table(spark):
     assert maxscore.top_k(spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_queries_searched_together_find_the_same_rows():
+    import numpy as np
+
+    from galley.llm.maxscore import Postings
+
+    draw = np.random.default_rng(5)
+    rows = draw.integers(-3, 4, (3_000, 6)).astype(float)  # small numbers: many equal scores
+    rows[2_000:] *= 0.0  # blocks that no query needs, where its best scores are above zero
+    ids = draw.permutation(3_000)
+    postings = Postings(ids, rows)
+    for k in (1, 20):
+        place, found, scores = postings.search_many(ids[:70], rows[:70], k)
+        for i in range(70):
+            want_ids, want = postings.search(ids[i], rows[i], k)
+            exact = sorted((-float(rows[i] @ rows[j]), int(ids[j])) for j in range(3_000) if j != i)[:k]
+            assert [(-s, n) for s, n in zip(scores[place == i], found[place == i])] == exact == [(-s, n) for s, n in zip(want, want_ids)]
+    none = postings.search_many(ids[:0], rows[:0], 3)
+    assert all(len(c) == 0 for c in none)
