@@ -4,17 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
-from galley.operators.joins import spread
+from galley.functions.bind import compute_once
+from galley.operators.joins import spread, text_bytes
 
 # The usual BM25 constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Tokens that are scored together in a task.
+SLICE_TOKENS = 1 << 18
+
+
+def _score_slice(lists):
+    """Scores of the sentences of documents, each a list of sentences' token arrays."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sents = lists.flatten()
+    per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    lens = pc.fill_null(pc.list_value_length(sents), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc_of = np.repeat(np.arange(len(lists)), per_doc)
+    known = sents.flatten().cast(pa.string()).dictionary_encode()
+    codes, base = pc.fill_null(known.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), max(len(known.dictionary), 1)
+    sent = np.repeat(np.arange(len(sents)), lens)
+    number, tf = np.unique((sent * base + codes)[codes >= 0], return_counts=True)  # a null token has length and no weight
+    sent, code = number // base, number % base
+    doc = doc_of[sent]
+    own, at = np.unique(doc * base + code, return_inverse=True)  # a document's terms
+    owner = own // base
+    avg_len = np.bincount(doc, tf, len(lists)) / np.maximum(per_doc, 1)
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[sent] / avg_len[doc]))
+    mass, n_t = np.bincount(at, part, len(own)), np.bincount(at, minlength=len(own))
+    raw = np.log(per_doc[owner] - n_t + 0.5) - np.log(n_t + 0.5)
+    mean = np.bincount(owner, raw, len(lists)) / np.maximum(np.bincount(owner, minlength=len(lists)), 1)
+    idf = np.where(raw < 0, EPSILON * mean[owner], raw)
+    scores = np.bincount(sent, tf * idf[at] * mass[at] / per_doc[doc], len(sents))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_doc)).astype(np.int32)), pa.array(scores, pa.float64()))
+
+
+def _scores(lists: Column) -> Column:
+    @F.arrow_udf("array<double>")
+    def scored(lists):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        per_sent = pc.fill_null(pc.list_value_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        slices = np.cumsum(np.bincount(doc, per_sent, len(lists))) // SLICE_TOKENS
+        cuts = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(lists)).tolist()
+        return pa.concat_arrays([_score_slice(lists.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])] or [_score_slice(lists)])
+
+    return scored(lists)
+
+
 def bm25_sentences(
     docs: DataFrame,
     text: str,
@@ -29,10 +77,21 @@ def bm25_sentences(
     of sentences is ever formed: the work is linear in the tokens, after one shuffle of the texts.
     ``terms`` may replace the tokens of a sentence (an expression on the column ``sentence``).
     ``abbreviations`` is an array of each row behind which no sentence ends.
+    A document of one row is scored in its row, by the numbers of its tokens; with ``terms``, or several rows of a key, tokens are rows.
     """
-    terms = T.drop_terms(T.tokens(F.col("sentence"), 1), stop) if terms is None else terms
+    if terms is not None:
+        return _bm25_rows(spread(docs, key), text, key, terms, abbreviations)
+    words = lambda s: T.drop_terms(T.tokens(s, 1), stop)
+    placed = spread(docs, key, text_bytes(docs, key)).withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(key)))
+    split = T.sentences(F.col(text), abbreviations=abbreviations)
+    alone = compute_once(placed.filter("_rows = 1"), _words=F.transform(split, words)).filter("_words IS NOT NULL")
+    alone = alone.select(key, F.posexplode(_scores(F.col("_words"))).alias("sent_no", "score"))
+    return alone.unionByName(_bm25_rows(placed.filter("_rows > 1"), text, key, words(F.col("sentence")), abbreviations))
+
+
+def _bm25_rows(placed: DataFrame, text: str, key: str, terms: Column, abbreviations: Column | None) -> DataFrame:
     split = (
-        spread(docs, key)
+        placed
         .select(key, T.sentences(F.col(text), abbreviations=abbreviations).alias("_sents"))
         .select(key, F.size("_sents").alias("n_sents"), F.posexplode("_sents").alias("sent_no", "sentence"))
         .select(key, "n_sents", "sent_no", terms.alias("_terms"))

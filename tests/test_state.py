@@ -209,3 +209,13 @@ def test_tfidf_by_parts_matches_a_plain_count(spark):
     assert listed.groupBy("part", "term").count().filter("count > 1").isEmpty()
     assert listed.count() < placed.select(F.explode("codes")).count()
     assert placed.groupBy("part").cogroup(listed.groupBy("part")).applyInArrow(lambda a, b: a.select(["KEY"]), "KEY INT").count() == placed.count()
+
+
+def test_sentences_scored_in_a_row_match_those_scored_as_rows(spark):
+    texts = [f"Alpha beta w{i % 3}. Beta beta gamma! x{i} The the. ... Alpha w{i % 5} delta? Last one w{i}" for i in range(30)] + ["", None, "One.", "..."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (3, "Beta. Beta gamma."), (None, "Alpha. Beta.")], "doc_id INT, text STRING")
+    got = excerpt.bm25_sentences(docs, "text", stop=["the"])
+    assert "ArrowEvalPython" in got._jdf.queryExecution().toString()
+    words = T.drop_terms(T.tokens(F.col("sentence"), 1), ["the"])
+    rows = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, r.sent_no, round(r.score, 9)) for r in df.collect())
+    assert rows(got) == rows(excerpt.bm25_sentences(docs, "text", terms=words)) and len(rows(got)) > 100
