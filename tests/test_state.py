@@ -219,3 +219,15 @@ def test_sentences_scored_in_a_row_match_those_scored_as_rows(spark):
     words = T.drop_terms(T.tokens(F.col("sentence"), 1), ["the"])
     rows = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, r.sent_no, round(r.score, 9)) for r in df.collect())
     assert rows(got) == rows(excerpt.bm25_sentences(docs, "text", terms=words)) and len(rows(got)) > 100
+
+
+def test_keywords_need_rows_of_single_and_required_terms(spark):
+    from galley.operators.keywords import article_keywords
+
+    docs = spark.createDataFrame([(1, ["aa", "bb", "aa", "cc"], ["Bb aa"]), (2, ["aa", "dd"], ["dd"])], "doc_id INT, terms ARRAY<STRING>, required ARRAY<STRING>")
+    whole = {(r.doc_id, r.gram): (r.tf, r.total, r.squares) for r in scoring.gram_counts(docs, F.col("terms")).filter("n = 1").collect()}
+    few = scoring.gram_counts(docs, F.col("terms"), most=1).collect()
+    assert {(r.doc_id, r.gram): (r.tf, r.total, r.squares) for r in few} == whole and len(few) == len(whole)
+    got = {(r.doc_id, r.term): r.score for r in article_keywords(docs, F.col("terms"), "doc_id", "required").collect()}
+    norm = scoring.tf_l2(scoring.gram_counts(docs, F.col("terms"))).filter("gram = 'bb aa'").first().weight
+    assert set(got) == {(1, "aa"), (1, "bb"), (1, "cc"), (1, "bb aa"), (2, "aa"), (2, "dd")} and abs(got[1, "bb aa"] - 2 * norm) < 1e-9
