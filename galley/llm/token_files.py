@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,8 +39,25 @@ WIDTHS = {count: (selector, width) for selector, (count, width) in enumerate(PAC
 WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7),
            20: (10, 10), 30: (15, 15), 60: (30, 30), 120: (60, 60)}
 BLOCK_IDS = 1 << 17
-CACHED_CHUNKS, SLICE_CHARS = 200_000, 1_000_000
-MARKED = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
+#: Chunks and bytes of them that a worker remembers, bytes of text taken at a time, words in a text put to the library.
+CACHED_CHUNKS, CACHED_BYTES, SLICE_BYTES, ASKED = 400_000, 16_000_000, 2_000_000, 50_000
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Kinds of bytes. Letters are ASCII ones and those of U+00C0 to U+00FF; a quote may belong to the letters behind it.
+BLANK, LETTER, DIGIT, MARK, QUOTE, OTHER = range(6)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[:128] = MARK
+KINDS[[*b" \n"]] = BLANK
+KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0xC3, *range(0x80, 0xC0)]] = LETTER
+KINDS[[*b"0123456789"]] = DIGIT
+KINDS[ord("'")] = QUOTE
+KINDS[[0x97, 0xB7]] = OTHER  # behind 0xC3, the signs of multiplication and division
+#: Whether ``PATTERN`` always begins anew between two kinds, at ``6 * kind + next kind``.
+CUTS = np.array([b != BLANK and (a == BLANK or DIGIT in (a, b) or (a == LETTER) != (b == LETTER) and (a, b) != (QUOTE, LETTER))
+                 for a in range(OTHER + 1) for b in range(OTHER + 1)])
+BLANK_CUTS = np.array([b != BLANK and a == BLANK for a in range(OTHER + 1) for b in range(OTHER + 1)])
+#: Lower case of the bytes of such letters.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[[*range(0x41, 0x5B), *range(0x80, 0x97), *range(0x98, 0x9F)]] += 0x20
 BLOCKS = "part INT, block INT, before BIGINT, n_ids BIGINT, keys ARRAY<BIGINT>, data BINARY"
 TOKENS = "KEY BIGINT, start BIGINT, ids ARRAY<INT>"
 
@@ -70,12 +87,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chosen[fits] = selector
     if top >> 60:
         chosen[values >> np.uint64(60) != 0] = 0
-    step = (np.arange(n) + COUNTS[chosen]).tolist()
-    heads, i = [], 0
+    # the place of the word after the next 1, 2, 4, ... words; the longest steps are walked, then the words between put in
+    steps = [np.r_[np.minimum(np.arange(n) + COUNTS[chosen], n), n]]
+    for _ in range(6):
+        steps.append(steps[-1][steps[-1]])
+    heads, i, far = [], 0, steps.pop()
     while i < n:
         heads.append(i)
-        i = step[i]
+        i = int(far[i])
     heads = np.array(heads)
+    for step in reversed(steps):
+        heads = np.column_stack([heads, step[heads]]).ravel()
+    heads = heads[heads < n]
     selectors = chosen[heads]
     words = selectors.astype(np.uint64) << np.uint64(60)
     for selector, (count, width) in enumerate(PACKINGS, 2):
@@ -126,11 +149,27 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 # the tokenizer --------------------------------------------------------------------------------------
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an array's texts end to end, and the places where texts begin and the last one ends."""
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    bounds = np.frombuffer(places, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return data[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of so many items from each beginning, run after run."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class ChunkedTokenizer:
-    """The public library, asked once for each chunk between blanks or line ends.
+    """The public library, asked once for each chunk of text.
 
-    For vocabularies whose pattern drops white space, so that no token reaches over a blank; a control string
-    with white space inside would, and makes the whole text go to the library.
+    For vocabularies whose pattern drops white space, so that no token reaches over a blank or line end; a control
+    string with white space inside would, and makes the whole text go to the library. Where the pattern is
+    ``PATTERN``, chunks of ASCII and Latin letters are also cut between letters, digits and marks.
     """
 
     def __init__(self, path: str):
@@ -140,65 +179,116 @@ class ChunkedTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.lower = "Lowercase" in json.dumps(json.loads(self.library.to_str()).get("normalizer"))
-        self.control = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = any(c.isspace() for t in self.control for c in t)
-        bar = self.library.encode("|", add_special_tokens=False).ids
-        self.bar = bar[0] if len(bar) == 1 else None
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # what was known until the cache was last full
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
-
-    def _ask_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, most of them in one text with bars between, whose id tells where each ends."""
-        apart = [c for c in chunks if self.bar is None or "|" in c or any(t in c for t in self.control)]
-        found = dict(zip(apart, self._ask(apart)))
-        rest = [c for c in chunks if c not in found]
-        if not rest:
-            return found
-        ids = np.array(self.library.encode_batch_fast([" | ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*np.flatnonzero(ids == self.bar).tolist(), len(ids)]
-        if len(ends) != len(rest):
-            return found | dict(zip(rest, self._ask(rest)))
-        data, begin = ids.tobytes(), 0
-        for chunk, end in zip(rest, ends):
-            found[chunk] = data[4 * begin:4 * end]
-            begin = end + 1
-        return found
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if self.whole:
-            return self._ask(texts)
-        cut = [self._plain(text).replace("\n", " ").split(" ") for text in texts]
-        chunks = set().union(*cut)
-        if len(self.known) > CACHED_CHUNKS:
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        missing = chunks.difference(known)
-        ask = missing.difference(before)
-        for chunk in missing - ask:
-            known[chunk] = before[chunk]
-        known.update(self._ask_chunks([*ask]))
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
-
-    def _plain(self, text: str) -> str:
-        """A text with the same ids and fewer different chunks.
-
-        In Latin-1 texts letters can be put into the vocabulary's own case, and the single mark behind a word
-        set apart: the pattern always parts letters from marks. Control strings would change with their case.
+        parts = json.loads(self.library.to_str())
+        self.case = LOWER if "Lowercase" in json.dumps(parts.get("normalizer")) else np.arange(256, dtype=np.uint8)
+        self.cuts = CUTS if json.dumps(PATTERN) in json.dumps(parts.get("pre_tokenizer")) else BLANK_CUTS
+        control = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.whole = any(c.isspace() for t in control for c in t)
+        self.control = {self.case[[*t.encode()]].tobytes() for t in control}
+        suffix = parts["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a run of letters
+        if suffix and self.cuts is CUTS:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self._keep(pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64))
+
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        found = [np.array(f.ids, "<u4") for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(ids) for ids in found], np.int64)
+
+    def _ask_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ask``; runs of letters many to a text, where the last token of each is known by its suffix."""
+        data, bounds = text_bytes(chunks)
+        others = np.r_[0, np.cumsum(KINDS[data] != LETTER)][bounds]
+        runs = (np.diff(others) == 0) & self.last.any()
+        texts = chunks.to_numpy(zero_copy_only=False)
+        words = texts[runs]
+        ids, _ = self._ask([" ".join(words[i:i + ASKED]) for i in range(0, len(words), ASKED)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1:].sum() != len(ids):
+            return self._ask(texts.tolist())
+        rest, rest_sizes = self._ask(texts[~runs].tolist())
+        sizes, begins = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        sizes[runs], sizes[~runs] = np.diff(ends, prepend=0), rest_sizes
+        begins[runs], begins[~runs] = ends - sizes[runs], len(ids) + np.cumsum(rest_sizes) - rest_sizes
+        return np.r_[ids, rest][_places(begins, sizes)], sizes
+
+    def _keep(self, chunks: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known, self.ids, self.sizes = chunks, ids, sizes
+
+    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ask``, of different chunks, kept for the next slices; a full cache keeps those of the last one alone."""
+        at = pc.index_in(chunks, value_set=self.known)
+        new = chunks.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        if len(new):
+            at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            ids, sizes = self._ask_chunks(new)
+            self._keep(pa.concat_arrays([self.known, new]), np.r_[self.ids, ids], np.r_[self.sizes, sizes])
+        sizes = self.sizes[at]
+        ids = self.ids[_places((np.cumsum(self.sizes) - self.sizes)[at], sizes)]
+        if len(self.known) > CACHED_CHUNKS or self.known.nbytes > CACHED_BYTES:
+            self._keep(chunks, ids, sizes)
+        return ids, sizes
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the chunks of texts begin, and the bytes with Latin letters in the vocabulary's own case.
+
+        Between blanks, what holds other characters than ASCII and Latin letters, or a control string in any case,
+        stays one chunk as it is.
         """
-        if not self.lower:
-            return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        small = text.lower()
-        return text if any(t in small for t in self.control) else MARKED.sub(r" \1", small)
+        kind = KINDS[data]
+        solid = kind != BLANK
+        firsts = bounds[:-1][np.diff(bounds) > 0]
+        small, begin = self.case[data], np.empty(len(data), bool)
+        begin[1:] = self.cuts[kind[:-1] * np.uint8(OTHER + 1) + kind[1:]]
+        begin[firsts] = solid[firsts]
+        odd = [np.flatnonzero(kind == OTHER)]
+        searched = small.tobytes()
+        for control in self.control:
+            places, at = [], searched.find(control)
+            while at >= 0:
+                places.append(at)
+                at = searched.find(control, at + 1)
+            odd.append(np.array(places, np.int64))
+        odd = np.concatenate(odd)
+        if len(odd):
+            plain = solid.copy()
+            plain[1:] &= ~solid[:-1]
+            plain[firsts] = solid[firsts]
+            at = np.flatnonzero(plain)
+            whole = np.zeros(len(at), bool)
+            whole[np.searchsorted(at, odd, "right") - 1] = True
+            inside = np.r_[np.zeros(at[0], bool), np.repeat(whole, np.diff(np.r_[at, len(data)]))]
+            begin, small = np.where(inside, plain, begin), np.where(inside, data, small)
+        return begin, small
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where those of each text end.
+
+        The chunks are numbered, the ids of different ones looked up, and those of all taken by number.
+        """
+        if self.whole:
+            ids, sizes = self._ask([data[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])])
+            return ids, np.cumsum(sizes)
+        if not len(data):
+            return np.empty(0, "<u4"), np.zeros(len(bounds) - 1, np.int64)
+        begin, small = self._cut(data, bounds)
+        chunks_before = np.searchsorted(np.flatnonzero(begin), bounds[1:])
+        solid = KINDS[data] != BLANK
+        small, begins = small[solid], np.flatnonzero(begin[solid])
+        ends = np.r_[begins, len(small)].astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(small)).dictionary_encode()
+        ids, sizes = self._ids_of(chunks.dictionary)
+        numbers = chunks.indices.to_numpy()
+        counts = sizes[numbers]
+        return ids[_places((np.cumsum(sizes) - sizes)[numbers], counts)], np.r_[0, np.cumsum(counts)][chunks_before]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        ids, ends = self.encode(*text_bytes(pa.array(texts, pa.large_string())))
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -209,35 +299,46 @@ def tokenizer(path: str) -> ChunkedTokenizer:
 
 # files ----------------------------------------------------------------------------------------------
 
+def _slices(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes; a longer text stands alone."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def _pack_documents(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from galley.llm.bpe import slices
-
         part, block = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         keys, sizes, held, n, before = [], [], [], 0, 0
 
         def flush():
-            data = write_block(sizes, np.frombuffer(b"".join(held), "<u4"))
+            data = write_block(sizes, np.concatenate(held))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
                  pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([data], pa.binary())],
                 ["part", "block", "before", "n_ids", "keys", "data"])
 
         for batch in batches:
-            doc_keys, at = batch.column(0).to_pylist(), 0
-            for run_of in slices(batch.column(1), SLICE_CHARS):
-                for ids in tokenizer(path).encode_many(run_of):
-                    keys.append(doc_keys[at])
-                    held += (ids, end)
-                    sizes.append(len(ids) // 4 + 1)
-                    n, at = n + sizes[-1], at + 1
+            doc_keys = batch.column(0).to_pylist()
+            data, bounds = text_bytes(batch.column(1))
+            for at, to in _slices(bounds, SLICE_BYTES):
+                ids, ends = tokenizer(path).encode(data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at])
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, to - at + 1)
+                taken = done = 0
+                for key, upto in zip(doc_keys[at:to], ends.tolist()):
+                    keys.append(key)
+                    sizes.append(upto - done)
+                    n, done = n + upto - done, upto
                     if n >= block_ids:
+                        held.append(ids[taken:upto])
                         yield flush()
-                        block, before, n = block + 1, before + n, 0
+                        block, before, n, taken = block + 1, before + n, 0, upto
                         keys, sizes, held = [], [], []
+                held.append(ids[taken:])
         if keys:
             yield flush()
 

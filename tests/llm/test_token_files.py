@@ -42,6 +42,27 @@ def test_chunks_give_the_library_s_ids(monkeypatch):
         texts = texts[:50]
 
 
+def test_few_chunks_are_asked_for():
+    library, mine = Tokenizer.from_file(PATH), token_files.ChunkedTokenizer(PATH)
+    texts = [f'("Word{i}",\n\'Été{i}!\' it\'s 3x{i}/{i})' for i in range(2000)]
+    for text, ids in zip(texts, mine.encode_many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(mine.known) < 40  # words, digits and marks, not each number beside each of them
+
+
+def test_cuts_beside_quotes_controls_and_other_letters(monkeypatch):
+    library, deal = Tokenizer.from_file(PATH), random.Random(2)
+    pieces = [*PIECES, "'", "'S", "'RE", "\"'t", "<|ENDOFTEXT|>", "<|endof", "text|>", "|", "×", "ß", "½", "ª", "’s", "e\u0301",
+              "=\u0338", "\u0338", "Œ", "\x85", "\r\n", "aB3", "word" * 90]
+    for full in (token_files.CACHED_BYTES, 50):
+        monkeypatch.setattr(token_files, "CACHED_BYTES", full)
+        mine = token_files.ChunkedTokenizer(PATH)
+        for _ in range(20):
+            texts = ["".join(deal.choice(pieces) for _ in range(deal.randint(0, 12))) for _ in range(100)]
+            for text, ids in zip(texts, mine.encode_many(texts)):
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_query(spark, tmp_path):
     rows = [(9, "Hello, world.\nAgain!", 1), (None, "first", None), (2, None, 2), (4, "", 3), (4, "", 3), (4, "same key", 3),
             (7, "long " * 140000, 4)] + [(100 + i, "a hot key", 1) for i in range(50)]
