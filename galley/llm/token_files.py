@@ -40,7 +40,7 @@ WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8:
            20: (10, 10), 30: (15, 15), 60: (30, 30), 120: (60, 60)}
 BLOCK_IDS = 1 << 17
 #: Chunks and bytes of them that a worker remembers, bytes of text taken at a time, words in a text put to the library.
-CACHED_CHUNKS, CACHED_BYTES, SLICE_BYTES, ASKED = 400_000, 16_000_000, 2_000_000, 50_000
+CACHED_CHUNKS, CACHED_BYTES, SLICE_BYTES, ASKED = 200_000, 16_000_000, 1_000_000, 50_000
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Kinds of bytes. Letters are ASCII ones and those of U+00C0 to U+00FF; a quote may belong to the letters behind it.
 BLANK, LETTER, DIGIT, MARK, QUOTE, OTHER = range(6)
