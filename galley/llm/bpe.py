@@ -6,7 +6,7 @@ by a scan, its boundary deleted and the two ranks next to it refreshed, until no
 bytes of a word that beats any linked structure. Long words (above ``SHORT_WORD`` bytes) take the same
 merges in the same order from a heap, so that one very long word costs n log n.
 
-Encoding needs no shuffle: rows stream through Python workers in Arrow batches, each worker with a bounded
+Encoding needs no shuffle: rows stream through Python workers in Arrow batches, each task with a bounded
 cache of words.
 """
 
@@ -335,6 +335,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                     columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
                 at += len(some)
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        bpe.known.clear()  # Spark keeps the worker for other steps
 
     return given.mapInArrow(run, schema)
 

@@ -37,23 +37,34 @@ from galley.operators.joins import small_broadcast
 SIZE, PERCENT, ORDERS = 4, 85, 3
 #: 64-bit words of a set's parity bits, and the names of those they fold to for cells.
 PARITIES, FOLDED = 16, ("w0", "w1", "w2", "w3")
-CHUNK, ROWS, CACHED_WORDS, SLICE_CHARS = 2048, 256, 300_000, 1_000_000
+CHUNK, TABLE, SLICE_CHARS = 2048, 1 << 18, 1_000_000
+#: A worker remembers so many words of at most so many bytes.
+CACHED_WORDS, CACHED_BYTES = 100_000, 32
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 # sets -----------------------------------------------------------------------------------------------
 
 class WordHashes(dict):
-    """XXH64 of words, each asked for once."""
+    """XXH64 of words; those remembered are few and short, whatever the texts."""
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
 WORDS = WordHashes()
 
 
+def forget_words() -> None:
+    """A task's code comes pickled with copies of what it names; this clears the worker's own."""
+    WORDS.clear()
+
+
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     """A permutation of the 64-bit numbers, another for each seed."""
     values = values ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -69,8 +80,6 @@ def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(WORDS) > CACHED_WORDS:
-        WORDS.clear()
     each = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     runs = max(1, len(words) - size + 1)
     total = np.full(runs, min(size, len(words)), np.uint64)
@@ -108,12 +117,15 @@ def counted_eighths(percent: int) -> int:
     return max(1, min(8, round(0.14 * (100 - percent))))
 
 
-def add_sets(rows: DataFrame, text: str, size: int, eighths: int = 8, **others: Callable[[str], int]) -> DataFrame:
+def add_sets(rows: DataFrame, text: str, size: int, eighths: int = 8, parity: bool = False, **others: Callable[[str], int]) -> DataFrame:
     """Replace the text column by the set's ``node`` and ``n`` and, as ``set``, its shingles in so much of the hash space.
 
-    ``others`` are more columns, numbers made from a text. Texts are taken in small slices, so that a worker holds few sets at a time.
+    With ``parity`` the whole set's parities come along as ``bits``, so that sets need not cross to Python again. ``others`` are
+    more columns, numbers made from a text. Texts are taken in small slices, so that a worker holds few sets at a time, and
+    the words it remembers go with its task.
     """
     kept = [c for c in rows.columns if c != text]
+    folds = ["bits"] if parity else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +137,14 @@ def add_sets(rows: DataFrame, text: str, size: int, eighths: int = 8, **others:
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), arrays(some),
+                     *[arrays([parities(s) for s in sets]) for _ in folds],
                      *[pa.array([made(t) for t in texts], pa.int64()) for made in others.values()]],
-                    [*kept, "node", "n", "set", *others])
+                    [*kept, "node", "n", "set", *folds, *others])
+        forget_words()
 
     made = T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("set", T.ArrayType(T.LongType()))
+    for name in folds:
+        made = made.add(name, T.ArrayType(T.LongType()))
     for name in others:
         made = made.add(name, T.LongType())
     return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, *made.fields]))
@@ -201,8 +217,9 @@ def _pair_cells(percent: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatc
                 first = np.unique(cell[0], return_index=True)[1]
                 node, root, n, place, *words = (x[first] for x in cell)
                 n, after = n.astype(np.int64), (n - place).astype(np.int64)
-                for a in range(0, len(node), ROWS):
-                    part = slice(a, a + ROWS)
+                rows = max(1, TABLE // len(node))
+                for a in range(0, len(node), rows):
+                    part = slice(a, a + rows)
                     either = n[part, None] + n[None, :]
                     fits = (100 + percent) * np.minimum(after[part, None], after[None, :]) >= percent * either
                     far = sum(np.bitwise_count(w[part, None] ^ w[None, :]).astype(np.int64) for w in (w.view(np.uint64) for w in words))
@@ -250,18 +267,6 @@ def sum_of_bits(i: int) -> Column:
     return word
 
 
-def parity_bits(sets: DataFrame) -> DataFrame:
-    """``(node, n, bits)`` of ``(node, n, set)``."""
-
-    @F.pandas_udf("array<bigint>")
-    def bits(values):
-        import pandas as pd
-
-        return pd.Series([parities(np.asarray(v, np.int64).view(np.uint64)) for v in values], dtype=object)
-
-    return sets.select("node", "n", bits("set").alias("bits"))
-
-
 def not_far(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs whose parity bits ``(node, n, bits)`` differ in no more places than sets that link can."""
     for end in ("a", "b"):
@@ -300,10 +305,11 @@ def linked_nodes(docs: DataFrame, key: str, text: str, size: int = SIZE, percent
     wanted = stored(crowded(nodes, keyed, percent).select("node", "row.ROW1", "row.ROW2"), "wanted")
     # rows that repeat a key and a text have one name
     texts = named.join(small_broadcast(wanted), ["ROW1", "ROW2"]).groupBy("node").agg(F.first("t").alias("t"))
-    sets = stored(add_sets(texts.select("t"), "t", size), "sets")
+    sets = stored(add_sets(texts.select("t"), "t", size, parity=True), "sets")
     close = stored(crowded(sets.select("node", "n"), sets.select("node", F.explode("set").alias("h")), percent).select("node"), "close")
     sets = stored(sets.join(small_broadcast(close), "node", "left_semi"), "sets")
-    bits = stored(parity_bits(sets), "bits")
+    bits = stored(sets.select("node", "n", "bits"), "bits")
+    sets = sets.select("node", "n", "set")
 
     met = stored(met_in(sets, orders, percent), "met")
     alive = met.groupBy("node").agg(seen_under()).filter(F.col("seen") == (1 << orders) - 1)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -65,3 +66,17 @@ def test_empty_table_and_kept_columns(spark):
     got = bpe.decode_ids(bpe.encode_texts(rows, PATH, keep=("lang", "doc_id")), PATH)
     assert got.columns == ["lang", "doc_id", "ids", "decoded"]
     assert sorted(r.decoded for r in got.collect()) == ["", "one two"]
+
+
+def test_workers_forget_chunks(spark):
+    texts = spark.range(4000).repartition(8).selectExpr("id AS doc_id", "concat('some ', id, ' words ', id + 1) AS text")
+    assert bpe.encode_texts(texts, PATH).count() == 4000
+    path = PATH
+
+    def held(batches):
+        from galley.llm import bpe
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.vocabulary(path).known)] * len(batch))], ["held"])
+
+    assert spark.range(16).repartition(8).mapInArrow(held, "held BIGINT").filter("held > 0").count() == 0

@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from galley.llm import jaccard_join, queries
@@ -109,3 +112,53 @@ def test_linked_nodes_meet_in_every_order(spark):
             linked += 1
             assert all(met.get((o, i), set()) & met.get((o, j), set()) for o in range(3))
     assert linked > 20
+
+
+def test_parities_come_with_the_sets(spark):
+    texts = ["a b c d e f", "one", "", None, " ".join(f"w{i % 400}" for i in range(3000))]
+    got = jaccard_join.add_sets(spark.createDataFrame([(t,) for t in texts], "t STRING"), "t", 4, 3, parity=True).collect()
+    for text, row in zip(texts, got):
+        whole = jaccard_join.shingle_set(text, 4)
+        assert row.n == len(whole) and row.bits == jaccard_join.parities(whole).tolist()
+
+
+def test_words_remembered_are_bounded():
+    words = jaccard_join.WORDS
+    words.clear()
+    jaccard_join.shingle_set(" ".join(f"w{i}" for i in range(300_010)))
+    for i in range(30):
+        jaccard_join.shingle_set(f"{i}" * 500_000)
+    assert len(words) <= 300_000 and sum(map(len, words)) < 10_000_000
+    words.clear()
+
+
+def test_workers_forget_words(spark):
+    texts = spark.range(4000).repartition(8).select(F.concat_ws(" ", F.lit("some"), "id", F.lit("words"), F.col("id") + 1).alias("t"))
+    assert jaccard_join.add_sets(texts, "t", 4).count() == 4000
+
+    def held(batches):
+        from galley.llm import jaccard_join
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(jaccard_join.WORDS)] * len(batch))], ["held"])
+
+    assert spark.range(16).repartition(8).mapInArrow(held, "held BIGINT").filter("held > 0").count() == 0
+
+
+def test_a_large_cell_takes_little_memory():
+    deal = np.random.default_rng(4)
+    size, near = 4096, [(3, 4000), (90, 91), (700, 2900)]
+    columns = {f: np.arange(size) for f in ("node", "root")} | {"n": np.full(size, 100, np.int32), "place": np.zeros(size, np.int32)}
+    columns |= {f: deal.integers(-2 ** 63, 2 ** 63, size) for f in jaccard_join.FOLDED}
+    for a, b in near:
+        for f in jaccard_join.FOLDED:
+            columns[f][b] = columns[f][a] ^ 1
+    cell = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], [*columns])
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), cell)],
+                                       ["order", "members"])
+    tracemalloc.start()
+    found = [p for out in jaccard_join._pair_cells(85, False)([batch]) for p in zip(*(c.to_pylist() for c in out.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(1, a, b, 4) for a, b in near]
+    assert peak < 24_000_000
